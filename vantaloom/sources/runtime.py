@@ -15,6 +15,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent.parent
 _staged: list[tuple[SparkSession, str]] = []
@@ -84,3 +85,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+
+
+def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint where it has few rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if len(df.limit(most_rows + 1).select(F.lit(1)).take(most_rows + 1)) <= most_rows else df
