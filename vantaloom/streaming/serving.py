@@ -1,4 +1,4 @@
-"""Streaming twins of cache, rate limit and suggestions log: keyed state with arbitrary expiry.
+"""Streaming twins of cache, rate limit and single flight: keyed state with expiry in event time.
 
 They run the same steps as the batch replays, so a stream and a replay of its log
 agree. Events may come late within the watermark; a micro-batch's rows are folded in
@@ -11,12 +11,15 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vantaloom.operators.serving import CACHE_TTL, RATE_LIMIT, RATE_WINDOW, cache_step, rate_step
 
 
-def _stateful(events: DataFrame, key: str, step: Callable, state: str, out: str, names: list[str], to_state: Callable, from_state: Callable, idle_ms: int) -> DataFrame:
+def _stateful(events: DataFrame, key: str, late: str, keep: float, step: Callable, state: str, out: str, names: list[str], from_state: Callable, to_state: Callable) -> DataFrame:
+    """``events``: key, ts (timestamp), event_id. A key's state goes ``keep`` seconds of event time after its last event."""
+
     def update(group: tuple, frames: Iterator[pd.DataFrame], own: GroupState) -> Iterator[pd.DataFrame]:
         if own.hasTimedOut:
             own.remove()
@@ -28,26 +31,27 @@ def _stateful(events: DataFrame, key: str, step: Callable, state: str, out: str,
             now, values = step(now, (float(at),))
             found.append((group[0], float(at), int(event_id), *values))
         own.update(to_state(now))
-        own.setTimeoutDuration(idle_ms)
+        own.setTimeoutTimestamp(max(own.getCurrentWatermarkMs(), int(found[-1][1] * 1000)) + max(1, int(keep * 1000)))
         yield pd.DataFrame(found, columns=names)
 
-    return events.groupBy(key).applyInPandasWithState(update, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("ts", late).withColumn("at", F.unix_micros("ts") / 1e6)
+    return timed.groupBy(key).applyInPandasWithState(update, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_rate_limit(events: DataFrame, key: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW, idle_ms: int = 3_600_000) -> DataFrame:
-    """``events`` (key, at in seconds, event_id) with the counter's value and the decision."""
+def stream_rate_limit(events: DataFrame, key: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW, late: str = "10 minutes") -> DataFrame:
+    """Each event with its counter's value and the decision."""
     kind = events.schema[key].dataType.simpleString()
     out = f"`{key}` {kind}, at double, event_id long, n_in_window long, allowed boolean"
-    return _stateful(events, key, rate_step(limit, window), "start double, n long", out, [key, "at", "event_id", "n_in_window", "allowed"], lambda s: (float(s[0]), int(s[1])), lambda s: (s[0], s[1]), idle_ms)
+    return _stateful(events, key, late, window, rate_step(limit, window), "start double, n long", out, [key, "at", "event_id", "n_in_window", "allowed"], tuple, lambda s: (float(s[0]), int(s[1])))
 
 
-def stream_cache(events: DataFrame, key: str, ttl: float = CACHE_TTL, idle_ms: int = 3_600_000) -> DataFrame:
-    """``events`` with whether the cache answers, and when its entry was written."""
+def stream_cache(events: DataFrame, key: str, ttl: float = CACHE_TTL, late: str = "10 minutes") -> DataFrame:
+    """Each event with whether the cache answers it, and when its entry was written."""
     kind = events.schema[key].dataType.simpleString()
     out = f"`{key}` {kind}, at double, event_id long, hit boolean, written_at double"
-    return _stateful(events, key, cache_step(ttl), "written double", out, [key, "at", "event_id", "hit", "written_at"], lambda s: (float(s),), lambda s: s[0], idle_ms)
+    return _stateful(events, key, late, ttl, cache_step(ttl), "written double", out, [key, "at", "event_id", "hit", "written_at"], lambda s: s[0], lambda s: (float(s),))
 
 
 def stream_single_flight(events: DataFrame, key: str, within: str = "10 seconds") -> DataFrame:
-    """The first request of a key within a span; the others share its call. ``events`` has a timestamp column ``ts``."""
+    """The first event of a key within a span; the others share its call."""
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
