@@ -135,7 +135,8 @@ def scan_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
 def redact(docs: DataFrame, found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans become one."""
-    own = with_findings(docs, found, text_col)
+    own = docs.withColumn("__blob", F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    own = own.join(found.select(F.col("blob").alias("__found"), F.col("spans").alias("__spans")), F.col("__blob") == F.col("__found"), "left")
     text = F.col(text_col)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -144,5 +145,5 @@ def redact(docs: DataFrame, found: DataFrame, text_col: str = "text", mark: str
         gap = F.when(fresh, F.concat(text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    return own.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).drop("blob", "spans").select(*docs.columns)
+    clean = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    return own.withColumn(text_col, F.when(F.col("__spans").isNotNull(), clean).otherwise(text)).select(*docs.columns)

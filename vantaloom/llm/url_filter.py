@@ -132,8 +132,9 @@ def _by_join(df: DataFrame, url_col: str, rules: Sequence[Rule], default: str) -
         .where(F.expr("startswith(path, rule_path)"))
         .groupBy("__url")
         .agg(F.max(F.struct(F.length("rule"), F.col("verdict"), F.col("rule"))).alias("best"))
+        .withColumnRenamed("__url", "__fit")
     )
-    judged = urls.join(fits, urls["__url"].eqNullSafe(fits["__url"]), "left").select(urls["__url"], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    judged = urls.join(fits, F.col("__url").eqNullSafe(F.col("__fit")), "left").select("__url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
     base = df.select(*[c for c in df.columns if c not in OUT.names], df[url_col].alias("__key"))
     return base.join(judged, F.col("__key").eqNullSafe(F.col("__url")), "left").drop("__key", "__url")
 
