@@ -12,10 +12,21 @@ from pyspark.sql import functions as F
 from vantaloom.sources.runtime import small_side
 
 
-def gold_hits(ranked: DataFrame, gold: DataFrame, hit: Column | None = None) -> DataFrame:
-    """(query_id, gold, first): the first rank of each gold string, null where it never occurs."""
-    found = ranked.join(gold, "query_id").where(hit if hit is not None else F.contains("text", "gold")).groupBy("query_id", "gold").agg(F.min("rank").alias("first"))
-    return gold.join(found, ["query_id", "gold"], "left")
+def occurrences(texts: DataFrame, gold: DataFrame, unit: str = "chunk_id") -> DataFrame:
+    """(query_id, gold, unit) where a text holds a gold string: each text is searched once, and texts never meet the rankings."""
+    return texts.select(unit, "text").join(small_side(gold), F.contains("text", "gold")).select("query_id", "gold", unit)
+
+
+def gold_hits(ranked: DataFrame, gold: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(query_id, gold, first): the first rank of each gold string, null where it never occurs.
+
+    ``found`` are occurrences by chunk; without them ``ranked`` must carry the texts.
+    """
+    if found is None:
+        hits = ranked.join(gold, "query_id").where(F.contains("text", "gold"))
+    else:
+        hits = ranked.select("query_id", "chunk_id", "rank").join(found, ["query_id", "chunk_id"])
+    return gold.join(hits.groupBy("query_id", "gold").agg(F.min("rank").alias("first")), ["query_id", "gold"], "left")
 
 
 def completion(hits: DataFrame) -> DataFrame:
@@ -34,9 +45,10 @@ def hit_matrix(done: DataFrame, ks=(1, 3, 5, 10)) -> DataFrame:
     return done.select("query_id", *[F.coalesce(F.col("done") <= k, F.lit(False)).alias(f"hit_{k}") for k in ks])
 
 
-def relevance(texts: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., rel): how many gold strings of the query each text holds; texts without one are left out."""
-    return texts.join(gold, "query_id").where(F.contains("text", "gold")).groupBy(*keys).agg(F.countDistinct("gold").alias("rel"))
+def relevance(ranked: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, rank, rel): how many gold strings of the query each chunk holds; chunks without one are left out."""
+    rel = found.groupBy("query_id", "chunk_id").agg(F.countDistinct("gold").alias("rel"))
+    return ranked.select("query_id", "chunk_id", "rank").join(rel, ["query_id", "chunk_id"])
 
 
 def ndcg(rel: DataFrame, ideal: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantaloom.sources.runtime import stage
+
 SLICES, TIE_IDS = 64, 50_000
 
 
@@ -19,6 +21,7 @@ def rank_within(df: DataFrame, group: str, score: str, tie: str, name: str, star
 
     ``common`` is a score that many rows may share; those rows are sliced by ``tie``, a number.
     """
+    df = stage(df, "ranking")  # read three times below; unstaged, nested ranks would compute their scores over and over
     ends = df.groupBy(group).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
     wide = df.join(ends, group)
     place = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__hi") - F.col(score)) / (F.col("__hi") - F.col("__lo")) * slices)).otherwise(F.lit(0)).cast("long")

@@ -9,16 +9,20 @@ from vantaloom.operators import code, context, fusion, integrity, judging, metri
 from vantaloom.plans import data
 from vantaloom.plans.registry import query
 from vantaloom.plans.retrieval import GRID_SQL, _pack_sql
-from vantaloom.sources.runtime import small_side, stage, table
+from vantaloom.sources.runtime import stage, table
 
 S = SparkSession
 
 
 def full_ranking(spark: S, d: str) -> DataFrame:
-    """(query_id, rank, chunk_id, text, doc) over all chunks, by the fused score."""
+    """(query_id, rank, chunk_id) over all chunks, by the fused score."""
     fused = data.ranked(spark, d).withColumn("fused", F.round(fusion.rrf("r_cosine", "r_bm25"), 10))
     ranked = fusion.rank_within(fused, "query_id", "fused", "chunk_id", "rank", common=None)
-    return ranked.select("query_id", "rank", "chunk_id").join(data.chunks(spark, d).select("chunk_id", "text", "doc"), "chunk_id")
+    return ranked.select("query_id", "rank", "chunk_id")
+
+
+def found_gold(spark: S, d: str) -> DataFrame:
+    return metrics.occurrences(data.chunks(spark, d), data.gold(spark, d))
 
 
 _HITS = f"""{data.FUSED}, {data.GOLD}, hits as (select g.query_id, g.gold, min(case when contains(text, gold) then rank end) first_at from gold g join fused f on f.query_id = g.query_id group by g.query_id, g.gold),
@@ -26,7 +30,7 @@ _HITS = f"""{data.FUSED}, {data.GOLD}, hits as (select g.query_id, g.gold, min(c
 
 
 def _hits(spark: S, d: str) -> DataFrame:
-    return metrics.gold_hits(full_ranking(spark, d), data.gold(spark, d))
+    return metrics.gold_hits(full_ranking(spark, d), data.gold(spark, d), found_gold(spark, d))
 
 
 @query(f"""with {_HITS} select count(*) n_queries, {', '.join(f"round(avg(case when done <= {k} then 1.0::double else 0.0::double end), 6) recall_{k}" for k in (1, 3, 5, 10))}, round(avg(coalesce(1.0::double / done, 0.0::double)), 6) mrr from done""")
@@ -51,7 +55,7 @@ def miss_report(spark: S, d: str) -> DataFrame:
     select query_id, round(case when idcg > 0 then dcg / idcg else 0.0 end, 6) ndcg from sums""")
 def ndcg(spark: S, d: str) -> DataFrame:
     ranking = full_ranking(spark, d)
-    rel = metrics.relevance(ranking, data.gold(spark, d), ["query_id", "chunk_id", "rank"])
+    rel = metrics.relevance(ranking, found_gold(spark, d))
     return metrics.ndcg(rel, rel.select("query_id", "rel"), data.questions(spark, d).join(data.gold(spark, d), "query_id", "left_semi"))
 
 
@@ -80,13 +84,13 @@ _PARENTS = f"""{_HITS}, ranked_docs as (select query_id, doc, min(rank) first_ra
 def parent_report(spark: S, d: str) -> DataFrame:
     """Top 3 files of each question: recall by chunks, by whole files and within a budget of 8000 characters."""
     ranking, gold = full_ranking(spark, d), data.gold(spark, d)
-    first = ranking.groupBy("query_id", "doc").agg(F.min("rank").alias("first_rank"))
+    first = ranking.join(data.chunks(spark, d).select("chunk_id", "doc"), "chunk_id").groupBy("query_id", "doc").agg(F.min("rank").alias("first_rank"))
     top = fusion.top_k(first, "query_id", 3, [F.asc("first_rank")]).select("query_id", "rank", "doc")
     rows = data.chunks(spark, d).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))).alias("rows"))
     contexts = top.join(rows.select("doc", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("text")), "doc")
     packed = context.pack_budget(contexts, 8000, ["query_id"])
     complete = lambda texts, name: gold.join(texts.select("query_id", "text"), "query_id").groupBy("query_id", "gold").agg(F.bool_or(F.contains("text", "gold")).alias("hit")).groupBy("query_id").agg(F.bool_and("hit").alias(name))
-    done = metrics.completion(metrics.gold_hits(ranking, gold)).select("query_id", F.coalesce(F.col("done") <= 3, F.lit(False)).alias("c"))
+    done = metrics.completion(metrics.gold_hits(ranking, gold, found_gold(spark, d))).select("query_id", F.coalesce(F.col("done") <= 3, F.lit(False)).alias("c"))
     sizes = packed.groupBy("query_id").agg(F.sum(F.length("text")).alias("n_chars"), F.bool_or("truncated").alias("cut"))
     every = done.join(complete(contexts, "p"), "query_id").join(complete(packed, "b"), "query_id").join(sizes, "query_id")
     rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 6)
@@ -104,10 +108,10 @@ _FIRST = f"""{GRID_SQL}, {data.GOLD}, target as (select query_id, min(gold) gold
 def first_ranks(spark: S, d: str) -> DataFrame:
     """(strategy, depth, tier, query_id, rank): the first candidate with a question's least gold string, or depth + 1."""
     target = data.gold(spark, d).groupBy("query_id").agg(F.min("gold").alias("gold"))
-    grid = fusion.strategy_grid(data.ranked(spark, d)).join(small_side(target), "query_id").join(data.chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    grid = fusion.strategy_grid(data.ranked(spark, d)).join(metrics.occurrences(data.chunks(spark, d), target), ["query_id", "chunk_id"])
     names = spark.createDataFrame([(s.name, s.depth) for s in fusion.strategies()], "strategy string, depth int")
     every = target.select("query_id").crossJoin(F.broadcast(names))
-    hit = grid.where(F.contains("text", "gold")).groupBy("strategy", "query_id").agg(F.min("rank").alias("rank"))
+    hit = grid.groupBy("strategy", "query_id").agg(F.min("rank").alias("rank"))
     found = every.join(hit, ["strategy", "query_id"], "left")
     return found.select("strategy", "depth", F.when(F.col("query_id") % 2 == 0, "A").otherwise("B").alias("tier"), "query_id", F.coalesce("rank", F.col("depth") + 1).cast("long").alias("rank"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantaloom.functions import text as tx
-from vantaloom.operators import context, dense, fusion, lexical
+from vantaloom.operators import context, dense, fusion, lexical, metrics
 from vantaloom.plans import data
 from vantaloom.plans.registry import query
 from vantaloom.sources.runtime import table
@@ -164,7 +164,7 @@ def strategy_grid(spark: S, d: str) -> DataFrame:
 
 def _code_scores(spark: S, d: str) -> DataFrame:
     """Both scores with overview chunks weighted down, then ranked."""
-    own = data.scores(spark, d).join(data.chunks(spark, d).select("chunk_id", "is_overview", "symbol", "text"), "chunk_id")
+    own = data.scores(spark, d).join(data.chunks(spark, d).select("chunk_id", "is_overview", "symbol"), "chunk_id")
     down = own.withColumns({n: F.round(fusion.downweight(F.col(n), F.col("is_overview")), 8) for n in ("bm25", "cosine")})
     return fusion.with_ranks(down, "cosine", "bm25")
 
@@ -198,7 +198,7 @@ _RERANK = f"""{_DEDUP}, rescored as (select r.query_id, chunk_id, r.is_overview,
 def code_search(spark: S, d: str) -> DataFrame:
     """Two-stage code search: weighted-down fusion, one part a symbol, rerank of cut texts, weight again."""
     fused = _code_scores(spark, d).withColumn("fused", F.round(fusion.rrf("r_cosine", "r_bm25"), 10))
-    recalled = fusion.best_per_symbol(fused, 20).drop("rank").join(data.questions(spark, d), "query_id")
+    recalled = fusion.best_per_symbol(fused, 20).drop("rank").join(data.questions(spark, d), "query_id").join(data.chunks(spark, d).select("chunk_id", "text"), "chunk_id")
     scored = recalled.withColumn("rerank_score", fusion.overlap_score(F.col("q"), F.substring("text", 1, fusion.RERANK_CHARS)))
     final = scored.withColumn("rerank_score", F.round(fusion.downweight(F.col("rerank_score"), F.col("is_overview")), 6))
     return fusion.top_k(final, "query_id", 5, [F.desc("rerank_score"), F.asc("chunk_id")]).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "rerank_score")
@@ -245,10 +245,11 @@ def stage_diagnosis(spark: S, d: str) -> DataFrame:
     """Where the first chunk with a question's least gold string stands after each stage."""
     target = data.gold(spark, d).groupBy("query_id").agg(F.min("gold").alias("gold"))
     scored = _code_scores(spark, d).withColumn("fused", F.round(fusion.rrf("r_cosine", "r_bm25"), 10))
-    ranks = fusion.rank_within(scored, "query_id", "fused", "chunk_id", "r_fused", common=None).join(F.broadcast(target), "query_id")
-    hit = F.contains("text", "gold")
-    first = ranks.groupBy("query_id").agg(*[F.min(F.when(hit, F.col(c) + k)).alias(n) for c, k, n in (("r_cosine", 1, "rank_vector"), ("r_bm25", 1, "rank_bm25"), ("r_fused", 0, "rank_fused"))])
-    ded = fusion.best_per_symbol(scored, 20).join(F.broadcast(target), "query_id").groupBy("query_id").agg(F.min(F.when(hit, F.col("rank"))).cast("long").alias("rank_dedup"))
+    found = metrics.occurrences(data.chunks(spark, d), target).withColumn("hit", F.lit(True))
+    ranks = fusion.rank_within(scored, "query_id", "fused", "chunk_id", "r_fused", common=None).join(found, ["query_id", "chunk_id"], "left")
+    first = ranks.groupBy("query_id").agg(*[F.min(F.when(F.col("hit"), F.col(c) + k)).alias(n) for c, k, n in (("r_cosine", 1, "rank_vector"), ("r_bm25", 1, "rank_bm25"), ("r_fused", 0, "rank_fused"))])
+    ded = fusion.best_per_symbol(scored, 20).join(found, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").cast("long").alias("rank_dedup"))
+    first = first.join(target.select("query_id"), "query_id", "left_semi")
     return first.join(ded, "query_id", "left").withColumn("recalled", F.coalesce(F.col("rank_fused") <= 20, F.lit(False)))
 
 
