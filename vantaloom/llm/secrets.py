@@ -130,7 +130,9 @@ def scan_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """Digest of every document, and the new ledger rows (staged)."""
     fresh = stage(scan(docs, text_col, rules, ledger).where("size(spans) > 0"), "secrets") if ledger is None else stage(scan(docs, text_col, rules, ledger), "secrets")
     whole = fresh if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(fresh)
-    return digest(with_findings(docs, findings(whole, rules), text_col, id_col), id_col, rules), fresh
+    # Staged, the findings come to the join without a partitioning of their own, and Spark can split a frequent blob.
+    found = stage(findings(whole, rules), "findings")
+    return digest(with_findings(docs, found, text_col, id_col), id_col, rules), fresh
 
 
 def redact(docs: DataFrame, found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
