@@ -94,7 +94,7 @@ def _clean(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(finite & some).groupBy("v").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n_copies"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.95, chunk: int = 1024, seed: int = 7) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.95, chunk: int = 384, seed: int = 7) -> DataFrame:
     """One row per input row: id, number of vectors linked directly, component, and whether it is kept."""
     spark = df.sparkSession
     ship_package(spark)
