@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in the text and the length counted anew where the text changed."""
-    found = secrets.findings(stage(secrets.scan(docs).where("size(spans) > 0"), "secrets"))
+    found = stage(secrets.findings(secrets.scan(docs).where("size(spans) > 0")), "findings")
     clean = secrets.redact(docs, found)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
