@@ -94,7 +94,7 @@ def rate_limit(spark: S, d: str) -> DataFrame:
 
 
 @query(f"""with recursive {_LOG}, {_ordered('question')}, f as (select k, n, event_id, false shared, sec + duration e from o where n = 1 union all
-    select o.k, o.n, o.event_id, o.sec < f.e, case when o.sec < f.e then f.e else o.sec + o.duration end from f join o on o.k = f.k and o.n = f.n + 1) select event_id, shared, round(e, 4) answered_at from f""")
+    select o.k, o.n, o.event_id, o.sec < f.e, case when o.sec < f.e then f.e else o.sec + o.duration end from f join o on o.k = f.k and o.n = f.n + 1) select event_id, shared, round(e, 2) answered_at from f""")
 def single_flight(spark: S, d: str) -> DataFrame:
     """Requests of a question share the call in flight; a call takes 60 times the event's value in seconds."""
-    return serving.single_flight(request_log(spark, d), "question", "at", "duration").select("event_id", "shared", F.round("answered_at", 4).alias("answered_at"))
+    return serving.single_flight(request_log(spark, d), "question", "at", "duration").select("event_id", "shared", F.round("answered_at", 2).alias("answered_at"))

@@ -10,16 +10,59 @@ def _suffix(path):
     return F.regexp_extract(path, r"(\.[^./]+)$", 1)
 
 
+HIDDEN_MB = 256
+
+
+def underscored(spark: SparkSession, folders: list[str], deepest: int = 32) -> tuple[list[tuple[str, int]], list[str]]:
+    """Files (with sizes) and folders whose names begin with ``_``, which Spark's listing hides; byte-code folders are left out."""
+    jvm, files, inner = spark.sparkContext._jvm, {}, []
+    for folder in folders:
+        base = folder.rstrip("/")
+        fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for depth in range(deepest):
+            level = base + "/*" * depth
+            if depth and not fs.globStatus(jvm.org.apache.hadoop.fs.Path(level)):
+                break
+            for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(level + "/_*")) or []:
+                path = status.getPath().toString()
+                if "__pycache__" in path:
+                    continue
+                if status.isDirectory():
+                    inner.append(path)
+                else:
+                    files[path] = status.getLen()
+    return sorted(files.items()), inner
+
+
+def _files(spark: SparkSession, folders: list[str], contents: bool = True) -> DataFrame:
+    """(path, length, content) of all files. Those that Spark hides (``__init__.py``) are few and small, and come through the driver."""
+    hidden, inner = underscored(spark, folders)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([*folders, *inner])
+    if not hidden:
+        return raw.select("path", "length", "content") if contents else raw.select("path", "length")
+    if not contents:
+        return raw.select("path", "length").unionByName(spark.createDataFrame(hidden, "path string, length long"))
+    if sum(n for _, n in hidden) > HIDDEN_MB * 1e6:
+        raise ValueError(f"files with names that begin with _ hold more than {HIDDEN_MB} MB; give them other names")
+    jvm, rows = spark.sparkContext._jvm, []
+    for path, n in hidden:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+        rows.append((path, n, bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+        stream.close()
+    return raw.select("path", "length", "content").unionByName(spark.createDataFrame(rows, "path string, length long, content binary"))
+
+
 def load_documents(spark: SparkSession, folders: list[str], extensions: tuple[str, ...] = (".md", ".py", ".txt"), skip: tuple[str, ...] = ("input.txt",)) -> DataFrame:
     """(path, text) of text files under the folders; files that are no UTF-8 are left out.
 
     Order is by path, so that ids given later do not depend on the listing.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+    raw = _files(spark, folders)
     name = F.substring_index("path", "/", -1)
     kept = raw.where(_suffix(F.col("path")).isin(list(extensions)) & ~F.contains("path", F.lit("__pycache__")) & ~name.isin(list(skip)))
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return kept.select("path", text.alias("text")).where("text is not null").sort("path")
+    return kept.select("path", text.alias("text")).where("text is not null").dropDuplicates(["path"]).sort("path")
 
 
 def load_python(spark: SparkSession, folders: list[str], root: str, max_files: int | None = None) -> DataFrame:
@@ -33,7 +76,7 @@ def load_python(spark: SparkSession, folders: list[str], root: str, max_files: i
 
 def folder_statistics(spark: SparkSession, root: str, top: int = 20) -> tuple[DataFrame, DataFrame]:
     """Files and bytes by folder, and the largest files of the root; contents are not read."""
-    meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    meta = _files(spark, [root], False).dropDuplicates(["path"])
     rel = F.regexp_replace("path", r"^file:(//)?", "")
     own = meta.withColumn("rel", F.substring(rel, F.lit(len(root.rstrip("/")) + 2), F.length(rel)))
     folder = F.when(F.contains("rel", F.lit("/")), F.substring_index("rel", "/", 1)).otherwise(F.lit("."))
