@@ -39,7 +39,7 @@ def suggestions(pool: DataFrame, seed: int, quotas: dict[str, int], extra: str =
     order = F.coalesce(*[F.when(F.col("category") == c, F.lit(i)) for i, c in enumerate(quotas)])
     w = Window.partitionBy("category").orderBy(key, extra)
     most = max(quotas.values())
-    return pool.where(F.col("category").isin(list(quotas))).withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= most).where(F.col("pick") <= wanted).withColumn("place", order)
+    return pool.where(F.col("category").isin(list(quotas))).withColumn("pick", F.row_number().over(w).cast("long")).where(F.col("pick") <= most).where(F.col("pick") <= wanted).withColumn("place", order)
 
 
 def runs_by_gap(log: DataFrame, key: str, at: str, gap: float) -> DataFrame:
