@@ -129,4 +129,14 @@ COSINE_SQL = """
     select vec_id, (select count(*) from links where x = vec_id)::bigint n_links, least(vec_id, coalesce(m, vec_id)) component_id,
         least(vec_id, coalesce(m, vec_id)) = vec_id as kept from embeddings left join least on x = vec_id"""
 
-SQL: dict[str, str] = {"op1_url_filter": _url_sql(), "op2_embedding_dedup": COSINE_SQL, "op8_secrets": _secret_sql(), "op10_warc": WARC_SQL}
+JACCARD_SQL = """
+    with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') words from documents),
+    sets as (select doc_id, list_distinct(case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) when len(words) > 0 then [array_to_string(words, ' ')] else [] end) s from w),
+    grams as (select doc_id, len(s) n, hash(g) g from (select doc_id, s, unnest(s) g from sets)),
+    overlap as (select a.doc_id x, b.doc_id y, a.n nx, b.n ny, count(*) i from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+    links as (select x, y from overlap where 100 * i >= 80 * (nx + ny - i)),
+    reach(x, y) as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x),
+    first as (select x, min(y) m from reach group by x)
+    select doc_id, len(s)::bigint n_shingles, least(doc_id, coalesce(m, doc_id)) component_id from sets left join first on x = doc_id"""
+
+SQL: dict[str, str] = {"op3_ngram_jaccard": JACCARD_SQL, "op1_url_filter": _url_sql(), "op2_embedding_dedup": COSINE_SQL, "op8_secrets": _secret_sql(), "op10_warc": WARC_SQL}
