@@ -9,23 +9,28 @@ with the logarithm of the largest component.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantaloom.sources.runtime import stage
 
 
+def again(name: str) -> Column:
+    """The same column under a partitioning that the planner does not know, so that a join shuffles both its sides afresh and can split a node with very many links."""
+    return F.expr(f"{name} + 0").alias(name)
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours the smallest node it knows."""
     both = links.union(links.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(again("u"), F.least("u", "m").alias("m"))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours and itself to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = down.groupBy("u").agg(F.min("v").alias("m")).select(again("u"), "m")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 

@@ -38,9 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantaloom.llm.blocks import Forest, to_cells
-from vantaloom.llm.components import connected_components
+from vantaloom.llm.components import again, connected_components
 from vantaloom.llm.shingles import mix, shingle_sets
-from vantaloom.sources.runtime import ship_package, stage
+from vantaloom.sources.runtime import arrow_batches, ship_package, stage
 
 SKETCH_BITS, SKETCH_ROWS, FILTER_BITS = 20, 256, 24
 LIGHT, CHUNK, COLUMNS = 24, 384, 8192
@@ -307,10 +307,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_a.join(sets.select(F.col("name").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
+def _links(docs: DataFrame, text_col: str, id_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, n, set name), sets (name, least doc_id) and the links between sets; all jobs that see texts or sets end here."""
     spark = docs.sparkSession
-    ship_package(spark)
     context = spark.sparkContext
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     first = _first_pass(texts)
@@ -326,7 +325,7 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     pairs = stage(_light_pairs(members.where(F.col("rows") <= LIGHT), percent), "ngram-pairs")
     heavy = members.where(F.col("rows") > LIGHT)
     tied = connected_components(heavy.select("low", "name"))
-    groups = tied.groupBy("component").agg(F.count("*").alias("size"))
+    groups = tied.groupBy("component").agg(F.count("*").alias("size")).select(again("component"), "size")
     cells = to_cells(tied.join(groups, "component"), ["component"], "node", F.col("size"), CHUNK).select("component", "cell_i", "cell_j", "side", F.col("node").alias("name"))
     cells = stage(cells, "ngram-cells")
     asked = context.broadcast(_filter_of(pairs.select("a").union(pairs.select("b")).union(cells.select("name"))))
@@ -337,7 +336,15 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     dealt = cells.join(sets, "name").select(*keys, "side", "name", "grams").repartition(parts, *keys).sortWithinPartitions(*keys, "side", "name")
     in_cells = _grouped(dealt, 3, lambda key, held: _cell_links(held, percent, key[1] == key[2]), "a long, b long", ["a", "b"])
     links = stage(_verify(pairs, sets, percent).union(in_cells), "ngram-links")
+    return rows, classes, links
+
 
+def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = 80) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    with arrow_batches(spark, 1000):
+        rows, classes, links = _links(docs, text_col, id_col, percent)
     ends = links.join(classes.select(F.col("name").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("name").alias("b"), F.col("rep").alias("rb")), "b")
     components = connected_components(ends.select("ra", "rb"))
     per_class = classes.join(components, classes["rep"] == components["node"], "left").select("name", F.coalesce("component", "rep").alias("component_id"))

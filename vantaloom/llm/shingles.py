@@ -21,7 +21,7 @@ _VALUE[65:91] = _VALUE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # fixed values: a public 64-bit finaliser
-PIECE = 2_000_000
+PIECE = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
