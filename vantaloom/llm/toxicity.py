@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from vantaloom.sources.runtime import ship_package
 
-FOLDS, LEAST, LONGEST, PRIOR, DRIFT, CACHE = 4, 3, 8, 20.0, 0.5, 400_000
+FOLDS, LEAST, LONGEST, PRIOR, DRIFT, CACHE = 4, 3, 8, 20.0, 0.5, 150_000
 WORDS = re.compile(r"\w+").findall
 COUNTS = [f"c{c}_{f}" for c in (0, 1) for f in range(FOLDS)]
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_segments", T.IntegerType()), T.StructField("segments", T.StringType())])
@@ -122,16 +122,25 @@ def _shares(counts: dict[str, np.ndarray], toxic: np.ndarray, every: np.ndarray)
     """Scores of units by fold left out (last: none left out), each shrunk towards its shorter prefix."""
     root = np.clip(toxic / np.maximum(every, 1), 1e-6, 1 - 1e-6)
     shares: dict[str, np.ndarray] = {}
+    centres: dict[str, np.ndarray] = {}
 
     def share(u: str) -> np.ndarray:
         if u in shares:
             return shares[u]
         stem = u[:-1][:LONGEST] if u.endswith("$") else u[:-1]
-        above = share(stem) if len(stem) >= LEAST and stem in counts else root
-        c = counts[u]
+        c, above = counts[u], root
+        if len(stem) >= LEAST and stem in counts:
+            # The prior is what the stem says without this unit's own tokens; else they would count at every length.
+            rest = np.maximum(counts[stem] - c, 0)
+            above = (rest[1] + PRIOR * centre(stem)) / (rest[0] + rest[1] + PRIOR)
+        centres[u] = above
         shares[u] = (c[1] + PRIOR * above) / (c[0] + c[1] + PRIOR)
         return shares[u]
 
+    def centre(u: str) -> np.ndarray:
+        share(u)
+        return centres[u]
+
     for u in sorted(counts, key=len):
         share(u)
     logit = lambda p: np.log(p / (1 - p))
@@ -192,8 +201,9 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     n = usable.count()
     if n > max_train:
         usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < 1_000_000 * max_train // n)
-    usable = usable.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(FOLDS)).cast("int"))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(usable), "doc_id").select("text", "toxic", "fold")  # at most about max_train rows of two numbers
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(usable), "doc_id")  # at most about max_train rows of two numbers
+    # A text counts once however many copies it has; near copies, which mostly begin alike, share a fold.
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("text", "toxic", F.pmod(F.xxhash64(F.substring("text", 1, 40)), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = defaultdict(lambda: [0] * len(COUNTS))
@@ -206,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         for batch in batches:
             for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = toxic * FOLDS + fold
-                for w in WORDS((text or "").lower()):
+                for w in set(WORDS((text or "").lower())):
                     seen[w][at] += 1
                 if len(seen) > CACHE:
                     yield flush()
