@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantaloom.llm.blocks import Forest, to_cells
-from vantaloom.llm.components import connected_components
+from vantaloom.llm.components import again, connected_components
 from vantaloom.sources.runtime import ship_package, stage
 
 
@@ -120,7 +120,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                     yield pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(copies[own], pa.int64()), pa.array(np.full(len(own), t, dtype=np.int32)), pa.array(codes[:, t]), pa.array(every, pa.binary()), pa.array(raw, pa.binary())], names=["class_id", "n_copies", "tab", "code", "codes", "v"])
 
     rows = classes.select("class_id", "n_copies", "v").mapInArrow(hash_rows, "class_id long, n_copies long, tab int, code int, codes binary, v binary")
-    sizes = rows.select("tab", "code").groupBy("tab", "code").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = rows.select("tab", "code").groupBy("tab", "code").agg(F.count("*").alias("size")).where("size > 1").select(again("tab"), again("code"), "size")
     met = to_cells(rows.join(sizes, ["tab", "code"]), ["tab", "code"], "class_id", F.col("size"), chunk)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["tab", "code", "cell_i", "cell_j"]

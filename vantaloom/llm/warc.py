@@ -190,7 +190,7 @@ def with_referrals(pages: DataFrame, min_revisit: int) -> DataFrame:
     """Page id, url, html, and for revisits the page id they refer to."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     large = base.where(F.octet_length("html") >= min_revisit)
-    winners = large.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1").select("digest", "winner")
+    winners = large.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1").select(F.substring("digest", 1, 40).alias("digest"), "winner")  # the whole digest, under a partitioning that the planner does not know: the join then shuffles both sides afresh and can split a frequent payload
     own = F.when((F.col("winner") != F.col("page_id")) | F.col("page_id").isNull(), F.col("winner"))
     return base.join(winners, "digest", "left").select("page_id", "url", "html", own.alias("refers_to"))
 
