@@ -2,7 +2,7 @@
 
 import pytest
 
-from vantaloom.sources import corpus, runtime
+from vantaloom.sources import corpus, evalsets, runtime
 
 
 @pytest.fixture
@@ -50,3 +50,13 @@ def test_stage_keeps_schema_and_small_side_falls_back(spark):
     assert sorted(map(tuple, runtime.stage(df, "t").collect())) == [(1, "a"), (2, None)]
     assert "broadcast" in runtime.small_side(df)._jdf.queryExecution().toString().lower()
     assert "broadcast" not in runtime.small_side(df, 1)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_evaluation_sets(spark, tmp_path):
+    (tmp_path / "q.json").write_text('{"id": "a", "q": "x?", "gold": ["g", "h"]}\n{"q": "z?", "gold": []}\n{"q": "y?", "gold": ["k"]}\n')
+    got = evalsets.read_set(spark, str(tmp_path / "q.json"))
+    assert {r["id"]: r["q"] for r in got.collect()} == {"a": "x?", "s01": "y?", "s02": "z?"}
+    assert sorted(map(tuple, evalsets.gold_rows(got).collect())) == [("a", "g"), ("a", "h"), ("s01", "k")]
+    (tmp_path / "t.json").write_text('{"id": "t", "facts": [{"desc": "d", "checks": [{"kind": "kwarg", "name": "n", "value": 16, "not": true}]}], "seed": {"a.py": "x"}}\n')
+    task = evalsets.read_set(spark, str(tmp_path / "t.json"), evalsets.TASKS).first()
+    assert task["facts"][0]["checks"][0]["value"] == "16" and task["facts"][0]["checks"][0]["not"] and task["seed"] == {"a.py": "x"}

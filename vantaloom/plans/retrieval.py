@@ -197,11 +197,15 @@ _RERANK = f"""{_DEDUP}, rescored as (select r.query_id, chunk_id, r.is_overview,
 @query(f"with {_RERANK}, r as (select query_id, row_number() over (partition by query_id order by rerank_score desc, chunk_id) as rank, chunk_id, rerank_score from final) select * from r where rank <= 5")
 def code_search(spark: S, d: str) -> DataFrame:
     """Two-stage code search: weighted-down fusion, one part a symbol, rerank of cut texts, weight again."""
+    return code_hits(spark, d).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "rerank_score")
+
+
+def code_hits(spark: S, d: str) -> DataFrame:
     fused = _code_scores(spark, d).withColumn("fused", F.round(fusion.rrf("r_cosine", "r_bm25"), 10))
     recalled = fusion.best_per_symbol(fused, 20).drop("rank").join(data.questions(spark, d), "query_id").join(data.chunks(spark, d).select("chunk_id", "text"), "chunk_id")
     scored = recalled.withColumn("rerank_score", fusion.overlap_score(F.col("q"), F.substring("text", 1, fusion.RERANK_CHARS)))
     final = scored.withColumn("rerank_score", F.round(fusion.downweight(F.col("rerank_score"), F.col("is_overview")), 6))
-    return fusion.top_k(final, "query_id", 5, [F.desc("rerank_score"), F.asc("chunk_id")]).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "rerank_score")
+    return fusion.top_k(final, "query_id", 5, [F.desc("rerank_score"), F.asc("chunk_id")])
 
 
 def recalled(spark: S, d: str, depth: int = 20) -> DataFrame:
@@ -286,3 +290,12 @@ def search_context(spark: S, d: str) -> DataFrame:
     once = context.expand_parents(top.drop("text")).select("query_id", "rank", F.col("parent").alias("text"))
     joined = context.join_context(context.pack_budget(once, 8000, ["query_id"]), ["query_id"])
     return joined.select("query_id", "n_items", F.sha1(F.col("context").cast("binary")).alias("digest"))
+
+
+@query(f"""with {_RERANK}, r as (select query_id, row_number() over (partition by query_id order by rerank_score desc, chunk_id) as rank, chunk_id from final), top as (select query_id, rank, text from r join chunks using (chunk_id) where rank <= 5),
+    {_pack_sql('top', 'query_id', 'text', 12000)} select query_id, count(*) n_items, sha1(string_agg(text, chr(10) || chr(10) order by rank)) digest from packed group by query_id""")
+def code_context(spark: S, d: str) -> DataFrame:
+    """The code search's passages in a budget of 12000 characters, one context a question."""
+    top = code_hits(spark, d).select("query_id", "rank", "text")
+    joined = context.join_context(context.pack_budget(top, 12_000, ["query_id"]), ["query_id"])
+    return joined.select("query_id", "n_items", F.sha1(F.col("context").cast("binary")).alias("digest"))
