@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantaloom.operators import dense, fusion, lexical
-from vantaloom.sources.runtime import table
+from vantaloom.sources.runtime import spread, table
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return d.select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("doc"), (F.col("lang") == "es").alias("is_overview"), F.concat_ws("|", "source", "lang").alias("symbol"))
 
 

@@ -104,3 +104,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """``df`` with a broadcast hint where it has few rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if len(df.limit(most_rows + 1).select(F.lit(1)).take(most_rows + 1)) <= most_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where it comes in fewer partitions, as one small file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
