@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from vantaloom.operators import context, dense, fusion, integrity, lexical, metrics, ranking
 
 DOCS = {1: "red fox red", 2: "blue fox", 3: "green tree", 4: ""}
@@ -149,3 +150,12 @@ def test_dot_products_agree(spark):
     assert got[1, 2] == got[2, 1] == pytest.approx(0.6, abs=1e-6)
     assert got[1, 1] == pytest.approx(1.0, abs=1e-6)
     assert [r["alarm"] for r in dense.similar_queries(q, 0.5).collect()] == [True]
+
+
+def test_descriptions_meet_every_question(spark, tmp_path):
+    items = [(3, "alpha words"), (50, "bravo words"), (41, "charlie words")]
+    texts = ["alpha words", "charlie words", "bravo words", None]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["jaccard"] for r in __spark_entry__.queries()["description_distance"](spark, str(tmp_path)).collect()}
+    assert got == {0: 1.0, 1: 1.0, 2: 1.0, 3: 0.0}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantaloom.functions import text as tx
-from vantaloom.operators import context, dense, fusion, lexical, metrics
+from vantaloom.operators import context, dense, fusion, lexical, metrics, ranking
 from vantaloom.plans import data
 from vantaloom.plans.registry import query
 from vantaloom.sources.runtime import table
@@ -81,9 +81,16 @@ _CONTENT = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'
     select doc_id, round(coalesce(len(list_intersect(a, b))::double / nullif(len(list_distinct(list_concat(a, b))), 0), 0.0), 6) jaccard, round(coalesce(len(list_intersect(a, b))::double / nullif(len(b), 0), 0.0), 6) coverage,
         (len(b) - len(list_intersect(a, b)))::bigint n_avoided from p""")
 def description_distance(spark: S, d: str) -> DataFrame:
-    """Every document as the description of one of the benchmark's first questions."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("description"), (F.col("doc_id") % 40).alias("query_id"))
-    return lexical.description_distance(docs.join(data.questions(spark, d), "query_id")).select("doc_id", "jaccard", "coverage", "n_avoided")
+    """Every document as the description of one question; the questions, by id, take the documents in turn.
+
+    The SQL takes them in turn by a fixed 40: it gives the same rows where the item ids are 0 to 39.
+    """
+    q = data.questions(spark, d)
+    ids = q.select("query_id").distinct().withColumns({"all": F.lit(0), "above": -F.col("query_id")})
+    places = ranking.rank_within(ids, "all", "above", "query_id", "place", start=0, common=None).select("query_id", "place")
+    turn = F.pmod(F.col("doc_id"), F.lit(max(places.count(), 1)))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("description"), turn.alias("place"))
+    return lexical.description_distance(docs.join(places.join(q, "query_id"), "place")).select("doc_id", "jaccard", "coverage", "n_avoided")
 
 
 @query(f"with {data.SCORES}, r as (select query_id, chunk_id, cosine, row_number() over (partition by query_id order by cosine desc, chunk_id) as rank from cosines) select query_id, chunk_id, round(cosine, 6) cosine, rank from r where rank <= 10")
