@@ -352,6 +352,15 @@ def test_media(docs, empty):
             telephony.read_wav(bad)
 
 
+def test_resampled_pcm_is_stored_and_read_back(docs, monkeypatch):
+    stored, keep = [], telephony.stage
+    monkeypatch.setattr(telephony, "stage", lambda df, label, **how: stored.append(keep(df, label, **how)) or stored[-1])
+    got = sorted((r["doc_id"] or -1, r["feature"]) for r in telephony.media_features(telephony.store_media(docs)).collect())
+    sounds = [r for df in stored if "pcm" in df.columns for r in df.collect()]
+    assert sorted((r["doc_id"] or -1, len(r["pcm"]) // 2, f"{zlib.crc32(r['pcm']):08x}") for r in sounds) == sorted((d, int(f.split(":")[1]), f.split(":")[-1]) for d, f in got)
+    assert len(sounds) == docs.count()
+
+
 # --- 8
 
 

@@ -5,7 +5,7 @@ so nothing is lost: mu-law and A-law keep one byte a sample, ADPCM blocks of 64
 keep a 4-byte header and 120 four-bit codes. Reading parses the RIFF chunks, expands
 mu-law and A-law by 256-entry tables, and decodes ADPCM for all blocks of a batch at
 once: 120 steps of numpy, each over every block. The samples are resampled to the
-target rate by linear interpolation.
+target rate by linear interpolation and stored; features come from the stored PCM.
 
 The codec follows from the payload's checksum, so equal payloads have equal files.
 
@@ -44,10 +44,9 @@ STEP = np.array(
 )
 
 STORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-PCM = T.StructType([*STORED.fields, T.StructField("codec", T.StringType()), T.StructField("pcm", T.BinaryType())])
-FEATURES = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
-)
+FACTS = T.StructType([T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType())])
+PCM = T.StructType([*STORED.fields, *FACTS.fields, T.StructField("codec", T.StringType()), T.StructField("pcm", T.BinaryType())])
+FEATURES = T.StructType([*STORED.fields[:2], *FACTS.fields, T.StructField("feature", T.StringType())])
 
 
 def _mulaw_table() -> np.ndarray:
@@ -186,42 +185,46 @@ def store_media(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
 
 
 def decode_media(media: DataFrame, target_rate: int = TARGET_RATE) -> DataFrame:
-    """Add the codec's name and ``pcm``: the expanded, resampled samples, 16 bits, little-endian."""
+    """Add hashes of what was read back, the codec's name and ``pcm``: the expanded, resampled samples, 16 bits, little-endian."""
     ship_package(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
         for batch in batches:
             for first, files in _groups(batch.column(2)):
-                found = [(NAMES[tag], resample(pcm, RATE, target_rate).astype("<i2").tobytes()) for tag, _, pcm in expand(files)]
+                rows = []
+                for (tag, data, coded), wav in zip(expand(files), files, strict=True):
+                    pcm = resample(coded, RATE, target_rate).astype("<i2").tobytes()
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), NAMES[tag], pcm))
                 own = batch.slice(first, len(files))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.binary())], names=PCM.fieldNames())
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=PCM.fieldNames())
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, PCM)
 
 
+def store_pcm(media: DataFrame) -> DataFrame:
+    """Decode the files and write their resampled PCM; the staged table, without the files."""
+    return stage(decode_media(media).drop("media"), "telephony-pcm", level=12)
+
+
 def media_features(media: DataFrame) -> DataFrame:
-    """Hashes of what was stored and read back, and features of the resampled sound.
+    """Hashes of what was stored and read back, and features of the resampled sound, which is stored and read back as well.
 
     The feature string has the codec, the number of samples, the peak, the mean square
     (whole number), the zero crossings and the checksum of the resampled PCM.
     """
-    ship_package(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, files in _groups(batch.column(2)):
-                rows = []
-                for (tag, data, coded), wav in zip(expand(files), files, strict=True):
-                    pcm = resample(coded)
-                    wide = pcm.astype(np.float64)
-                    energy = int(wide @ wide) // len(pcm)
-                    below = pcm < 0
-                    crossings = int(np.count_nonzero(below[1:] != below[:-1]))
-                    peak = max(int(pcm.max()), -int(pcm.min()))
-                    feature = f"{NAMES[tag]}:{len(pcm)}:{peak}:{energy}:{crossings}:{zlib.crc32(pcm):08x}"
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), feature))
-                own = batch.slice(first, len(files))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=FEATURES.fieldNames())
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
+            features = []
+            for codec, sound in zip(batch.column("codec"), batch.column("pcm"), strict=True):
+                pcm = np.frombuffer(sound.as_buffer(), "<i2")
+                wide = pcm.astype(np.float64)
+                energy = int(wide @ wide) // len(pcm)
+                below = pcm < 0
+                crossings = int(np.count_nonzero(below[1:] != below[:-1]))
+                peak = max(int(pcm.max()), -int(pcm.min()))
+                features.append(f"{codec.as_py()}:{len(pcm)}:{peak}:{energy}:{crossings}:{zlib.crc32(pcm):08x}")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(features, pa.string())], names=FEATURES.fieldNames())
+
+    return store_pcm(media).mapInArrow(run, FEATURES)
