@@ -407,6 +407,15 @@ def test_ledger_scans_unseen_pairs_only(spark):
     assert {r["doc_id"]: r["n_access"] for r in digest.collect()} == {1: 0, 3: 1}
 
 
+def test_ledger_of_a_first_scan_has_the_clean_blobs(spark):
+    df = spark.createDataFrame([(1, SECRETS[0]), (2, "clean"), (3, None)], "doc_id long, text string")
+    first, ledger = secrets.scan_documents(df)
+    assert ledger.count() == 3 * len(secrets.RULES)
+    again, fresh = secrets.scan_documents(df, ledger=ledger)
+    assert fresh.count() == 0
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, f"🎉 keep {SECRETS[0]} keep", 5), (2, "clean", 5), (3, None, 5)], "doc_id long, text string, blob int")
     got = {r["doc_id"]: r["text"] for r in secrets.redact(df, secrets.findings(secrets.scan(df))).collect()}

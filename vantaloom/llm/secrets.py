@@ -128,7 +128,7 @@ def digest(found: DataFrame, id_col: str = "doc_id", rules: tuple[Rule, ...] = R
 
 def scan_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Digest of every document, and the new ledger rows (staged)."""
-    fresh = stage(scan(docs, text_col, rules, ledger).where("size(spans) > 0"), "secrets") if ledger is None else stage(scan(docs, text_col, rules, ledger), "secrets")
+    fresh = stage(scan(docs, text_col, rules, ledger), "secrets")
     whole = fresh if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(fresh)
     # Staged, the findings come to the join without a partitioning of their own, and Spark can split a frequent blob.
     found = stage(findings(whole, rules), "findings")
