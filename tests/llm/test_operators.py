@@ -169,6 +169,20 @@ def test_jaccard_join_hard_cases(spark, docs, empty):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [i for i in range(len(TEXTS)) if i != 11]
 
 
+def chain():
+    """Texts A, B, C where B links with both and A not with C."""
+    words = [f"w{i}" for i in range(60)]
+    return [" ".join(x) for x in (words[:54], words[3:57], words[6:])]
+
+
+def test_links_reach_through_a_set_without_ids(spark):
+    a, b, c = chain()
+    pair = spark.createDataFrame([(1, a), (3, c)], "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.jaccard_components(pair).collect()} == {1, 3}
+    whole = spark.createDataFrame([(1, a), (None, b), (3, c)], "doc_id long, text string")
+    assert [r["component_id"] for r in ngram_join.jaccard_components(whole).collect()] == [1, 1, 1]
+
+
 def test_shingles_do_not_cross_documents():
     import pyarrow as pa
 

@@ -15,7 +15,7 @@ x - ceil(t x) + 1 of either row: only that prefix of each row enters the first p
    each cell one blocked product over all its columns, whatever the group's size.
 5. Pairs left from 3 accumulate their overlap over the remaining columns, in blocks of
    columns, and are dropped as soon as what is left can't reach the need.
-6. Links leave as pairs between set representatives; components by star rounds.
+6. Links leave as pairs between sets; components of sets by star rounds, named by their least id.
 
 The orders and filters only save work: any order of columns gives the same links. The
 texts are read again in steps 2, 3 and 5 rather than their sets stored, since hashing
@@ -345,9 +345,11 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     ship_package(spark)
     with arrow_batches(spark, 1000):
         rows, classes, links = _links(docs, text_col, id_col, percent)
-    ends = links.join(classes.select(F.col("name").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("name").alias("b"), F.col("rep").alias("rb")), "b")
-    components = connected_components(ends.select("ra", "rb"))
-    per_class = classes.join(components, classes["rep"] == components["node"], "left").select("name", F.coalesce("component", "rep").alias("component_id"))
+    # On set names, so that a set whose rows have no id still ties its neighbours together.
+    tied = connected_components(links)
+    named = classes.join(tied, classes["name"] == tied["node"], "left").select("name", "rep", F.coalesce("component", "name").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id")).select(again("component"), "component_id")
+    per_class = named.join(least, "component").select("name", "component", "component_id")
     out = rows.join(per_class, "name", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
