@@ -183,6 +183,15 @@ def test_links_reach_through_a_set_without_ids(spark):
     assert [r["component_id"] for r in ngram_join.jaccard_components(whole).collect()] == [1, 1, 1]
 
 
+def test_one_row_of_a_component_stays_whatever_its_id(spark):
+    a, b, c = chain()
+    rows = [(1, a), (2, b), (2, "another text that is clean and unique"), (4, None), (None, None), (None, None), (None, "x y z"), (None, "x y z"), (5, "k " + c[::-1]), (5, "l " + c[::-1])]
+    got = [tuple(r) for r in ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(x for x in got if x[0] != 5 and x[0] is not None) == [(1, a), (2, rows[2][1]), (4, None)]
+    assert sorted((x[1] or "") for x in got if x[0] is None) == ["", "", "x y z"]
+    assert len([x for x in got if x[0] == 5]) == 1
+
+
 def test_shingles_do_not_cross_documents():
     import pyarrow as pa
 

@@ -96,10 +96,10 @@ def _filter_of(keys: DataFrame) -> bytes:
 
 
 def _first_pass(texts: DataFrame) -> DataFrame:
-    """Staged: a row for each document (doc_id, n, set name), and each task's part of the count sketch."""
+    """Staged: a row for each document (doc_id, n, set name, hash), and each task's part of the count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "name", "part", "counts"]
+        names = ["doc_id", "n", "name", "hash", "part", "counts"]
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
             sizes, sets, keys = [], [], []
@@ -113,12 +113,12 @@ def _first_pass(texts: DataFrame) -> DataFrame:
             if keys:
                 sketch += np.bincount(np.concatenate(keys).astype(np.int64), minlength=len(sketch))
             nothing = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.nulls(nothing, pa.int32()), pa.nulls(nothing, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), batch.column(2), pa.nulls(nothing, pa.int32()), pa.nulls(nothing, pa.binary())], names=names)
         parts = [x.astype("<u4").tobytes() for x in np.minimum(sketch, 0xFFFFFFFF).reshape(SKETCH_ROWS, -1)]
         own = [(i, p) for i, p in enumerate(parts) if any(p)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64())] * 3 + [pa.array([i for i, _ in own], pa.int32()), pa.array([p for _, p in own], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64())] * 4 + [pa.array([i for i, _ in own], pa.int32()), pa.array([p for _, p in own], pa.binary())], names=names)
 
-    return stage(texts.mapInArrow(run, "doc_id long, n long, name long, part int, counts binary"), "ngram-rows")
+    return stage(texts.mapInArrow(run, "doc_id long, n long, name long, hash long, part int, counts binary"), "ngram-rows")
 
 
 def _sketch(first: DataFrame) -> np.ndarray:
@@ -308,12 +308,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, text_col: str, id_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (doc_id, n, set name), sets (name, least doc_id) and the links between sets; all jobs that see texts or sets end here."""
+    """Documents (doc_id, n, set name, hash of the text), sets (name, least doc_id) and the links between sets; all jobs that see texts or sets end here."""
     spark = docs.sparkSession
     context = spark.sparkContext
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    first = _first_pass(texts)
-    rows = first.where("part is null").select("doc_id", "n", "name")
+    first = _first_pass(texts.withColumn("hash", F.xxhash64("text")))
+    rows = first.where("part is null").select("doc_id", "n", "name", "hash")
     classes = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("rep"))
     sketch = context.broadcast(_sketch(first).tobytes())
 
@@ -339,8 +339,8 @@ def _links(docs: DataFrame, text_col: str, id_col: str, percent: int) -> tuple[D
     return rows, classes, links
 
 
-def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
+def _components(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataFrame:
+    """Per document: doc_id, n, hash of the text, component of its set (null without shingles) and the least doc_id in it."""
     spark = docs.sparkSession
     ship_package(spark)
     with arrow_batches(spark, 1000):
@@ -350,14 +350,28 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     named = classes.join(tied, classes["name"] == tied["node"], "left").select("name", "rep", F.coalesce("component", "name").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id")).select(again("component"), "component_id")
     per_class = named.join(least, "component").select("name", "component", "component_id")
-    out = rows.join(per_class, "name", "left")
+    return rows.join(per_class, "name", "left")
+
+
+def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = 80) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
+    out = _components(docs, text_col, id_col, percent)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = 80) -> DataFrame:
-    """One row of each component, the one whose id names it; rows with a null id stay. Columns stay."""
-    found = jaccard_components(docs, text_col, id_col, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
-    repeated = docs.groupBy(id_col).count().where(f"count > 1 and `{id_col}` is not null")
-    return kept.dropDuplicates([id_col, text_col]) if repeated.limit(1).count() else kept
+    """One row of each component, the first by id (nulls last), then by the text's hash. Columns stay.
+
+    Rows are told apart by id and text, so other texts under an id stay. Rows without
+    shingles stay; those that repeat an id and a text stay once.
+    """
+    found = stage(_components(docs, text_col, id_col, percent).select("doc_id", "hash", "n", "component"), "ngram-components")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("hash"))
+    first = found.where("n > 0").groupBy("component").agg(F.min(place).alias("first")).select(again("component"), "first")
+    gone = found.where("n > 0").join(first, "component").where(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct()
+    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left_anti")
+    repeated = found.where("n > 0 or doc_id is not null").groupBy("doc_id", "hash").count().where("count > 1")
+    if not repeated.limit(1).count():
+        return kept
+    loose = F.col(id_col).isNull() & ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.where(~loose).dropDuplicates([id_col, text_col]).unionByName(kept.where(loose))
