@@ -159,3 +159,60 @@ def test_descriptions_meet_every_question(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["jaccard"] for r in __spark_entry__.queries()["description_distance"](spark, str(tmp_path)).collect()}
     assert got == {0: 1.0, 1: 1.0, 2: 1.0, 3: 0.0}
+
+
+def lengths():
+    """A stand-in for a model of pairs and of texts, which checks the batches it gets; local, so that workers get its code."""
+
+    class Lengths:
+        def predict(self, pairs):
+            assert len(pairs) <= 2
+            return [len(t) - len(q) for q, t in pairs]
+
+        def encode(self, texts):
+            assert len(texts) <= 2
+            return [[float(len(t)), 1.0] for t in texts]
+
+    return Lengths
+
+
+def test_models_score_in_batches(spark):
+    df = spark.createDataFrame([(1, "q", i, "x" * i) for i in range(7)], "query_id long, q string, chunk_id long, text string").coalesce(1)
+    got = fusion.rerank(df, scorer=fusion.model_scorer(lengths(), batch=2), top=2).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["rerank_score"]) for r in got] == [(6, 5.0), (5, 4.0)]
+    assert [r[0] for r in df.select(dense.embed(F.col("text"), lengths(), 2)).collect()][3] == [3.0, 1.0]
+
+
+def test_hash_embedding_counts_tokens(spark):
+    df = spark.createDataFrame([("a b a",), ("",), (None,)], "t string")
+    a, empty, null = (r[0] for r in df.select(dense.hash_embedding(F.col("t"))).collect())
+    assert sorted(x for x in a if x) == pytest.approx([1 / math.sqrt(5), 2 / math.sqrt(5)]) and not any(empty) and not any(null)
+
+
+@pytest.mark.parametrize("most_mb", [64, 0])
+@pytest.mark.parametrize("whole", [False, True])
+def test_occurrences_like_a_plain_search(spark, rows, whole, most_mb):
+    import re
+
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choice("ab_ é.") for _ in range(rng.randrange(30)))) for i in range(60)] + [(99, None)]
+    gold = [(1, "ab"), (2, "a"), (2, "b_"), (3, "ab"), (3, "é"), (4, "zz")]
+    got = rows(metrics.occurrences(spark.createDataFrame(texts, "chunk_id long, text string"), spark.createDataFrame(gold, "query_id long, gold string"), whole=whole, most_mb=most_mb))
+    hit = lambda g, t: bool(re.search(rf"(?<![A-Za-z0-9_]){re.escape(g)}(?![A-Za-z0-9_])", t)) if whole else g in t
+    assert got == sorted(((q, g, i) for i, t in texts if t is not None for q, g in gold if hit(g, t)), key=repr)
+
+
+def test_code_report_counts_whole_identifiers(spark):
+    ranked = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 4, 11)], "query_id long, chunk_id long, rank long")
+    chunks = spark.createDataFrame([(1, "foobar"), (2, "foo()"), (3, "x.bar"), (4, "baz")], "chunk_id long, text string")
+    gold = spark.createDataFrame([(1, "foo"), (1, "bar"), (2, "baz")], "query_id long, gold string")
+    got = metrics.code_report(ranked, gold, metrics.occurrences(chunks, gold, whole=True)).first()
+    assert (got["recall_1"], got["recall_3"], got["recall_10"]) == (0.0, 0.5, 0.5)
+    assert got["mrr"] == pytest.approx(1 / 6, abs=1e-6)
+    assert got["ndcg_5"] == pytest.approx((1 / math.log2(3) + 1 / 2) / (1 + 1 / math.log2(3)) / 2, abs=1e-6)
+
+
+def test_vectors_with_gaps_have_no_score(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [None, 1.0]), (3, [1.0]), (4, None)], "chunk_id long, embedding array<float>")
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert [(r["query_id"], r["chunk_id"]) for r in dense.score_matrix(v, q).collect()] == [(7, 1)]

@@ -1,6 +1,7 @@
 """Paired statistics against golden numbers, code facts, judging, agent and serving semantics."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,3 +216,16 @@ def test_streams_agree_with_replays(spark, tmp_path):
         assert q.awaitTermination(60)
         got = {r["event_id"]: r[column] for r in spark.table(name).collect()}
         assert got == {r["event_id"]: r[column] for r in batch.collect()}
+
+
+@pytest.mark.parametrize("span", [3.0, 1000.0])
+def test_runs_begin_at_gaps_across_slices(spark, span):
+    rng = random.Random(11)
+    log = [(k, i, round(rng.random() * 60, 2)) for i, k in enumerate(rng.choices(["a", "a", "b"], k=80))]
+    got = {r["event_id"]: r["run"] for r in serving.runs_by_gap(spark.createDataFrame(log, "k string, event_id long, at double"), "k", "at", 2.0, span).collect()}
+    for key in "ab":
+        begin = last = None
+        for at, i in sorted((at, i) for k, i, at in log if k == key):
+            begin = at if last is None or at - last >= 2.0 else begin
+            assert got[i] == begin
+            last = at

@@ -1,17 +1,40 @@
 """Structure-aware chunking as column expressions.
 
-Each splitter is one pass over a document's own lines, held in arrays, so a document
-never leaves its task and nothing is shuffled. Folds are ``aggregate`` expressions.
+Cutting at a fixed size, counting and injecting are built-in expressions. What folds
+over a document's lines (headings, packing up to a size, splitting at a token budget)
+maps Arrow batches: a fold of built-in expressions copies its arrays at every line and
+is quadratic in a document's lines, while these are linear. Either way a document
+never leaves its task and nothing is shuffled.
+
+Cases: a null text gives null, an empty text no chunk; texts of any length are cut whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantaloom.functions.text import is_blank, strip
+from vantaloom.functions.text import is_blank
+from vantaloom.sources.runtime import ship_package
 
 SECTION = "struct<heading:string,body:array<string>>"
+_TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
+_SECTION_TYPE = pa.struct([("heading", pa.string()), ("body", pa.list_(pa.string()))])
+_ENTRY_TYPE = pa.struct([("parent", pa.string()), ("chunk", pa.string())])
+
+
+def _by_value(work: Callable, returns: str, kind: pa.DataType) -> Callable:
+    """A column function that applies ``work`` to each value that is not null."""
+    ship_package(SparkSession.active())
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else work(v) for v in values.to_pylist()], kind)
+
+    return F.arrow_udf(run, returnType=returns)
 
 
 def fixed_chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
@@ -23,89 +46,95 @@ def fixed_chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
     return F.filter(cut, lambda c: ~is_blank(c["text"]))
 
 
-def heading_sections(text: Column, max_level: int = 6) -> Column:
-    """Array of (heading, body lines), cut at headings up to a level; lines in code fences are no headings."""
-    zero = F.struct(F.array().cast(f"array<{SECTION}>").alias("done"), F.lit("").alias("heading"), F.array().cast("array<string>").alias("body"), F.lit(False).alias("fenced"))
-
-    def close(acc: Column) -> Column:
-        own = F.struct(acc["heading"].alias("heading"), acc["body"].alias("body"))
-        return F.when((F.length(acc["heading"]) > 0) | (F.size(acc["body"]) > 0), F.concat(acc["done"], F.array(own))).otherwise(acc["done"])
+def _sections(lines: list[str], max_level: int) -> list[tuple[str, list[str]]]:
+    """(heading, body lines) between headings of the levels; a heading in a code fence is a line like any other."""
+    heading = re.compile(rf"#{{1,{max_level}}}\s")
+    cuts, fenced = [], False
+    for i, line in enumerate(lines):
+        if line.strip().startswith("```"):
+            fenced = not fenced
+        elif not fenced and heading.match(line):
+            cuts.append(i)
+    edges = [*cuts, len(lines)]
+    first = [("", lines[: edges[0]])] if edges[0] else []
+    return first + [(lines[a], lines[a + 1 : b]) for a, b in zip(cuts, edges[1:], strict=True)]
+
+
+def _packed(heading: str, body: list[str], most: int) -> list[str]:
+    """Stripped lines packed up to a size, the heading before each pack; blank lines go."""
+    lines = [s for s in map(str.strip, body) if s]
+    if not lines:
+        return [heading.strip()] if heading.strip() else []
+    packs, used = [], most
+    head = [heading] if heading else []
+    over = most - sum(len(h) + 1 for h in head)
+    for line in lines:
+        if not packs or used + 1 + len(line) > over:
+            packs.append([line])
+            used = len(line)
+        else:
+            packs[-1].append(line)
+            used += 1 + len(line)
+    return ["\n".join(head + pack).strip() for pack in packs]
+
+
+def _entries(text: str, most: int, level: int) -> list[dict]:
+    """Chunks with the text of the coarser section they lie in."""
+    out = []
+    for heading, body in _sections(text.split("\n"), level):
+        whole = "\n".join(([heading] if heading else []) + body).strip() if body else heading.strip()
+        for n, (own, lines) in enumerate(_sections(body or [""], 6)):
+            chunks = _packed(heading if n == 0 and not own else own, lines, most)
+            out.extend({"parent": whole, "chunk": c} for c in chunks)
+    return out
 
-    def step(acc: Column, line: Column) -> Column:
-        fence = F.startswith(strip(line), F.lit("```"))
-        cut = ~fence & ~acc["fenced"] & F.regexp_like(line, F.lit(f"^#{{1,{max_level}}}[\\s\\x{{85}}\\x{{a0}}]"))
-        return F.struct(
-            F.when(cut, close(acc)).otherwise(acc["done"]).alias("done"),
-            F.when(cut, line).otherwise(acc["heading"]).alias("heading"),
-            F.when(cut, F.array().cast("array<string>")).otherwise(F.concat(acc["body"], F.array(line))).alias("body"),
-            F.when(fence, ~acc["fenced"]).otherwise(acc["fenced"]).alias("fenced"),
-        )
 
-    return F.aggregate(F.split(text, "\n", -1), zero, step, close)
+def heading_sections(text: Column, max_level: int = 6) -> Column:
+    """Array of (heading, body lines), cut at headings up to a level; lines in code fences are no headings."""
+    return _by_value(lambda t: [{"heading": h, "body": b} for h, b in _sections(t.split("\n"), max_level)], f"array<{SECTION}>", pa.list_(_SECTION_TYPE))(text)
 
 
 def section_chunks(section: Column, max_chars: int) -> Column:
     """Chunks of one section: stripped lines packed up to a size, the heading before each; blank lines go."""
-    heading = section["heading"]
-    prefix = F.when(F.length(heading) > 0, F.concat(heading, F.lit("\n"))).otherwise(F.lit(""))
-    lines = F.filter(F.transform(section["body"], strip), lambda x: F.length(x) > 0)
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-    done = lambda acc: F.concat(acc["done"], F.array(strip(F.concat(prefix, acc["cur"]))))
-
-    def step(acc: Column, line: Column) -> Column:
-        some = F.length(acc["cur"]) > 0
-        full = some & (F.length(prefix) + F.length(acc["cur"]) + F.length(line) + 1 > max_chars)
-        return F.struct(F.when(full, done(acc)).otherwise(acc["done"]).alias("done"), F.when(full | ~some, line).otherwise(F.concat(acc["cur"], F.lit("\n"), line)).alias("cur"))
-
-    packed = F.aggregate(lines, zero, step, lambda acc: F.when(F.length(acc["cur"]) > 0, done(acc)).otherwise(acc["done"]))
-    alone = F.when(is_blank(heading), F.array().cast("array<string>")).otherwise(F.array(strip(heading)))
-    return F.when(F.size(lines) > 0, packed).otherwise(alone)
+    return _by_value(lambda s: _packed(s["heading"], s["body"], max_chars), "array<string>", pa.list_(pa.string()))(section)
 
 
 def markdown_chunks(text: Column, max_chars: int = 1000) -> Column:
     """Array of chunks, cut at every heading."""
-    return F.flatten(F.transform(heading_sections(text, 6), lambda s: section_chunks(s, max_chars)))
+    return _by_value(lambda t: [c for h, b in _sections(t.split("\n"), 6) for c in _packed(h, b, max_chars)], "array<string>", pa.list_(pa.string()))(text)
 
 
 def parent_chunks(text: Column, max_chars: int = 1000, parent_level: int = 2) -> Column:
     """Array of (parent text, chunk): the same cutting within sections of a coarser level."""
+    return _by_value(lambda t: _entries(t, max_chars, parent_level), "array<struct<parent:string,chunk:string>>", pa.list_(_ENTRY_TYPE))(text)
 
-    def entries(parent: Column) -> Column:
-        heading = parent["heading"]
-        body = F.array_join(parent["body"], "\n")
-        whole = strip(F.concat(F.when(F.length(heading) > 0, F.concat(heading, F.lit("\n"))).otherwise(F.lit("")), body))
-        named = F.transform(heading_sections(body, 6), lambda s, i: F.struct(F.when((i == 0) & (F.length(s["heading"]) == 0), heading).otherwise(s["heading"]).alias("heading"), s["body"].alias("body")))
-        chunks = F.flatten(F.transform(named, lambda s: section_chunks(s, max_chars)))
-        return F.transform(chunks, lambda c: F.struct(whole.alias("parent"), c.alias("chunk")))
 
-    return F.flatten(F.transform(heading_sections(text, parent_level), entries))
+def count_tokens(text: str) -> int:
+    """A deterministic token counter: words, and other characters that are no white space."""
+    return len(re.findall(_TOKEN, text, re.ASCII))
 
 
-def count_tokens(text: Column) -> Column:
-    """A deterministic token counter: words, and other characters that are no white space."""
-    return F.size(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"), F.lit(0)))
+def _parts(text: str, max_tokens: int, counter: Callable[[str], int]) -> list[str]:
+    if not text or counter(text) <= max_tokens:
+        return [text]
+    header, *lines = text.split("\n")
+    room = max_tokens - counter(header) - 7
+    budget = room if room > 0 else max_tokens
+    groups, used = [], 0
+    for line in lines:
+        cost = counter(line) + 1
+        if groups and used + cost <= budget:
+            groups[-1].append(line)
+            used += cost
+        else:
+            groups.append([line])
+            used = cost
+    return ["\n".join([f"{header} [part {i}/{len(groups)}]", *g]) for i, g in enumerate(groups, 1)]
 
 
-def split_long(text: Column, max_tokens: int = 460, counter=count_tokens) -> Column:
+def split_long(text: Column, max_tokens: int = 460, counter: Callable[[str], int] = count_tokens) -> Column:
     """Parts of an over-long chunk: its header line with a part mark, then whole lines up to the budget."""
-    lines = F.split(text, "\n", -1)
-    header = F.get(lines, F.lit(0))
-    room = F.lit(max_tokens) - counter(header) - 7
-    budget = F.when(room <= 0, F.lit(max_tokens)).otherwise(room)
-    zero = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("used"))
-
-    def step(acc: Column, line: Column) -> Column:
-        cost = counter(line) + 1
-        full = (F.size(acc["cur"]) > 0) & (acc["used"] + cost > budget)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array(line)).otherwise(F.concat(acc["cur"], F.array(line))).alias("cur"),
-            F.when(full, cost).otherwise(acc["used"] + cost).alias("used"),
-        )
-
-    parts = F.aggregate(F.slice(lines, F.lit(2), F.size(lines)), zero, step, lambda acc: F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
-    marked = F.transform(parts, lambda p, i: F.concat(header, F.lit(" [part "), (i + 1).cast("string"), F.lit("/"), F.size(parts).cast("string"), F.lit("]\n"), F.array_join(p, "\n")))
-    return F.when((F.length(text) == 0) | (counter(text) <= max_tokens), F.array(text)).otherwise(marked)
+    return _by_value(lambda t: _parts(t, max_tokens, counter), "array<string>", pa.list_(pa.string()))(text)
 
 
 def inject(text: Column, description: Column) -> Column:

@@ -6,13 +6,17 @@ query, ties by chunk id, and come from ``rank_within``, which needs no task a qu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vantaloom.functions.text import symbol_key, tokens
 from vantaloom.operators.ranking import rank_within, top_k
+from vantaloom.sources.runtime import ship_package
 
 RRF_K, OVERVIEW_WEIGHT, RERANK_CHARS = 60, 0.3, 768
 
@@ -104,6 +108,29 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(q, tokens(text))).cast("double"), F.size(q)), F.lit(0.0)), 6)
 
 
+def model_scorer(load: Callable, batch: int = 32) -> Callable[[Column, Column], Column]:
+    """A scorer for ``rerank`` from a pair model with ``predict(list of (query, text)) -> scores``.
+
+    ``load`` runs once in a worker's lifetime; the model sees at most ``batch`` pairs at a time.
+    """
+
+    def run(queries: pa.Array, texts: pa.Array) -> pa.Array:
+        pairs = [(q or "", t or "") for q, t in zip(queries.to_pylist(), texts.to_pylist(), strict=True)]
+        model = _model(load)
+        return pa.array([float(s) for at in range(0, len(pairs), batch) for s in model.predict(pairs[at : at + batch])], pa.float64())
+
+    def scorer(query: Column, text: Column) -> Column:
+        ship_package(SparkSession.active())
+        return F.arrow_udf(run, returnType="double")(query, text)
+
+    return scorer
+
+
+@lru_cache(maxsize=4)
+def _model(load: Callable):
+    return load()
+
+
 def rerank(candidates: DataFrame, scorer=overlap_score, top: int = 5, max_chars: int | None = None) -> DataFrame:
     """Score the candidates (query_id, q, chunk_id, text) and keep the best; texts may be cut for scoring alone."""
     text = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantaloom.functions.text import has_symbol
+from vantaloom.operators.metrics import occurrences
+from vantaloom.sources.runtime import stage
 
 
-def gold_check(questions: DataFrame, gold: DataFrame, chunks: DataFrame, hit: Column | None = None) -> DataFrame:
+def gold_check(questions: DataFrame, gold: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per question: leaks, least and most chunks of a gold string, answer documents, single-chunk answers, severity.
 
     ``questions`` (query_id, q), ``gold`` (query_id, gold), ``chunks`` (doc, chunk_id, text).
     An answer document holds every gold string somewhere; a leak is a gold string in the question.
     """
-    found = gold.join(chunks, hit if hit is not None else F.contains("text", "gold")).select("query_id", "gold", "doc", "chunk_id")
+    found = stage(occurrences(chunks, gold, ["doc", "chunk_id"]), "gold-found")  # read three times below
     per_gold = gold.join(found, ["query_id", "gold"], "left").groupBy("query_id", "gold").agg(F.count("chunk_id").alias("n_chunks"), F.countDistinct("doc").alias("n_docs"))
     size = gold.groupBy("query_id").agg(F.countDistinct("gold").alias("n_gold"))
     whole = lambda *keys: found.groupBy("query_id", *keys).agg(F.countDistinct("gold").alias("got")).join(size, "query_id").where("got = n_gold").groupBy("query_id").agg(F.count("*").alias(f"n_{keys[-1]}"))
@@ -47,7 +48,7 @@ def severity_report(checked: DataFrame) -> DataFrame:
 
 def code_gold_check(questions: DataFrame, gold: DataFrame, chunks: DataFrame, many_files: int = 6) -> DataFrame:
     """Per question with symbol gold: missing symbols, literal leaks, files and chunks that hold them, and a warning."""
-    found = gold.join(chunks, has_symbol(F.col("text"), F.col("gold"))).select("query_id", "gold", "doc", "chunk_id")
+    found = occurrences(chunks, gold, ["doc", "chunk_id"], whole=True)
     per = gold.join(found, ["query_id", "gold"], "left").groupBy("query_id").agg(
         (F.countDistinct("gold") - F.countDistinct(F.when(F.col("chunk_id").isNotNull(), F.col("gold")))).alias("missing"), F.countDistinct("doc").alias("n_files"), F.count("chunk_id").alias("n_chunks")
     )

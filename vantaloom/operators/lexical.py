@@ -1,8 +1,8 @@
 """BM25 over an inverted index, and lexical overlap measures.
 
-The index is long-form: postings (chunk, term, tf) with the chunk's length, document
-frequencies, and a one-row table of totals. Scoring joins postings with the terms of
-the queries, so only matched chunks are touched; chunks without a match get 0.
+The index keeps each chunk's tokens in a staged table, with a one-row table of totals;
+postings (chunk, term, tf) and document frequencies are counted from it. Scoring counts
+the postings of the queries' terms alone; chunks without a match get 0.
 """
 
 from __future__ import annotations
@@ -12,28 +12,43 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantaloom.functions.text import STOP_WORDS, content_words, tokens
-from vantaloom.sources.runtime import small_side
+from vantaloom.functions.text import CODE_STOP_WORDS, content_words, is_natural_word, tokens
+from vantaloom.sources.runtime import small_side, stage
 
 K1, B = 1.5, 0.75
 
 
 @dataclass
 class Index:
-    """Postings (chunk_id, term, tf, dl), document frequencies (term, df) and totals (n_docs, avgdl)."""
+    """Staged chunks (chunk_id, dl, toks) and totals (n_docs, avgdl); postings and frequencies are views of them."""
 
-    postings: DataFrame
-    df: DataFrame
+    tokens: DataFrame
     totals: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(chunk_id, dl, term, tf) of the whole vocabulary; the combine step runs before the shuffle."""
+        return self._count(self.tokens.select("chunk_id", "dl", F.explode("toks").alias("term")))
+
+    @property
+    def df(self) -> DataFrame:
+        """(term, df) of the whole vocabulary, counted from each chunk's distinct terms."""
+        return self.tokens.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """The postings of some terms alone, staged: others leave before anything is counted or shuffled."""
+        wanted = small_side(terms.select("term").distinct())
+        return stage(self._count(self.tokens.select("chunk_id", "dl", F.explode("toks").alias("term")).join(wanted, "term", "left_semi")), "postings")
+
+    @staticmethod
+    def _count(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+
 
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokenizer=tokens) -> Index:
-    """Explode, then count by (chunk, term): the combine step runs before the shuffle."""
-    toks = chunks.select(F.col(id_col).alias("chunk_id"), tokenizer(F.col(text_col)).alias("toks")).withColumn("dl", F.size("toks"))
-    postings = toks.select("chunk_id", "dl", F.explode("toks").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    totals = toks.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return Index(postings, frequency, totals)
+    """Tokenize each text once and keep the tokens; queries read them column by column."""
+    own = stage(chunks.select(F.col(id_col).alias("chunk_id"), tokenizer(F.col(text_col)).alias("toks")), "tokens").withColumn("dl", F.size("toks"))
+    return Index(own, own.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -46,11 +61,13 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
 
 
 def bm25_matches(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, chunk_id, bm25) of the chunks that share a term with the query."""
-    weighted = terms.join(index.df, "term").crossJoin(F.broadcast(index.totals))  # one row
+    """(query_id, chunk_id, bm25) of the chunks that share a term with the query; only the queries' terms are counted."""
+    postings = index.postings_of(terms)
+    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    weighted = terms.join(frequency, "term").crossJoin(F.broadcast(index.totals))  # one row
     weighted = weighted.select("query_id", "term", (F.col("qf") * idf(F.col("n_docs"), F.col("df"))).alias("w"), "avgdl")
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return index.postings.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+    return postings.join(small_side(weighted), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
 
 
 def with_all_chunks(matches: DataFrame, queries: DataFrame, chunks: DataFrame, name: str, id_col: str = "chunk_id", digits: int = 8) -> DataFrame:
@@ -75,10 +92,22 @@ def idf_overlap(index: Index, queries: DataFrame, texts: DataFrame, rare_df: int
     )
 
 
-def rare_terms(index: Index, max_df: int = 3, least: int = 3) -> DataFrame:
-    """Terms of few chunks, at least so long and no stop words; split into words and identifiers."""
-    alpha = F.regexp_like("term", F.lit("^[a-z]+$"))
-    return index.df.where((F.col("df") <= max_df) & (F.length("term") >= least) & ~F.col("term").isin(STOP_WORDS)).select("term", "df", F.when(alpha, "natural").otherwise("identifier").alias("kind"))
+def file_frequency(chunks: DataFrame, file: str = "doc", tokenizer=tokens) -> DataFrame:
+    """(term, df): in how many files a term occurs."""
+    return chunks.select(F.col(file).alias("file"), F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
+
+
+def rare_terms(targets: DataFrame, frequency: DataFrame, max_df: int = 3, least: int = 3) -> DataFrame:
+    """(query_id, term, df, kind): the terms of each question's target text that few files have.
+
+    A term is natural if it has letters alone and the text has it in lower case as a
+    whole identifier, which a user may say; else it is an identifier that only the
+    source knows. Stop words and short terms are left out.
+    """
+    terms = targets.select("query_id", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    rare = frequency.where((F.col("df") <= max_df) & (F.length("term") >= least) & ~F.col("term").isin(CODE_STOP_WORDS))
+    kind = F.when(is_natural_word(F.col("term"), F.col("text")), "natural").otherwise("identifier")
+    return terms.join(rare, "term").select("query_id", "term", "df", kind.alias("kind"))
 
 
 def description_distance(pairs: DataFrame, question: str = "q", description: str = "description") -> DataFrame:

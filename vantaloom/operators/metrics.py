@@ -6,15 +6,67 @@ string holds a line break, a hit in joined texts is a hit in one of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantaloom.sources.runtime import small_side
+from vantaloom.functions.text import has_symbol
+from vantaloom.operators.context import pack_budget
+from vantaloom.sources.runtime import ship_package, small_side, stage
+
 
+def occurrences(texts: DataFrame, gold: DataFrame, unit: str | list[str] = "chunk_id", whole: bool = False, most_mb: int = 64) -> DataFrame:
+    """(query_id, gold, unit...) where a text holds a gold string; with ``whole``, as a whole identifier.
 
-def occurrences(texts: DataFrame, gold: DataFrame, unit: str = "chunk_id") -> DataFrame:
-    """(query_id, gold, unit) where a text holds a gold string: each text is searched once, and texts never meet the rankings."""
-    return texts.select(unit, "text").join(small_side(gold), F.contains("text", "gold")).select("query_id", "gold", unit)
+    Each text is read once for all the gold strings: an automaton over the distinct
+    strings goes to every task after a check of their size (``most_mb`` of text), and
+    what it finds joins back to the questions. Beyond that size, pairs are tested one by one.
+    An empty gold string is found in every text, as a substring always is.
+    """
+    units = [unit] if isinstance(unit, str) else unit
+    golds = gold.select("gold").where("gold is not null").distinct()
+    size = golds.agg(F.coalesce(F.sum(F.octet_length("gold")), F.lit(0))).first()[0]
+    if size > most_mb * 1e6:
+        test = has_symbol(F.col("text"), F.col("gold")) if whole else F.contains("text", "gold")
+        return texts.select(*units, "text").join(gold, test).select("query_id", "gold", *units)
+    words = [r[0] for r in golds.collect()]
+    ship_package(texts.sparkSession)
+    held = texts.sparkSession.sparkContext.broadcast(sorted(words))
+
+    def find(values: pa.Array) -> pa.Array:
+        search = _search(tuple(held.value), whole)
+        return pa.array([None if t is None else search(t) for t in values.to_pylist()], pa.list_(pa.string()))
+
+    hits = texts.select(*units, F.explode(F.arrow_udf(find, returnType="array<string>")("text")).alias("gold"))
+    return hits.join(small_side(gold.select("query_id", "gold")), "gold").select("query_id", "gold", *units)
+
+
+@lru_cache(maxsize=2)
+def _search(words: tuple[str, ...], whole: bool) -> Callable[[str], list[str]]:
+    """A function that lists which of the words a text holds; built once in a worker."""
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        if w:
+            automaton.add_word(w, w)
+    if len(automaton):
+        automaton.make_automaton()
+    always = [w for w in words if not w]
+
+    def inner(text: str, i: int) -> bool:
+        return 0 <= i < len(text) and (text[i] == "_" or (text[i].isascii() and text[i].isalnum()))
+
+    def run(text: str) -> list[str]:
+        found = set()
+        for end, w in automaton.iter(text) if len(automaton) else ():
+            if w not in found and not (whole and (inner(text, end + 1) or inner(text, end - len(w)))):
+                found.add(w)
+        return always + sorted(found)
+
+    return run
 
 
 def gold_hits(ranked: DataFrame, gold: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -61,8 +113,8 @@ def ndcg(rel: DataFrame, ideal: DataFrame, queries: DataFrame, k: int = 10) -> D
     return both.select("query_id", F.round(F.coalesce(F.try_divide("dcg", "idcg"), F.lit(0.0)), 6).alias("ndcg"))
 
 
-def coverable(units: DataFrame, gold: DataFrame, k: int, unit: str = "unit_id") -> DataFrame:
-    """Per query, whether at most k units (query_id or all, unit, text) hold all its gold strings together.
+def least_units(units: DataFrame, gold: DataFrame, unit: str = "unit_id") -> DataFrame:
+    """(query_id, least): how few units (query_id or all, unit, text) hold all gold strings of a query together; null where all of them don't.
 
     Each unit's gold strings are a bit mask; distinct masks of a query are folded into
     the least number of units for every mask that they can make, so the state of a
@@ -70,8 +122,11 @@ def coverable(units: DataFrame, gold: DataFrame, k: int, unit: str = "unit_id")
     """
     numbered = gold.groupBy("query_id").agg(F.array_sort(F.collect_set("gold")).alias("golds"))
     bits = gold.join(numbered, "query_id").select("query_id", "gold", (F.array_position("golds", F.col("gold")) - 1).cast("int").alias("i"), F.size("golds").alias("n"))
-    own = units.crossJoin(small_side(bits)) if "query_id" not in units.columns else units.join(bits, "query_id")
-    masks = own.where(F.contains("text", "gold")).groupBy("query_id", unit, "n").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask")).select("query_id", "n", "mask").distinct()
+    if "query_id" in units.columns:
+        own = units.join(bits, "query_id").where(F.contains("text", "gold"))
+    else:
+        own = occurrences(units, gold, unit).join(bits, ["query_id", "gold"])
+    masks = own.groupBy("query_id", unit, "n").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask")).select("query_id", "n", "mask").distinct()
     state = masks.groupBy("query_id", "n").agg(F.array_sort(F.collect_set("mask")).alias("masks"))
     full = F.expr("shiftleft(1, n) - 1")
     zero = F.array(F.struct(F.lit(0).alias("m"), F.lit(0).alias("c")))
@@ -83,8 +138,12 @@ def coverable(units: DataFrame, gold: DataFrame, k: int, unit: str = "unit_id")
 
     reached = F.aggregate("masks", zero, step)
     best = F.array_min(F.transform(F.filter(reached, lambda s: s["m"] == full), lambda s: s["c"]))
-    found = state.select("query_id", (best <= k).alias("ok"))
-    return gold.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("ok", F.lit(False)).alias("coverable"))
+    return gold.select("query_id").distinct().join(state.select("query_id", best.alias("least")), "query_id", "left")
+
+
+def coverable(units: DataFrame, gold: DataFrame, k: int, unit: str = "unit_id") -> DataFrame:
+    """Per query, whether at most k units hold all its gold strings together."""
+    return least_units(units, gold, unit).select("query_id", F.coalesce(F.col("least") <= k, F.lit(False)).alias("coverable"))
 
 
 def attainment(recall: Column, ceiling: Column) -> Column:
@@ -92,6 +151,64 @@ def attainment(recall: Column, ceiling: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(recall, ceiling), F.lit(0.0)), 6)
 
 
+def mean_ndcg(rel: DataFrame, queries: DataFrame, ks: tuple[int, ...], ideal: DataFrame | None = None) -> DataFrame:
+    """One row: the mean nDCG@k for each k; the ideal is ``rel`` in its best order unless another is given."""
+    best = rel.select("query_id", "rel") if ideal is None else ideal
+    means = [ndcg(rel, best, queries, k).agg(F.round(F.avg("ndcg"), 6).alias(f"ndcg_{k}")) for k in ks]
+    out = means[0]
+    for more in means[1:]:
+        out = out.crossJoin(F.broadcast(more))  # one row each
+    return out
+
+
+def code_report(ranked: DataFrame, gold: DataFrame, found: DataFrame, depth: int = 10) -> DataFrame:
+    """One row for code search: Recall@k, MRR and nDCG of the first ``depth`` chunks.
+
+    ``found`` are occurrences as whole identifiers in all chunks; the ideal order is over all of them.
+    """
+    top = ranked.where(F.col("rank") <= depth)
+    done = completion(gold_hits(top, gold, found))
+    rel = found.groupBy("query_id", "chunk_id").agg(F.countDistinct("gold").alias("rel"))
+    placed = top.select("query_id", "chunk_id", "rank").join(rel, ["query_id", "chunk_id"])
+    gains = mean_ndcg(placed, gold.select("query_id").distinct(), (5, 10), rel.select("query_id", "rel"))
+    return recall_and_mrr(done).crossJoin(F.broadcast(gains))
+
+
+def parent_report(chunk_done: DataFrame, placed: DataFrame, parents: DataFrame, gold: DataFrame, ks=(1, 3, 5, 10), budget: int = 8000) -> DataFrame:
+    """One row for each k: recall by chunks, by parent passages and within a budget, the ceiling, attainment and context sizes.
+
+    ``chunk_done`` (query_id, done) is the completion by chunks; ``placed`` (query_id,
+    parent, rank) ranks every parent by its first chunk; ``parents`` has (parent, text).
+    Attainment is parent recall as a share of the ceiling, the questions whose gold
+    strings k parents can hold at all. MRR, nDCG and the sizes of the contexts of the
+    largest k stand in every row.
+    """
+    most = max(ks)
+    found = stage(occurrences(parents, gold, "parent"), "parent-found")
+    placed = stage(placed, "parent-ranks")
+    at = gold.join(found.join(placed, ["query_id", "parent"]).groupBy("query_id", "gold").agg(F.min("rank").alias("first")), ["query_id", "gold"], "left")
+    done = completion(at).withColumnRenamed("done", "parent_done")
+    rel = found.groupBy("query_id", "parent").agg(F.countDistinct("gold").alias("rel")).join(placed, ["query_id", "parent"])
+    top = stage(placed.where(F.col("rank") <= most).join(parents, "parent").select("query_id", "rank", "text"), "parent-top")
+    packed = pack_budget(top, budget, ["query_id"]).join(gold, "query_id").where(F.contains("text", "gold"))
+    within = completion(gold.join(packed.groupBy("query_id", "gold").agg(F.min("rank").alias("first")), ["query_id", "gold"], "left")).withColumnRenamed("done", "budget_done")
+    least = least_units(parents.select(F.col("parent").alias("unit_id"), "text"), gold)
+    k = F.explode(F.array(*[F.lit(x) for x in ks])).alias("k")
+    every = chunk_done.select("query_id", F.col("done").alias("chunk_done")).join(done, "query_id").join(within, "query_id").join(least, "query_id").select("*", k)
+    chars = top.select("query_id", "rank", F.length("text").alias("n"), k).where(F.col("rank") <= F.col("k")).groupBy("query_id", "k").agg(F.sum("n").alias("chars"))
+    rate = lambda c: F.round(F.avg(F.when(F.col(c) <= F.col("k"), 1.0).otherwise(0.0)), 6)
+    out = every.join(chars, ["query_id", "k"], "left").groupBy("k").agg(
+        F.count("*").alias("n_queries"), rate("chunk_done").alias("chunk_recall"), rate("parent_done").alias("parent_recall"), rate("budget_done").alias("budget_recall"), rate("least").alias("ceiling"),
+        attainment(rate("parent_done"), rate("least")).alias("attainment"), F.round(F.avg(F.coalesce("chars", F.lit(0))), 6).alias("mean_chars"),
+    )
+    n = F.col("chars")
+    sizes = chars.where(F.col("k") == most).agg(F.count_if(n > budget).alias("n_truncated"), F.percentile(n, 0.5).alias("median_chars"), F.round(F.percentile(n, 0.95), 6).alias("p95_chars"), F.max(n).alias("max_chars"))
+    mrr = done.agg(F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("parent_done"), F.lit(0.0))), 6).alias("mrr"))
+    for one in (mrr, mean_ndcg(rel, gold.select("query_id").distinct(), (5, 10)), sizes):
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    return out
+
+
 def miss_report(hits: DataFrame, k: int) -> DataFrame:
     """Queries incomplete at k: the gold strings that are missing, and those found with their ranks."""
     late = F.col("first").isNull() | (F.col("first") > k)

@@ -42,11 +42,22 @@ def suggestions(pool: DataFrame, seed: int, quotas: dict[str, int], extra: str =
     return pool.where(F.col("category").isin(list(quotas))).withColumn("pick", F.row_number().over(w).cast("long")).where(F.col("pick") <= most).where(F.col("pick") <= wanted).withColumn("place", order)
 
 
-def runs_by_gap(log: DataFrame, key: str, at: str, gap: float) -> DataFrame:
-    """Add ``run``: a key's requests are of one run while less than ``gap`` seconds lie between neighbours."""
-    w = Window.partitionBy(key).orderBy(at, "event_id")
-    fresh = F.coalesce((F.col(at) - F.lag(at).over(w) >= gap).cast("long"), F.lit(1).cast("long"))
-    return log.withColumn("__fresh", fresh).withColumn("run", F.sum("__fresh").over(w)).drop("__fresh")
+def runs_by_gap(log: DataFrame, key: str, at: str, gap: float, span: float = 3600.0) -> DataFrame:
+    """Add ``run``, the time at which it begins: a key's requests are of one run while less than ``gap`` seconds lie between neighbours.
+
+    Neighbours are found within slices of ``span`` seconds, so a hot key meets in no
+    task; per key, only one row a slice is ordered.
+    """
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    sliced = log.withColumn("__slice", F.floor(F.col(at) / span))
+    slices = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy(key, "__slice").orderBy(at, "event_id")
+    before = sliced.groupBy(key, "__slice").agg(F.max(at).alias("__end")).select(key, "__slice", last("__end", slices).alias("__before"))
+    fresh = F.coalesce(F.col(at) - F.coalesce(F.lag(at).over(own), F.col("__before")) >= gap, F.lit(True))
+    marked = sliced.join(before, [key, "__slice"]).withColumn("__start", F.when(fresh, F.col(at)))
+    open_runs = marked.groupBy(key, "__slice").agg(F.max("__start").alias("__newest")).select(key, "__slice", last("__newest", slices).alias("__open"))
+    joined = marked.join(open_runs, [key, "__slice"])
+    return joined.withColumn("run", F.coalesce(last("__start", own.rowsBetween(Window.unboundedPreceding, 0)), F.col("__open"))).select(*log.columns, "run")
 
 
 def fold(log: DataFrame, keys: list[str], order: list[str], columns: list[str], step: Callable, out: str) -> DataFrame:

@@ -37,6 +37,14 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select("query_id", F.explode(own).alias("gold")).where("gold <> ''")
 
 
+def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, parent, text): four chunks in a row are one passage, named by its content, so equal passages are one."""
+    c = chunks(spark, sf_dir).select("chunk_id", "text", F.floor(F.col("chunk_id") / 4).alias("place"))
+    rows = F.array_sort(F.collect_list(F.struct("chunk_id", "text")))
+    whole = c.groupBy("place").agg(rows.alias("rows")).select("rows", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("text"))
+    return whole.select(F.explode(F.transform("rows", lambda r: r["chunk_id"])).alias("chunk_id"), F.sha1(F.col("text").cast("binary")).alias("parent"), "text")
+
+
 def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     return lexical.build_index(chunks(spark, sf_dir))
 
@@ -77,5 +85,6 @@ RANKED = f"""{SCORES},
 RRF = "round(1.0::double / (60 + r_cosine + 1) + 1.0::double / (60 + r_bm25 + 1), 10)"
 FUSED = f"""{RANKED},
     fused as (select *, row_number() over (partition by query_id order by fused desc, chunk_id) as rank from (select *, {RRF} fused from ranked))"""
+PASSAGES = """passages as (select chunk_id, sha1(p.text) parent, p.text as parent_text from chunks c join (select chunk_id // 4 place, string_agg(text, chr(10) order by chunk_id) as text from chunks group by all) p on c.chunk_id // 4 = p.place)"""
 GOLD = """gold as (select distinct query_id, gold from (select query_id, unnest(list_distinct([regexp_replace(w[3], '[^A-Za-z0-9À-ÿ]', '', 'g'), regexp_replace(w[6], '[^A-Za-z0-9À-ÿ]', '', 'g'),
         regexp_replace(w[9], '[^A-Za-z0-9À-ÿ]', '', 'g')])) gold from (select query_id, string_split_regex(q, '[ \\n]+') w from questions)) where gold <> '')"""

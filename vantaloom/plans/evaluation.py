@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantaloom.operators import code, context, fusion, integrity, judging, metrics, paired
+from vantaloom.operators import code, fusion, integrity, judging, metrics, paired
 from vantaloom.plans import data
 from vantaloom.plans.registry import query
 from vantaloom.plans.retrieval import GRID_SQL, _pack_sql
@@ -71,33 +71,53 @@ def ceiling(spark: S, d: str) -> DataFrame:
     return metrics.coverable(units, gold, 1).withColumnRenamed("coverable", "coverable_1").join(metrics.coverable(units, gold, 2).withColumnRenamed("coverable", "coverable_2"), "query_id")
 
 
-_PARENTS = f"""{_HITS}, ranked_docs as (select query_id, doc, min(rank) first_rank from fused group by query_id, doc), top_docs as (select * from (select *, row_number() over (partition by query_id order by first_rank) n from ranked_docs) where n <= 3),
-    parents as (select doc, string_agg(text, chr(10) order by chunk_id) as text from chunks group by doc), context as (select query_id, n as rank, text from top_docs join parents using (doc)), {_pack_sql('context', 'query_id', 'text', 8000)},
-    chunk_ok as (select query_id, coalesce(done <= 3, false) ok from done),
-    parent_ok as (select g.query_id, bool_and(hit) ok from (select g.query_id, gold, bool_or(contains(text, gold)) hit from gold g join context c on c.query_id = g.query_id group by all) g group by g.query_id),
-    packed_ok as (select g.query_id, bool_and(hit) ok from (select g.query_id, gold, bool_or(contains(text, gold)) hit from gold g join packed c on c.query_id = g.query_id group by all) g group by g.query_id),
-    sizes as (select query_id, sum(length(text)) n_chars, bool_or(truncated) cut from packed group by query_id)"""
-
-
-@query(f"""with {_PARENTS} select count(*) n_queries, round(avg(c.ok::int), 6) chunk_recall, round(avg(p.ok::int), 6) parent_recall, round(avg(b.ok::int), 6) budget_recall, round(case when avg(p.ok::int) > 0 then round(avg(b.ok::int), 6) / round(avg(p.ok::int), 6) else 0.0 end, 6) attainment,
-    round(avg(n_chars), 6) mean_chars, median(n_chars)::double median_chars, round(quantile_cont(n_chars, 0.95), 6) p95_chars, max(n_chars)::bigint max_chars, count(*) filter (cut) n_truncated from chunk_ok c join parent_ok p using (query_id) join packed_ok b using (query_id) join sizes using (query_id)""")
+_PARENTS = f"""{_HITS}, {data.PASSAGES}, ptexts as (select distinct parent, parent_text as text from passages), pfirst as (select query_id, parent, min(rank) r from fused join passages using (chunk_id) group by all),
+    ppos as (select query_id, parent, row_number() over (partition by query_id order by r) as rank from pfirst), pfound as (select query_id, gold, parent from gold join ptexts on contains(text, gold)),
+    phits as (select g.query_id, g.gold, min(rank) first_at from gold g left join (select f.*, rank from pfound f join ppos p on p.query_id = f.query_id and p.parent = f.parent) x on x.query_id = g.query_id and x.gold = g.gold group by all),
+    pdone as (select query_id, case when count(first_at) = count(*) then max(first_at) end done from phits group by query_id),
+    prel as (select p.query_id, rank, count(gold) rel from ppos p left join pfound f on f.query_id = p.query_id and f.parent = p.parent group by p.query_id, p.parent, rank),
+    pbest as (select *, row_number() over (partition by query_id order by rel desc) ideal from prel),
+    pgain as (select query_id, {', '.join(f"sum(case when rank <= {k} then rel / log2(rank + 1) else 0 end) dcg_{k}, sum(case when ideal <= {k} then rel / log2(ideal + 1) else 0 end) idcg_{k}" for k in (5, 10))} from pbest group by query_id),
+    pndcg as (select {', '.join(f"round(avg(round(case when idcg_{k} > 0 then dcg_{k} / idcg_{k} else 0.0 end, 6)), 6) ndcg_{k}" for k in (5, 10))} from pgain),
+    context as (select query_id, rank, text from ppos join ptexts using (parent) where rank <= 10), {_pack_sql('context', 'query_id', 'text', 8000)},
+    bhits as (select g.query_id, g.gold, min(rank) first_at from gold g left join packed p on p.query_id = g.query_id and contains(p.text, g.gold) group by all),
+    bdone as (select query_id, case when count(first_at) = count(*) then max(first_at) end done from bhits group by query_id),
+    pmasks as (select distinct query_id, m from (select g.query_id, parent, sum(1 << i)::int m from (select query_id, gold, row_number() over (partition by query_id order by gold) - 1 i from gold) g join pfound f on f.query_id = g.query_id and f.gold = g.gold group by all)),
+    pwant as (select query_id, ((1 << count(*)) - 1)::int want from gold group by query_id),
+    pcover as (select w.query_id, (select min(k) from (select 1 k from pmasks a where a.query_id = w.query_id and a.m = want union all select 2 from pmasks a join pmasks b on a.query_id = b.query_id where a.query_id = w.query_id and a.m | b.m = want
+        union all select 3 from pmasks a join pmasks b on a.query_id = b.query_id join pmasks c on a.query_id = c.query_id where a.query_id = w.query_id and a.m | b.m | c.m = want)) best from pwant w),
+    ks as (select unnest([1, 3, 5, 10])::int k), sizes as (select query_id, k, sum(length(text)) chars from context, ks where rank <= k group by all),
+    rates as (select ks.k, count(*) n_queries, {', '.join(f"round(avg(case when {t}.{c} <= ks.k then 1.0::double else 0.0::double end), 6) {n}" for t, c, n in (('c', 'done', 'chunk_recall'), ('p', 'done', 'parent_recall'), ('b', 'done', 'budget_recall'), ('v', 'best', 'ceiling')))},
+        round(avg(coalesce(chars, 0)), 6) mean_chars from done c join pdone p using (query_id) join bdone b using (query_id) join pcover v using (query_id), ks left join sizes s on s.query_id = c.query_id and s.k = ks.k group by ks.k)"""
+
+
+@query(f"""with {_PARENTS} select rates.*, round(case when ceiling > 0 then parent_recall / ceiling else 0.0 end, 6) attainment, (select round(avg(coalesce(1.0::double / done, 0.0::double)), 6) from pdone) mrr, ndcg_5, ndcg_10, z.*
+    from rates, pndcg, (select count(*) filter (chars > 8000) n_truncated, median(chars)::double median_chars, round(quantile_cont(chars, 0.95), 6) p95_chars, max(chars)::bigint max_chars from sizes where k = 10) z""")
 def parent_report(spark: S, d: str) -> DataFrame:
-    """Top 3 files of each question: recall by chunks, by whole files and within a budget of 8000 characters."""
+    """Passages of four chunks as parents, for every k: recall, budget, ceiling and attainment, MRR, nDCG and context sizes."""
     ranking, gold = full_ranking(spark, d), data.gold(spark, d)
-    first = ranking.join(data.chunks(spark, d).select("chunk_id", "doc"), "chunk_id").groupBy("query_id", "doc").agg(F.min("rank").alias("first_rank"))
-    top = fusion.top_k(first, "query_id", 3, [F.asc("first_rank")]).select("query_id", "rank", "doc")
-    rows = data.chunks(spark, d).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))).alias("rows"))
-    contexts = top.join(rows.select("doc", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("text")), "doc")
-    packed = context.pack_budget(contexts, 8000, ["query_id"])
-    complete = lambda texts, name: gold.join(texts.select("query_id", "text"), "query_id").groupBy("query_id", "gold").agg(F.bool_or(F.contains("text", "gold")).alias("hit")).groupBy("query_id").agg(F.bool_and("hit").alias(name))
-    done = metrics.completion(metrics.gold_hits(ranking, gold, found_gold(spark, d))).select("query_id", F.coalesce(F.col("done") <= 3, F.lit(False)).alias("c"))
-    sizes = packed.groupBy("query_id").agg(F.sum(F.length("text")).alias("n_chars"), F.bool_or("truncated").alias("cut"))
-    every = done.join(complete(contexts, "p"), "query_id").join(complete(packed, "b"), "query_id").join(sizes, "query_id")
-    rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 6)
-    return every.agg(
-        F.count("*").alias("n_queries"), rate("c").alias("chunk_recall"), rate("p").alias("parent_recall"), rate("b").alias("budget_recall"), metrics.attainment(rate("b"), rate("p")).alias("attainment"), F.round(F.avg("n_chars"), 6).alias("mean_chars"),
-        F.percentile("n_chars", 0.5).alias("median_chars"), F.round(F.percentile("n_chars", 0.95), 6).alias("p95_chars"), F.max("n_chars").alias("max_chars"), F.count_if("cut").alias("n_truncated"),
-    )
+    passages = stage(data.parents(spark, d), "passages")
+    first = ranking.join(passages.select("chunk_id", "parent"), "chunk_id").groupBy("query_id", "parent").agg((-F.min("rank")).alias("up"), F.min("chunk_id").alias("tie"))
+    placed = fusion.rank_within(first, "query_id", "up", "tie", "rank", common=None).select("query_id", "parent", "rank")
+    done = metrics.completion(metrics.gold_hits(ranking, gold, found_gold(spark, d)))
+    return metrics.parent_report(done, placed, passages.select("parent", "text").distinct(), gold)
+
+
+_WHOLE = "(^|[^A-Za-z0-9_])' || gold || '([^A-Za-z0-9_]|$)"
+
+
+@query(f"""with {data.FUSED}, {data.GOLD}, found as (select g.query_id, gold, chunk_id, rank from gold g join fused f on f.query_id = g.query_id and contains(text, gold) and regexp_matches(text, '{_WHOLE}')),
+    hits as (select g.query_id, g.gold, min(rank) first_at from gold g left join (select * from found where rank <= 10) f on f.query_id = g.query_id and f.gold = g.gold group by all),
+    done as (select query_id, case when count(first_at) = count(*) then max(first_at) end done from hits group by query_id),
+    rel as (select query_id, chunk_id, rank, count(*) rel from found group by all), best as (select *, row_number() over (partition by query_id order by rel desc) ideal from rel),
+    gain as (select query_id, {', '.join(f"sum(case when rank <= {k} then rel / log2(rank + 1) else 0 end) / sum(case when ideal <= {k} then rel / log2(ideal + 1) else 0 end) ndcg_{k}" for k in (5, 10))} from best group by query_id)
+    select count(*) n_queries, {', '.join(f"round(avg(case when done <= {k} then 1.0::double else 0.0::double end), 6) recall_{k}" for k in (1, 3, 5, 10))}, round(avg(coalesce(1.0::double / done, 0.0::double)), 6) mrr,
+        {', '.join(f"round(avg(round(coalesce(ndcg_{k}, 0.0), 6)), 6) ndcg_{k}" for k in (5, 10))} from done left join gain using (query_id)""")
+def code_recall(spark: S, d: str) -> DataFrame:
+    """The metrics of code search: gold strings count as whole identifiers, among the first ten chunks."""
+    gold = data.gold(spark, d)
+    whole = stage(metrics.occurrences(data.chunks(spark, d), gold, whole=True), "whole-found")
+    return metrics.code_report(full_ranking(spark, d), gold, whole)
 
 
 _FIRST = f"""{GRID_SQL}, {data.GOLD}, target as (select query_id, min(gold) gold from gold group by query_id), tiers as (select distinct strategy, depth, query_id, gold, case when query_id % 2 = 0 then 'A' else 'B' end tier from long join target using (query_id)),

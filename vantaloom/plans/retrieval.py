@@ -21,13 +21,14 @@ def tokenize_documents(spark: S, d: str) -> DataFrame:
 
 
 @query("""
-    with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+') words from documents),
-    p as (select doc_id, i, words[i] w, regexp_extract_all(words[i], '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') parts from w, unnest(range(1, len(words) + 1)) t(i) where not regexp_matches(words[i], '[A-Z][A-Z]+[a-z]'))
-    select doc_id, len(words)::bigint n_cased, (select coalesce(sum(case when len(parts) > 1 then 1 + len(parts) else 1 end), 0) from p where p.doc_id = w.doc_id)::bigint n_split
-    from w where not regexp_matches(text, '[A-Z][A-Z]+[a-z]')""")
+    with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+') words from documents),
+    p as (select doc_id, regexp_extract_all(regexp_replace(words[i], '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') parts from w, unnest(range(1, len(words) + 1)) t(i)),
+    n as (select doc_id, sum(case when len(parts) > 1 then 1 + len(parts) else 1 end)::bigint n_split from p group by doc_id),
+    c as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[一-鿿]')) cjk from documents)
+    select doc_id, (len(words) + cjk)::bigint n_cased, (coalesce(n_split, 0) + cjk)::bigint n_split from w join c using (doc_id) left join n using (doc_id)""")
 def tokenize_variants(spark: S, d: str) -> DataFrame:
-    """Cased and part-splitting tokenizers; words like ``HTTPServer``, which SQL's regular expressions can't split, are left out of the comparison."""
-    own = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))).where(~F.regexp_like("text", F.lit("[A-Z][A-Z]+[a-z]")))
+    """Cased and part-splitting tokenizers."""
+    own = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return own.select("doc_id", F.size(tx.tokens_cased(F.col("text"))).cast("long").alias("n_cased"), F.size(tx.tokens_with_parts(F.col("text"))).cast("long").alias("n_split"))
 
 
@@ -64,27 +65,36 @@ def bm25_topk(spark: S, d: str) -> DataFrame:
 def idf_overlap(spark: S, d: str) -> DataFrame:
     """Each question against the chunk that shares most distinct terms with it."""
     i, q = data.index(spark, d), data.questions(spark, d)
-    shared = i.postings.join(lexical.query_terms(q), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"))
-    best = fusion.top_k(shared, "query_id", 1, [F.desc("n"), F.asc("chunk_id")]).select("query_id", "chunk_id").join(data.chunks(spark, d), "chunk_id")
-    return lexical.idf_overlap(i, q, best)
+    return lexical.idf_overlap(i, q, _nearest(spark, d, i, q))
 
 
-@query(f"with {data.INDEX} select term, df, case when regexp_full_match(term, '[a-z]+') then 'natural' else 'identifier' end kind from frequency where df <= 3 and length(term) >= 3 and term not in ({', '.join(repr(w) for w in tx.STOP_WORDS)})")
+@query(f"""with {data.INDEX}, shared as (select query_id, chunk_id, count(*) k from postings join terms using (term) group by query_id, chunk_id),
+    best as (select query_id, text from (select query_id, chunk_id, row_number() over (partition by query_id order by k desc, chunk_id) n from shared) join chunks using (chunk_id) where n = 1),
+    files as (select term, count(distinct doc) df from postings join chunks using (chunk_id) group by term),
+    own as (select query_id, text, unnest(list_distinct({data.TOKENS.format("text")})) term from best)
+    select query_id, term, df, case when regexp_full_match(term, '[a-z]+') and regexp_matches(text, '(^|[^A-Za-z0-9_])' || term || '([^A-Za-z0-9_]|$)') then 'natural' else 'identifier' end kind
+    from own join files using (term) where df <= 3 and length(term) >= 3 and term not in ({', '.join(repr(w) for w in tx.CODE_STOP_WORDS)})""")
 def rare_terms(spark: S, d: str) -> DataFrame:
-    return lexical.rare_terms(data.index(spark, d))
+    """The rare terms of the chunk that each question shares most terms with."""
+    i, q = data.index(spark, d), data.questions(spark, d)
+    return lexical.rare_terms(_nearest(spark, d, i, q), lexical.file_frequency(data.chunks(spark, d)))
+
+
+def _nearest(spark: S, d: str, index: lexical.Index, questions: DataFrame) -> DataFrame:
+    """Each question's chunk with the most of its distinct terms, ties by id."""
+    terms = lexical.query_terms(questions)
+    shared = index.postings_of(terms).join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"))
+    return fusion.top_k(shared, "query_id", 1, [F.desc("n"), F.asc("chunk_id")]).select("query_id", "chunk_id").join(data.chunks(spark, d), "chunk_id")
 
 
 _CONTENT = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) > 2 and not list_contains([" + ", ".join(repr(w) for w in tx.STOP_WORDS) + "], x)))"
 
 
-@query(f"""with p as (select doc_id, {_CONTENT.format('b.text')} a, {_CONTENT.format('coalesce(d.text, $$$$)')} b from documents d join benchmark b on d.doc_id % 40 = b.item_id)
+@query(f"""with p as (select doc_id, {_CONTENT.format('b.text')} a, {_CONTENT.format('coalesce(d.text, $$$$)')} b from documents d join (select text, row_number() over (order by item_id) - 1 place, count(*) over () n from benchmark) b on d.doc_id % n = place)
     select doc_id, round(coalesce(len(list_intersect(a, b))::double / nullif(len(list_distinct(list_concat(a, b))), 0), 0.0), 6) jaccard, round(coalesce(len(list_intersect(a, b))::double / nullif(len(b), 0), 0.0), 6) coverage,
         (len(b) - len(list_intersect(a, b)))::bigint n_avoided from p""")
 def description_distance(spark: S, d: str) -> DataFrame:
-    """Every document as the description of one question; the questions, by id, take the documents in turn.
-
-    The SQL takes them in turn by a fixed 40: it gives the same rows where the item ids are 0 to 39.
-    """
+    """Every document as the description of one question; the questions, by id, take the documents in turn."""
     q = data.questions(spark, d)
     ids = q.select("query_id").distinct().withColumns({"all": F.lit(0), "above": -F.col("query_id")})
     places = ranking.rank_within(ids, "all", "above", "query_id", "place", start=0, common=None).select("query_id", "place")
@@ -264,11 +274,11 @@ def stage_diagnosis(spark: S, d: str) -> DataFrame:
     return first.join(ded, "query_id", "left").withColumn("recalled", F.coalesce(F.col("rank_fused") <= 20, F.lit(False)))
 
 
-@query(f"""with {_CANDIDATES}, top as (select * from reranked where rank <= 10), parents as (select query_id, doc parent, min(rank) r from top group by all)
-    select query_id, parent, row_number() over (partition by query_id order by r) as rank from parents""")
+@query(f"""with {_CANDIDATES}, {data.PASSAGES}, top as (select * from reranked join passages using (chunk_id) where rank <= 10), firsts as (select query_id, parent, min(rank) r from top group by all)
+    select query_id, parent, row_number() over (partition by query_id order by r) as rank from firsts""")
 def parent_expand(spark: S, d: str) -> DataFrame:
-    """Files of the reranked chunks, in the order of their first chunk."""
-    top = fusion.rerank(recalled(spark, d), top=10).withColumnRenamed("doc", "parent")
+    """Passages of the reranked chunks (named by the hash of their text), in the order of their first chunk."""
+    top = fusion.rerank(recalled(spark, d), top=10).drop("text").join(data.parents(spark, d), "chunk_id")
     return context.expand_parents(top).select("query_id", "parent", F.col("rank").cast("long").alias("rank"))
 
 
@@ -288,12 +298,12 @@ def pack_budget(spark: S, d: str) -> DataFrame:
     return packed.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.length("text").cast("long").alias("n_chars"), F.sha1(F.col("text").cast("binary")).alias("digest"), "truncated")
 
 
-@query(f"""with {_CANDIDATES}, top as (select query_id, rank, '{tx.SOURCE_MARK}' || doc || ']' || chr(10) || text as text from reranked where rank <= 5),
+@query(f"""with {_CANDIDATES}, {data.PASSAGES}, top as (select query_id, rank, '{tx.SOURCE_MARK}' || doc || ']' || chr(10) || parent_text as text from reranked join passages using (chunk_id) where rank <= 5),
     firsts as (select query_id, text, min(rank) as rank from top group by all), {_pack_sql('firsts', 'query_id', 'text', 8000)}
     select query_id, count(*) n_items, sha1(string_agg(text, chr(10) || chr(10) order by rank)) digest from packed group by query_id""")
 def search_context(spark: S, d: str) -> DataFrame:
     """The whole document search: recall, rerank, parents once each, headers, budget, one context."""
-    top = fusion.rerank(recalled(spark, d), top=5).withColumn("parent", context.with_header(F.col("doc"), F.col("text")))
+    top = fusion.rerank(recalled(spark, d), top=5).drop("text").join(data.parents(spark, d).drop("parent"), "chunk_id").withColumn("parent", context.with_header(F.col("doc"), F.col("text")))
     once = context.expand_parents(top.drop("text")).select("query_id", "rank", F.col("parent").alias("text"))
     joined = context.join_context(context.pack_budget(once, 8000, ["query_id"]), ["query_id"])
     return joined.select("query_id", "n_items", F.sha1(F.col("context").cast("binary")).alias("digest"))
