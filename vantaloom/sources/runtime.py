@@ -16,8 +16,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PACKAGE = Path(__file__).resolve().parent.parent
 _staged: list[tuple[SparkSession, str]] = []
@@ -100,10 +101,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of a table holds."""
+    out = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        kind = f.dataType
+        if isinstance(kind, T.StringType | T.BinaryType):
+            out = out + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif isinstance(kind, T.ArrayType | T.MapType | T.StructType):
+            out = out + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+    return out
 
-def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint where it has few rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if len(df.limit(most_rows + 1).select(F.lit(1)).take(most_rows + 1)) <= most_rows else df
+
+def small_side(df: DataFrame, most_rows: int = 100_000, most_mb: float = 64) -> DataFrame:
+    """``df`` with a broadcast hint where it has few rows and few bytes; else as it is, for a shuffled join. One row comes back to tell."""
+    n, size = df.limit(most_rows + 1).agg(F.count("*"), F.coalesce(F.sum(_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= most_rows and size <= most_mb * 1e6 else df
 
 
 def spread(df: DataFrame) -> DataFrame:
