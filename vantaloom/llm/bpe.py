@@ -7,7 +7,7 @@ new neighbouring pairs join the heap. Ties of rank go to the leftmost. Decoding
 concatenates vocabulary strings.
 
 Words repeat, so each worker keeps the ids of the words it has met, in a table that
-is emptied when it reaches ``CACHE`` words: memory is bounded, results are not
+is emptied when it reaches ``CACHE`` words of at most ``KEPT`` characters: memory is bounded, results are not
 affected. Splitting a text into words follows the byte-level rule of the public
 tokenizer files; text with characters that Python's Unicode tables do not know is
 split by the library itself, whose tables may be newer.
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from vantaloom.llm.tokens import _bytes_of_chars, library, model
 from vantaloom.sources.runtime import ship_package
 
-CACHE = 400_000
+CACHE, KEPT = 400_000, 64
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # a fixed value: the word rule of byte-level tokenizer files
 
 CODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
@@ -99,8 +99,10 @@ class HeapBpe:
             if len(known) + len(fresh) > CACHE:
                 known.clear()
                 fresh = set(words)
-            for w in fresh:
-                known[w] = self.word(w.encode())
+            long = {w: self.word(w.encode()) for w in fresh if len(w) > KEPT}
+            known.update((w, self.word(w.encode())) for w in fresh if len(w) <= KEPT)
+            if long:
+                return chain.from_iterable(long[w] if w in long else known[w] for w in words)
         return chain.from_iterable(map(known.__getitem__, words))
 
     def encode(self, text: str) -> list[int]:

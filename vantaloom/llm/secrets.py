@@ -3,7 +3,8 @@
 Every version of a text is addressed by its SHA-256. A ledger row says that a rule,
 in one version, has scanned one blob, and holds the spans it found; a scan takes only
 the pairs of blob and rule version that the ledger lacks, each blob once however
-many paths or versions hold it, and joins findings back to all of them. The blobs'
+many paths or versions hold it, and joins findings back to all of them. A ledger row is
+kept for clean blobs as well, and seen pairs are left out by their hashes, before any text moves. The blobs'
 texts are combined before the shuffle, so a text with many copies moves once a task;
 the join back is an equi-join on the blob, which Spark splits where a blob is frequent.
 
@@ -13,7 +14,9 @@ is exclusive. ``split`` by the pattern gives the gaps between the matches that
 
 Cases: a null text is the empty blob, without findings. Texts of any length are
 scanned whole. Rows that repeat get the same findings. Spans of different rules may
-overlap and all stay. An empty table gives an empty result.
+overlap and all stay. An empty table gives an empty result. Columns named ``blob`` or
+``spans`` are never read as ours: ``with_findings`` leaves them out unless they are asked
+for, and ``redact`` keeps every column as it was.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantaloom.sources.runtime import stage
+from vantaloom.sources.runtime import small_side, stage
 
 SPANS = "array<struct<start:int,end:int,rule:int>>"
 LEDGER = f"blob string, rule_version string, spans {SPANS}"
@@ -83,12 +86,17 @@ def scan(versions: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     Columns: blob, rule_version, spans. Append them to the ledger.
     """
     text = F.coalesce(versions[text_col], F.lit(""))
-    blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text")).dropDuplicates(["blob"])
+    addressed = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
     if ledger is None:
-        unseen = F.lit(True)
+        blobs, unseen = addressed.dropDuplicates(["blob"]), F.lit(True)
     else:
+        # What is left to scan is found from hashes alone; where it is little, no other text is moved.
+        keys = F.array(*[F.lit(r.key) for r in rules])
         seen = ledger.groupBy("blob").agg(F.collect_set("rule_version").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left")
+        left = addressed.select("blob").distinct().join(seen, "blob", "left").where(F.size(F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))) > 0)
+        left = stage(left, "secrets-left")
+        few = small_side(left)
+        blobs = addressed.join(few, "blob").dropDuplicates(["blob"]) if few is not left else addressed.dropDuplicates(["blob"]).join(left, "blob")
         unseen = None
     rows = []
     for n, rule in enumerate(rules):

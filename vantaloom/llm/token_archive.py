@@ -168,13 +168,14 @@ def decode_segment(data: bytes, blocks: slice = slice(None)) -> tuple[np.ndarray
     return lengths, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
 
 
-def write_archive(df: DataFrame, tokenizer: str, text_col: str = "text", id_col: str = "doc_id", end_id: int = 2, segment_ids: int = 2_000_000) -> DataFrame:
+def write_archive(df: DataFrame, tokenizer: str, text_col: str = "text", id_col: str = "doc_id", end_id: int = 2, segment_ids: int = 2_000_000, task_bytes: int = 256_000_000) -> DataFrame:
     """Tokenize and write the archive; the staged table of its segments.
 
     Shards follow the ascending id order, segments that order within a shard. A null
     text is empty, so its document is the end id alone. Null ids come first. Rows with
-    equal ids are kept, in the order of their texts. Extra columns are not read. A
-    segment closes at ``segment_ids`` ids, with whole documents, which bounds memory.
+    equal ids are kept, in the order of a hash of their texts, so that they need not meet
+    in one task. Extra columns are not read. A segment closes at ``segment_ids`` ids, with
+    whole documents: memory follows that, or the longest document.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -205,8 +206,11 @@ def write_archive(df: DataFrame, tokenizer: str, text_col: str = "text", id_col:
             yield segment()
 
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Each task sorts about ``task_bytes`` of text, whatever the corpus's size; rows that share an id are told apart by a hash.
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes))
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     return stage(ordered.mapInArrow(run, ARCHIVE), "token-archive", "none")
 
 

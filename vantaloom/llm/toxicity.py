@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,9 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vantaloom.sources.runtime import ship_package
+from vantaloom.sources.runtime import ship_package, stage
 
-FOLDS, LEAST, LONGEST, PRIOR, DRIFT, CACHE = 4, 3, 8, 20.0, 0.5, 150_000
+FOLDS, LEAST, LONGEST, PRIOR, DRIFT, CACHE, KEPT = 4, 3, 8, 20.0, 0.5, 150_000, 64
 WORDS = re.compile(r"\w+").findall
 COUNTS = [f"c{c}_{f}" for c in (0, 1) for f in range(FOLDS)]
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_segments", T.IntegerType()), T.StructField("segments", T.StringType())])
@@ -97,8 +97,10 @@ class Model:
             if len(known) + len(fresh) > CACHE:
                 known.clear()
                 fresh = set(words)
-            for w in fresh:
-                known[w] = self.token(w)
+            long = {w: self.token(w) for w in fresh if len(w) > KEPT}
+            known.update((w, self.token(w)) for w in fresh if len(w) <= KEPT)
+            if long:  # words too long to be kept, so that the table's bytes are bounded as well
+                return np.array([long[w] if w in long else known[w] for w in words], dtype=np.float64)
         return np.array(list(map(known.__getitem__, words)), dtype=np.float64)
 
     def evidence(self, scores: np.ndarray) -> tuple[float, float, list[tuple[int, int, float]]]:
@@ -159,10 +161,10 @@ def _select(scores: dict[str, np.ndarray], at: int, max_units: int) -> dict[str,
     return out
 
 
-def _lambda(positive: np.ndarray, n_tokens: float) -> float:
-    """The positive root of sum p(s) exp(lambda s) = 1, where other tokens score minus the drift."""
-    rest = max(n_tokens - len(positive), 0.0)
-    total = lambda x: (np.exp(np.minimum(x * positive, 700)).sum() + rest * math.exp(-x * DRIFT)) / max(n_tokens, 1)
+def _lambda(positive: np.ndarray, often: np.ndarray, n_tokens: float) -> float:
+    """The positive root of sum p(s) exp(lambda s) = 1 for positive scores and their numbers; other tokens score minus the drift."""
+    rest = max(n_tokens - float(often.sum()), 0.0)
+    total = lambda x: ((np.exp(np.minimum(x * positive, 700)) * often).sum() + rest * math.exp(-x * DRIFT)) / max(n_tokens, 1)
     low, high = 1e-3, 1e-3
     while total(high) < 1 and high < 20:
         high *= 1.5
@@ -204,6 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(usable), "doc_id")  # at most about max_train rows of two numbers
     # A text counts once however many copies it has; near copies, which mostly begin alike, share a fold.
     rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("text", "toxic", F.pmod(F.xxhash64(F.substring("text", 1, 40)), F.lit(FOLDS)).cast("int").alias("fold"))
+    rows = stage(rows, "toxicity-sample")  # bounded by max_train; the documents are read once for it
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = defaultdict(lambda: [0] * len(COUNTS))
@@ -245,32 +248,46 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(by_fold[:FOLDS]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per text its tokens and segment scores; per batch how often background tokens have each positive score."""
         models = pickle.loads(held.value)
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64())
         for batch in batches:
-            out = []
+            out, often = [], Counter()
             for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = models[fold].token_scores(text)
-                out.append((toxic, len(s), s[s > 0].tolist() if not toxic else [], [x[2] for x in maximal_segments(s)]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)], names=["toxic", "n", "positive", "segments"])
-
-    found = rows.mapInArrow(measure, "toxic int, n long, positive array<double>, segments array<double>").toArrow()
-    toxic, n_tokens = np.array(found.column("toxic").to_pylist()), np.array(found.column("n").to_pylist(), dtype=np.float64)
-    segments, positive = found.column("segments").to_pylist(), found.column("positive").to_pylist()
-    background = toxic == 0
+                out.append((toxic, len(s), [x[2] for x in maximal_segments(s)], None, None))
+                if not toxic:
+                    often.update(s[s > 0].tolist())
+            out.extend((None, None, None, x, n) for x, n in often.items())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["toxic", "n", "segments", "value", "often"])
+
+    found = stage(rows.mapInArrow(measure, "toxic int, n long, segments array<double>, value double, often long"), "toxicity-segments")
+    background = found.where("toxic = 0")
+    n_tokens = float(background.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    spread = found.where("value is not null").groupBy("value").agg(F.sum("often").alias("often")).orderBy("value").toArrow()  # at most one row for each score a unit has
     model = by_fold[FOLDS]
-    model.lam = _lambda(np.array([x for p in positive for x in p]), float(n_tokens[background].sum()))
-    tops = np.array([x for b, s in zip(background, segments, strict=True) if b for x in s])
-    cut = float(np.median(tops)) if len(tops) else 1.0
-    model.k = max(1e-9, float((tops >= cut).sum()) / max(1.0, n_tokens[background].sum() * math.exp(-model.lam * cut)))
-    features = []
-    for n, own in zip(n_tokens, segments, strict=True):
-        edge = math.log(model.k * max(n, 1))
-        bits = [model.lam * s - edge for s in own]
-        best = max(bits, default=-math.inf)
-        e = math.exp(-best) if best > -50 else math.inf
-        p = -math.expm1(-e) if e > 1e-12 else math.exp(-min(best, 700))
-        features.append((math.log1p(-math.log(max(p, 1e-300))), math.log1p(sum(b for b in bits if b > 0))))
-    model.link = _logistic(np.array(features), toxic.astype(np.float64))
+    model.lam = _lambda(spread.column("value").to_numpy(), spread.column("often").to_numpy(), n_tokens)
+    tops = background.select(F.explode("segments").alias("top"))
+    cut = tops.agg(F.percentile("top", 0.5)).first()[0]
+    cut = 1.0 if cut is None else float(cut)
+    model.k = max(1e-9, float(tops.where(F.col("top") >= cut).count()) / max(1.0, n_tokens * math.exp(-model.lam * cut)))
+    constants = (model.lam, model.k)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for toxic, n, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                edge = math.log(constants[1] * max(n, 1))
+                bits = [constants[0] * x - edge for x in own]
+                best = max(bits, default=-math.inf)
+                e = math.exp(-best) if best > -50 else math.inf
+                p = -math.expm1(-e) if e > 1e-12 else math.exp(-min(best, 700))
+                out.append((toxic, math.log1p(-math.log(max(p, 1e-300))), math.log1p(sum(b for b in bits if b > 0))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["toxic", "best", "total"])
+
+    # Three numbers for each text of the bounded sample.
+    table = found.where("toxic is not null").select("toxic", "n", "segments").mapInArrow(features, "toxic int, best double, total double").orderBy("toxic", "best", "total").toArrow()
+    model.link = _logistic(np.column_stack([table.column("best").to_numpy(), table.column("total").to_numpy()]), table.column("toxic").to_numpy().astype(np.float64))
     return model
 
 

@@ -105,21 +105,21 @@ def _by_trie(df: DataFrame, url_col: str, payload: bytes, default: str) -> DataF
                 paths.append(path)
                 rules.append(rule)
                 verdicts.append(verdict)
-            kept = [i for i, n in enumerate(batch.schema.names) if n not in OUT.names]
+            kept = [i for i, n in enumerate(batch.schema.names) if n.lower() not in OUT.names]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in kept] + [pa.array(x, pa.string()) for x in (hosts, paths, rules, verdicts)],
                 names=[batch.schema.names[i] for i in kept] + list(OUT.names),
             )
 
-    schema = T.StructType([f for f in df.schema.fields if f.name not in OUT.names] + OUT.fields)
+    schema = T.StructType([f for f in df.schema.fields if f.name.lower() not in OUT.names] + OUT.fields)
     return df.mapInArrow(judge, schema)
 
 
 def _by_join(df: DataFrame, url_col: str, rules: Sequence[Rule], default: str) -> DataFrame:
     """For rule sets over the broadcast bound: join each url's host suffixes with the rules."""
     spark = df.sparkSession
-    urls = df.select(F.col(url_col).alias("__url")).distinct()
-    rest = F.regexp_extract("__url", r"(?s)^.*?://(.*)$", 1)
+    urls = df.select(F.col(url_col).alias("__vantaloom_url")).distinct()
+    rest = F.regexp_extract("__vantaloom_url", r"(?s)^.*?://(.*)$", 1)
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     urls = urls.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
@@ -127,16 +127,16 @@ def _by_join(df: DataFrame, url_col: str, rules: Sequence[Rule], default: str) -
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fits = (
-        urls.select("__url", "path", F.explode(suffixes).alias("rule_host"))
+        urls.select("__vantaloom_url", "path", F.explode(suffixes).alias("rule_host"))
         .join(known, "rule_host")
         .where(F.expr("startswith(path, rule_path)"))
-        .groupBy("__url")
+        .groupBy("__vantaloom_url")
         .agg(F.max(F.struct(F.length("rule"), F.col("verdict"), F.col("rule"))).alias("best"))
-        .withColumnRenamed("__url", "__fit")
+        .withColumnRenamed("__vantaloom_url", "__vantaloom_fit")
     )
-    judged = urls.join(fits, F.col("__url").eqNullSafe(F.col("__fit")), "left").select("__url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-    base = df.select(*[c for c in df.columns if c not in OUT.names], df[url_col].alias("__key"))
-    return base.join(judged, F.col("__key").eqNullSafe(F.col("__url")), "left").drop("__key", "__url")
+    judged = urls.join(fits, F.col("__vantaloom_url").eqNullSafe(F.col("__vantaloom_fit")), "left").select("__vantaloom_url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    base = df.select(*[c for c in df.columns if c.lower() not in OUT.names], df[url_col].alias("__vantaloom_key"))
+    return base.join(judged, F.col("__vantaloom_key").eqNullSafe(F.col("__vantaloom_url")), "left").drop("__vantaloom_key", "__vantaloom_url")
 
 
 def filter_urls(df: DataFrame, rules: Sequence[Rule], url_col: str = "url", default: str = "allow", max_trie_mb: float = 64) -> DataFrame:

@@ -5,7 +5,7 @@ record is a header line of space-separated fields, then as many bytes as its las
 field declares, then a line feed. Version 1 lines have 5 fields, version 2 lines 10.
 The converter reads those lines from the right, so that odd urls do not shift fields,
 checks the declared lengths, and makes WARC records: an identifier that carries the
-page's id, a timestamp from the 14-digit archive date, the type, and SHA-1 digests of
+page's id and part of the payload's digest, a timestamp from the 14-digit archive date, the type, and SHA-1 digests of
 block and payload.
 
 Of records with equal payloads of at least ``min_revisit`` bytes, the one with the
@@ -19,8 +19,9 @@ a staged table, so that any store Spark writes to can hold them.
 
 Cases: a null html is an empty payload; a null url is stored as ``about:blank``, and
 white space in a url is percent-encoded. A null page id is kept as null and never
-referred to. Rows that repeat are records of their own; of equal page ids with equal
-payloads all are responses. An empty table gives an empty result. Extra columns are
+referred to; its record's identifier comes from the archive's name and the place in it.
+Rows that repeat are records of their own; of equal page ids with equal payloads all are
+responses, and as captures of one page with one content they share an identifier. An empty table gives an empty result. Extra columns are
 not carried.
 """
 
@@ -46,7 +47,7 @@ FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
-SPACE = 0x76616E74616C6F  # the high bits of the identifiers made here
+WITH_PAGE, WITHOUT_PAGE = 0x76, 0x6E  # the first byte of the identifiers made here
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"  # a fixed value of the WARC standard
 FILES = T.StructType([T.StructField("archive", T.StringType()), T.StructField("n_records", T.LongType()), T.StructField("warc", T.BinaryType())])
 FOUND = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType())])
@@ -59,11 +60,15 @@ class ArcRecord:
 
 
 def record_id(page_id: int | None, digest: bytes) -> str:
-    """A version-8 UUID: this module's bits and the page id in the low 64, or bits of the digest where there is none."""
+    """A version-8 UUID: a mark, 48 bits of the payload's digest and the page id; without a page id, 112 bits of the digest.
+
+    So a page's captures with different payloads have different identifiers, and a
+    revisit knows that of the record it refers to, as both payloads have one digest.
+    """
     if page_id is None:
-        high, low = int.from_bytes(digest[:7]), int.from_bytes(digest[7:15])
+        high, low = WITHOUT_PAGE << 48 | int.from_bytes(digest[:6]), int.from_bytes(digest[6:14])
     else:
-        high, low = SPACE, page_id & (1 << 64) - 1
+        high, low = WITH_PAGE << 48 | int.from_bytes(digest[:6]), page_id & (1 << 64) - 1
     bits = (high >> 8) << 80 | 8 << 76 | (high & 255) << 68 | (low >> 62) << 64 | 2 << 62 | (low & (1 << 62) - 1)
     x = f"{bits:032x}"
     return f"<urn:uuid:{x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:]}>"
@@ -72,7 +77,7 @@ def record_id(page_id: int | None, digest: bytes) -> str:
 def page_of(identifier: str) -> int | None:
     """The page id that ``record_id`` put into an identifier."""
     bits = int(identifier.removeprefix("<urn:uuid:").rstrip(">").replace("-", ""), 16)
-    if (bits >> 80) << 8 | (bits >> 68) & 255 != SPACE:
+    if bits >> 120 != WITH_PAGE:
         return None
     low = (bits >> 64 & 3) << 62 | bits & (1 << 62) - 1
     return low - (1 << 64) if low >> 63 else low
@@ -131,15 +136,17 @@ def _digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def to_warc(record: ArcRecord, page_id: int | None, refers_to: int | None) -> bytes:
-    """One WARC record; with ``refers_to`` a revisit, which keeps the HTTP header alone."""
+def to_warc(record: ArcRecord, page_id: int | None, refers_to: int | None, place: str = "") -> bytes:
+    """One WARC record; with ``refers_to`` a revisit, which keeps the HTTP header alone. ``place`` tells records without a page id apart."""
     head, gap, payload = record.content.partition(b"\r\n\r\n")
+    sha1 = hashlib.sha1(payload).digest()
+    own = sha1 if page_id is not None else hashlib.sha1(place.encode() + b"\n" + record.content).digest()
     date = record.fields["Archive-date"].ljust(14, "0")
     block = head + gap if refers_to is not None else record.content
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id, hashlib.sha1(record.content).digest())}",
+        f"WARC-Record-ID: {record_id(page_id, own)}",
         f"WARC-Date: {date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z",
         f"WARC-Target-URI: {record.fields['URL']}",
         f"WARC-IP-Address: {record.fields['IP-address']}",
@@ -150,7 +157,7 @@ def to_warc(record: ArcRecord, page_id: int | None, refers_to: int | None) -> by
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        lines[2:2] = [f"WARC-Refers-To: {record_id(refers_to, b'')}", f"WARC-Profile: {REVISIT_PROFILE}"]
+        lines[2:2] = [f"WARC-Refers-To: {record_id(refers_to, sha1)}", f"WARC-Profile: {REVISIT_PROFILE}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -177,12 +184,12 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def convert(arc: bytes, referrals: list[int | None]) -> list[bytes]:
+def convert(arc: bytes, referrals: list[int | None], name: str = "") -> list[bytes]:
     """The records of an ARC file as gzip members of a WARC file; ``referrals`` go with the records."""
     out = []
-    for record, refers_to in zip(read_arc(arc), referrals, strict=True):
+    for i, (record, refers_to) in enumerate(zip(read_arc(arc), referrals, strict=True)):
         found = re.search(rb"(?m)^X-Page-Id: (-?\d+)\r$", record.content.partition(b"\r\n\r\n")[0] + b"\r\n")
-        out.append(_gzip(to_warc(record, int(found[1]) if found else None, refers_to)))
+        out.append(_gzip(to_warc(record, int(found[1]) if found else None, refers_to, f"{name}:{i}")))
     return out
 
 
@@ -209,7 +216,7 @@ def write_archives(pages: DataFrame, min_revisit: int = 1000, date: str = "20240
 
         def archive() -> pa.RecordBatch:
             name = f"part-{part:06d}-{n:06d}"
-            members = convert(write_arc(held, 1 + n % 2, f"{name}.arc"), referrals)
+            members = convert(write_arc(held, 1 + n % 2, f"{name}.arc"), referrals, name)
             return pa.RecordBatch.from_arrays([pa.array([f"{name}.warc.gz"]), pa.array([len(members)], pa.int64()), pa.array([b"".join(members)], pa.binary())], names=FILES.fieldNames())
 
         for batch in batches:
