@@ -11,15 +11,24 @@ x - ceil(t x) + 1 of either row: only that prefix of each row enters the first p
 3. Columns shared by at most ``light`` rows: their pairs, with the overlap so far and
    the last shared places, summed by pair; pairs whose bound
    overlap + least of what is left stays below the need are dropped.
-4. Columns shared by more: the rows they tie together are dealt over cells of chunks,
-   each cell one blocked product over all its columns, whatever the group's size.
-5. Pairs left from 3 accumulate their overlap over the remaining columns, in blocks of
-   columns, and are dropped as soon as what is left can't reach the need.
+4. Columns shared by more: each row's pair with the column's least row, its leader, joins
+   the pairs of 3. All that is left of those pairs accumulates its overlap over the
+   remaining columns, in blocks of columns, and is dropped as soon as what is left can't
+   reach the need. Rows that are linked by now need no more comparing with each other.
+5. Columns of 4 whose rows are not all tied together yet: the rows that such columns
+   connect, by classes of sizes that can reach the need at all, are dealt over cells of
+   chunks, each cell one blocked product over all its columns, whatever the group's size.
 6. Links leave as pairs between sets; components of sets by star rounds, named by their least id.
 
+A group of near copies thus costs a comparison a row; the product over cells remains for
+rows that share frequent shingles without being near copies.
+
 The orders and filters only save work: any order of columns gives the same links. The
-texts are read again in steps 2, 3 and 5 rather than their sets stored, since hashing
-them is cheaper than moving sets; broadcast filters have a fixed size.
+texts are read again in steps 2, 3, 4 and 5 rather than their sets stored, since hashing
+them is cheaper than moving sets. The sketch grows with the input's partitions up to 2**22
+counters (16 MB) and the filters with their keys up to 2**26 bits (8 MB): beyond that
+the order tells only the most frequent shingles apart, and more rows pass the filters to
+the exact joins behind them.
 
 Cases: null or empty texts, and texts of spaces, have no shingle and link with nothing;
 fewer than five words are one shingle. Repeated rows have equal sets and are linked.
@@ -30,6 +39,7 @@ columns are not carried along.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,7 +52,8 @@ from vantaloom.llm.components import again, connected_components
 from vantaloom.llm.shingles import mix, shingle_sets
 from vantaloom.sources.runtime import arrow_batches, ship_package, stage
 
-SKETCH_BITS, SKETCH_ROWS, FILTER_BITS = 20, 256, 24
+SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_ROWS = 20, 22, 256
+FILTER_BITS, MOST_FILTER_BITS = 20, 26
 LIGHT, CHUNK, COLUMNS = 24, 384, 8192
 
 
@@ -66,25 +77,26 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 class _Filter:
-    """Membership of 64-bit keys in a bit table of fixed size; members are never missed."""
+    """Membership of 64-bit keys in a bit table; members are never missed."""
 
     def __init__(self, words: np.ndarray):
-        self.words = words
+        self.words, self.shift = words, np.uint64(64 - 6 - (len(words).bit_length() - 1))
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        bit = mix(keys.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+        bit = mix(keys.view(np.uint64)) >> self.shift
         return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
 
 
 def _filter_of(keys: DataFrame) -> bytes:
-    """A filter of one long column: bits are set in tasks and combined before they meet; its size is fixed."""
-    n_words = 1 << (FILTER_BITS - 6)
+    """A filter of one long column, about 16 bits a key up to its bound: bits are set in tasks and combined before they meet."""
+    size = max(FILTER_BITS, min(MOST_FILTER_BITS, (16 * keys.count()).bit_length()))
+    n_words, shift = 1 << (size - 6), np.uint64(64 - size)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(n_words, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for batch in batches:
-                bit = mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+                bit = mix(batch.column(0).to_numpy().view(np.uint64)) >> shift
                 np.bitwise_or.at(words, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at].view(np.int64))], names=["word", "bits"])
@@ -95,18 +107,23 @@ def _filter_of(keys: DataFrame) -> bytes:
     return words.tobytes()
 
 
-def _first_pass(texts: DataFrame) -> DataFrame:
-    """Staged: a row for each document (doc_id, n, set name, hash), and each task's part of the count sketch."""
+def _sketch_bits(texts: DataFrame) -> int:
+    """More counters for more than 1024 partitions of the input, up to a bound."""
+    return max(SKETCH_BITS, min(MOST_SKETCH_BITS, SKETCH_BITS + (texts.rdd.getNumPartitions() >> 10).bit_length()))
+
+
+def _first_pass(texts: DataFrame, bits: int) -> DataFrame:
+    """Staged: a row for each document (doc_id, n, set name, hash), and each task's part of the count sketch of 2**bits counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "name", "hash", "part", "counts"]
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        sketch = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
             sizes, sets, keys = [], [], []
             for own in shingle_sets(batch.column(1)):
                 sizes.append(len(own))
                 sets.append(fingerprint(own) if len(own) else 0)
-                keys.append(own >> np.uint64(64 - SKETCH_BITS))
+                keys.append(own >> np.uint64(64 - bits))
                 if len(keys) == 500:
                     sketch += np.bincount(np.concatenate(keys).astype(np.int64), minlength=len(sketch))
                     keys = []
@@ -121,8 +138,8 @@ def _first_pass(texts: DataFrame) -> DataFrame:
     return stage(texts.mapInArrow(run, "doc_id long, n long, name long, hash long, part int, counts binary"), "ngram-rows")
 
 
-def _sketch(first: DataFrame) -> np.ndarray:
-    """The whole corpus's counts, 2**SKETCH_BITS numbers."""
+def _sketch(first: DataFrame, bits: int) -> np.ndarray:
+    """The whole corpus's counts, 2**bits numbers."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -133,7 +150,7 @@ def _sketch(first: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
     rows = first.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").collect()
-    out = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), dtype=np.uint32)
+    out = np.zeros((SKETCH_ROWS, (1 << bits) // SKETCH_ROWS), dtype=np.uint32)
     for r in rows:
         out[r["part"]] = np.frombuffer(r["counts"], "<u4")
     return out.reshape(-1)
@@ -144,6 +161,7 @@ def _prefixes(texts: DataFrame, sketch, percent: int, only=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(sketch.value, np.uint32)
+        shift = np.uint64(64 - (len(counts).bit_length() - 1))
         wanted = _Filter(np.frombuffer(only.value, np.uint64)) if only is not None else None
         seen: set[int] = set()
         with np.errstate(over="ignore"):
@@ -164,7 +182,7 @@ def _prefixes(texts: DataFrame, sketch, percent: int, only=None) -> DataFrame:
                         continue
                     seen.add(name)
                     k = prefix_length(len(own), percent)
-                    rank = counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    rank = counts[(own >> shift).astype(np.int64)]
                     first = np.lexsort((own, rank))[:k]
                     place = np.arange(k, dtype=np.int32)
                     key = own[first]
@@ -303,8 +321,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(overlap >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_a = pairs.join(sets.select(F.col("name").alias("a"), F.col("grams").alias("ga")), "a")
-    return with_a.join(sets.select(F.col("name").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+    # A leader is the first of many pairs, so its join comes last, where Spark can split it.
+    with_b = pairs.join(sets.select(F.col("name").alias("b"), F.col("grams").alias("gb")), "b")
+    return with_b.join(sets.select(F.col("name").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
 
 def _links(docs: DataFrame, text_col: str, id_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -312,31 +331,56 @@ def _links(docs: DataFrame, text_col: str, id_col: str, percent: int) -> tuple[D
     spark = docs.sparkSession
     context = spark.sparkContext
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    first = _first_pass(texts.withColumn("hash", F.xxhash64("text")))
+    bits = _sketch_bits(texts)
+    first = _first_pass(texts.withColumn("hash", F.xxhash64("text")), bits)
     rows = first.where("part is null").select("doc_id", "n", "name", "hash")
     classes = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("rep"))
-    sketch = context.broadcast(_sketch(first).tobytes())
+    sketch = context.broadcast(_sketch(first, bits).tobytes())
 
     counted = _prefixes(texts, sketch, percent).groupBy("shingle").agg(F.count("*").alias("rows"), F.min("name").alias("low"), F.max("name").alias("high"))
     shared = stage(counted.where("low <> high"), "ngram-columns")
     columns = context.broadcast(_filter_of(shared.select("shingle")))
     members = stage(_prefixes(texts, sketch, percent, columns).join(shared, "shingle").select("shingle", "name", "n", "place", "rows", "low"), "ngram-members")
 
-    pairs = stage(_light_pairs(members.where(F.col("rows") <= LIGHT), percent), "ngram-pairs")
+    light = _light_pairs(members.where(F.col("rows") <= LIGHT), percent)
     heavy = members.where(F.col("rows") > LIGHT)
-    tied = connected_components(heavy.select("low", "name"))
-    groups = tied.groupBy("component").agg(F.count("*").alias("size")).select(again("component"), "size")
-    cells = to_cells(tied.join(groups, "component"), ["component"], "node", F.col("size"), CHUNK).select("component", "cell_i", "cell_j", "side", F.col("node").alias("name"))
+    pairs = stage(light.union(_leader_pairs(heavy, percent)).distinct(), "ngram-pairs")
+
+    def sets_of(names: DataFrame) -> DataFrame:
+        return stage(_sets(texts, context.broadcast(_filter_of(names))).dropDuplicates(["name"]), "ngram-sets", "none")
+
+    near = _verify(pairs, sets_of(pairs.select("a").union(pairs.select("b"))), percent)
+    tied = stage(connected_components(near), "ngram-tied")
+    left = stage(_untied(heavy, tied), "ngram-untied")
+    if not left.limit(1).count():
+        return rows, classes, tied
+
+    # A row is in the class of its size and the next one; sizes that reach the need share a class.
+    own = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 * 100 / percent)).cast("int")
+    placed = connected_components(left.select("low", "name")).join(left.select(F.col("name").alias("node"), "n").distinct(), "node")
+    placed = placed.select("node", "component", F.explode(F.array(own, own + 1)).alias("class"))
+    groups = placed.groupBy("component", "class").agg(F.count("*").alias("size")).where("size > 1").select(again("component"), again("class"), "size")
+    keys = ["component", "class", "cell_i", "cell_j"]
+    cells = to_cells(placed.join(groups, ["component", "class"]), ["component", "class"], "node", F.col("size"), CHUNK).select(*keys, "side", F.col("node").alias("name"))
     cells = stage(cells, "ngram-cells")
-    asked = context.broadcast(_filter_of(pairs.select("a").union(pairs.select("b")).union(cells.select("name"))))
-    sets = stage(_sets(texts, asked).dropDuplicates(["name"]), "ngram-sets", "none")
-
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["component", "cell_i", "cell_j"]
-    dealt = cells.join(sets, "name").select(*keys, "side", "name", "grams").repartition(parts, *keys).sortWithinPartitions(*keys, "side", "name")
-    in_cells = _grouped(dealt, 3, lambda key, held: _cell_links(held, percent, key[1] == key[2]), "a long, b long", ["a", "b"])
-    links = stage(_verify(pairs, sets, percent).union(in_cells), "ngram-links")
-    return rows, classes, links
+    dealt = cells.join(sets_of(cells.select("name")), "name").select(*keys, "side", "name", "grams").repartition(parts, *keys).sortWithinPartitions(*keys, "side", "name")
+    in_cells = _grouped(dealt, 4, lambda key, held: _cell_links(held, percent, key[2] == key[3]), "a long, b long", ["a", "b"])
+    return rows, classes, stage(tied.union(in_cells), "ngram-links")
+
+
+def _leader_pairs(heavy: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each row of a column with the column's least row, where their sizes can reach the need."""
+    leaders = heavy.where("name = low").select(F.col("low").alias("a"), F.col("n").alias("na")).distinct()
+    pairs = heavy.where("name <> low").select(F.col("low").alias("a"), F.col("name").alias("b"), F.col("n").alias("nb")).distinct()
+    return pairs.join(leaders.select(again("a"), "na"), "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+
+
+def _untied(heavy: DataFrame, tied: DataFrame) -> DataFrame:
+    """The rows of those columns whose rows are not of one component yet."""
+    marked = heavy.select("shingle", "name", "n", "low").join(tied.select(F.col("node").alias("name"), "component"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    several = marked.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(again("shingle"))
+    return marked.join(several, "shingle").select("name", "n", "low").distinct()
 
 
 def _components(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataFrame:
