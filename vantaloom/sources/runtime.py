@@ -58,11 +58,11 @@ def _clear() -> None:
 atexit.register(_clear)
 
 
-def stage(df: DataFrame, label: str, compression: str = "zstd", level: int = 3) -> DataFrame:
-    """Write ``df`` to the shared folder once and return the table read back; ``level`` is zstd's."""
+def stage(df: DataFrame, label: str, compression: str = "zstd", level: int = 3, page: int = 1 << 20) -> DataFrame:
+    """Write ``df`` to the shared folder once and return the table read back; ``level`` is zstd's, ``page`` the bytes that it compresses together."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/vantaloom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", level).parquet(path)
+    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", page).parquet(path)
     _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
