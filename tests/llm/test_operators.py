@@ -353,6 +353,45 @@ def test_codecs():
     assert len(telephony.resample(np.zeros(80, np.int16), 8000, 4000)) == 40
 
 
+def test_planes_of_pcm():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 64, 1001):
+        for sound in (rng.integers(-32768, 32768, n).astype("<i2"), telephony.resample(rng.integers(-32768, 32768, n).astype(np.int16))):
+            assert telephony.unpack_pcm(*telephony.pack_pcm(sound)).tolist() == sound.tolist()
+
+
+def feature_plain(payload):
+    """The feature string of a payload, from plain restatements of the codecs and of the interpolation."""
+    kind = zlib.crc32(payload) % 3
+    if kind == 2:
+        pcm = [x for at in range(0, len(payload), 64) for x in adpcm_plain(payload[at : at + 64])]
+    else:
+        pcm = []
+        for b in payload:
+            if kind == 0:  # mu-law
+                b = ~b & 255
+                size = ((((b & 15) << 3) + 132) << (b >> 4 & 7)) - 132
+                pcm.append(-size if b & 128 else size)
+            else:  # A-law
+                b ^= 0x55
+                e, m = b >> 4 & 7, b & 15
+                size = (m << 4) + 8 if e == 0 else ((m << 4) + 0x108) << (e - 1)
+                pcm.append(size if b & 128 else -size)
+    up = [y for i, x in enumerate(pcm) for y in (x, (x + pcm[min(i + 1, len(pcm) - 1)]) >> 1)]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(up, up[1:], strict=False))
+    raw = b"".join(x.to_bytes(2, "little", signed=True) for x in up)
+    return f"{('mulaw', 'alaw', 'adpcm')[kind]}:{len(up)}:{max(map(abs, up))}:{sum(x * x for x in up) // len(up)}:{crossings}:{zlib.crc32(raw):08x}"
+
+
+def test_features_of_sounds_against_plain_codecs(docs):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect() if r["doc_id"] is not None}
+    for r in telephony.media_features(telephony.store_media(docs.where("doc_id is not null"))).collect():
+        raw = texts[r["doc_id"]]
+        payload = raw + bytes(-len(raw) % 64 or 64 * (not raw))
+        wav = telephony.write_wav(payload)
+        assert (r["feature"], r["media_bytes"], r["media_sha256"]) == (feature_plain(payload), len(wav), hashlib.sha256(wav).hexdigest())
+
+
 def test_media(docs, empty):
     stored = telephony.store_media(docs)
     got = telephony.media_features(stored).collect()

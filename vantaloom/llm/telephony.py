@@ -5,12 +5,15 @@ so nothing is lost: mu-law and A-law keep one byte a sample, ADPCM blocks of 64
 keep a 4-byte header and 120 four-bit codes. Reading parses the RIFF chunks, expands
 mu-law and A-law by 256-entry tables, and decodes ADPCM for all blocks of a batch at
 once: 120 steps of numpy, each over every block. The samples are resampled to the
-target rate by linear interpolation and stored; features come from the stored PCM.
+target rate by linear interpolation and stored; features come from the stored PCM. PCM
+is stored without loss as two planes: every second sample, and the rest as differences
+from the mean of their neighbours, which compress better than the samples in turn.
 
 The codec follows from the payload's checksum, so equal payloads have equal files.
 
 Cases: a null text is empty; its payload is 64 zero bytes. Text of any length is one
-file; a file over ``4 GB - 1`` can't be written in WAV form and raises ValueError.
+file: a string of Spark has at most 2 GB, and a WAV file holds ``4 GB - 1`` (``write_wav``
+raises ValueError beyond that).
 Rows that repeat give rows that repeat. An empty table gives an empty result. Columns
 other than the id and the text are not carried along.
 """
@@ -20,19 +23,21 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vantaloom.sources.runtime import ship_package, stage
+from vantaloom.sources import runtime
+from vantaloom.sources.runtime import arrow_batches, ship_package
 
-RATE, TARGET_RATE, ALIGN = 8000, 16_000, 64
+RATE, TARGET_RATE, ALIGN, BATCH, PAGE = 8000, 16_000, 64, 1000, 8 << 20
 MULAW, ALAW, ADPCM = 7, 6, 0x11  # fixed values: WAV format tags
 NAMES = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "adpcm"}
 CODECS = (MULAW, ALAW, ADPCM)
+EVEN = {tag: f"even_{name}" for tag, name in NAMES.items()}  # sounds of a codec have samples in common, so each has a column of its own
 SAMPLES = 2 * (ALIGN - 4) + 1  # of an ADPCM block
 
 # The index steps of IMA ADPCM codes.
@@ -139,6 +144,26 @@ def resample(pcm: np.ndarray, rate: int = RATE, target: int = TARGET_RATE) -> np
     return np.rint(np.interp(at, np.arange(len(pcm)), pcm)).astype(np.int16)
 
 
+def pack_pcm(pcm: np.ndarray) -> tuple[bytes, bytes]:
+    """The even samples, and the odd ones less the mean of their neighbours, modulo 2**16; the last sample stands for one that is missing."""
+    even, odd = pcm[::2], pcm[1::2]
+    return even.tobytes(), (odd - _between(even, len(odd))).tobytes()
+
+
+def unpack_pcm(even: bytes, rest: bytes) -> np.ndarray:
+    """The samples that ``pack_pcm`` took apart."""
+    even, rest = np.frombuffer(even, "<i2"), np.frombuffer(rest, "<i2")
+    pcm = np.empty(len(even) + len(rest), dtype="<i2")
+    pcm[::2] = even
+    pcm[1::2] = rest + _between(even, len(rest))
+    return pcm
+
+
+def _between(even: np.ndarray, n: int) -> np.ndarray:
+    after = np.append(even[1:], even[-1:])[:n]
+    return ((even[:n].astype(np.int32) + after) >> 1).astype("<i2")
+
+
 def expand(files: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """Tag, coded data and samples of each file; ADPCM blocks of all the files are decoded together."""
     read = [read_wav(m) for m in files]
@@ -168,6 +193,36 @@ def _groups(column, most: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
+def _sounds(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The samples of each row of a batch with planes."""
+    even = [batch.column(n) for n in EVEN.values()]
+    for i, rest in enumerate(batch.column("rest")):
+        yield unpack_pcm(next(c[i] for c in even if c[i].is_valid).as_buffer(), rest.as_buffer())
+
+
+def read_pcm(stored: DataFrame) -> DataFrame:
+    """A table with PCM in planes, with its samples as ``pcm`` instead."""
+    columns = [f for f in stored.schema.fields if f.name not in (*EVEN.values(), "rest")]
+    schema = T.StructType([*columns, T.StructField("pcm", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                own = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([*(own.column(f.name) for f in columns), pa.array([x.tobytes() for x in _sounds(own)], pa.binary())], names=schema.fieldNames())
+
+    return stored.mapInArrow(run, schema)
+
+
+def stage(df: DataFrame, label: str, **how) -> DataFrame:
+    """A staged table, made with few rows at a time. Planes are read back as samples; the table as it is stored stays at ``stored``, for readers that unpack in a pass of their own."""
+    with arrow_batches(df.sparkSession, BATCH):
+        stored = runtime.stage(df, label, **how)
+    out = read_pcm(stored) if "rest" in stored.columns else stored
+    out.stored = stored
+    return out
+
+
 def store_media(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Write each text as a telephony WAV file; the staged table with its ``media`` column."""
     ship_package(df.sparkSession)
@@ -181,30 +236,40 @@ def store_media(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
                 media.append(write_wav(payload))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=STORED.fieldNames())
 
-    return stage(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, STORED), "telephony")
+    return stage(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, STORED), "telephony", level=12, page=PAGE)
 
 
 def decode_media(media: DataFrame, target_rate: int = TARGET_RATE) -> DataFrame:
     """Add hashes of what was read back, the codec's name and ``pcm``: the expanded, resampled samples, 16 bits, little-endian."""
+    return _decode(media, target_rate, ("pcm",), lambda tag, pcm: (pcm.tobytes(),))
+
+
+def _decode(media: DataFrame, target_rate: int, names: tuple[str, ...], form: Callable[[int, np.ndarray], tuple[bytes | None, ...]]) -> DataFrame:
     ship_package(media.sparkSession)
+    schema = T.StructType([*PCM.fields[:-1], *(T.StructField(n, T.BinaryType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * len(names))
         for batch in batches:
             for first, files in _groups(batch.column(2)):
                 rows = []
                 for (tag, data, coded), wav in zip(expand(files), files, strict=True):
-                    pcm = resample(coded, RATE, target_rate).astype("<i2").tobytes()
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), NAMES[tag], pcm))
+                    sound = form(tag, resample(coded, RATE, target_rate).astype("<i2"))
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), NAMES[tag], *sound))
                 own = batch.slice(first, len(files))
-                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=PCM.fieldNames())
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=schema.fieldNames())
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, PCM)
+def _planes(tag: int, pcm: np.ndarray) -> tuple[bytes | None, ...]:
+    even, rest = pack_pcm(pcm)
+    return (*(even if t == tag else None for t in EVEN), rest)
 
 
 def store_pcm(media: DataFrame) -> DataFrame:
-    """Decode the files and write their resampled PCM; the staged table, without the files."""
-    return stage(decode_media(media).drop("media"), "telephony-pcm", level=12)
+    """Decode the files and write their resampled PCM in planes; the staged table, without the files, with ``pcm``."""
+    return stage(_decode(media, TARGET_RATE, (*EVEN.values(), "rest"), _planes).drop("media"), "telephony-pcm", level=12, page=PAGE)
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -217,14 +282,13 @@ def media_features(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             features = []
-            for codec, sound in zip(batch.column("codec"), batch.column("pcm"), strict=True):
-                pcm = np.frombuffer(sound.as_buffer(), "<i2")
+            for codec, pcm in zip(batch.column("codec"), _sounds(batch), strict=True):
                 wide = pcm.astype(np.float64)
                 energy = int(wide @ wide) // len(pcm)
                 below = pcm < 0
                 crossings = int(np.count_nonzero(below[1:] != below[:-1]))
                 peak = max(int(pcm.max()), -int(pcm.min()))
                 features.append(f"{codec.as_py()}:{len(pcm)}:{peak}:{energy}:{crossings}:{zlib.crc32(pcm):08x}")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(features, pa.string())], names=FEATURES.fieldNames())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in FEATURES.fieldNames()[:-1]), pa.array(features, pa.string())], names=FEATURES.fieldNames())
 
-    return store_pcm(media).mapInArrow(run, FEATURES)
+    return stage(store_pcm(media).stored.mapInArrow(run, FEATURES), "telephony-features")
