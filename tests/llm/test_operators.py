@@ -53,6 +53,13 @@ def test_urls(spark, most):
     assert url_filter.filter_urls(df.where("false"), queries.URL_RULES, max_trie_mb=most).count() == 0
 
 
+@pytest.mark.parametrize("most", [64, 0])
+def test_columns_that_differ_from_ours_by_case(spark, most):
+    df = spark.createDataFrame([("https://x.com/en/", "old", 1), (None, None, 2)], "url string, HOST string, page_id int")
+    got = url_filter.filter_urls(df, [("block", "com", "/en/")], max_trie_mb=most).orderBy("page_id").collect()
+    assert [(r["host"], r["verdict"]) for r in got] == [("x.com", "block"), ("", "allow")] and "HOST" not in got[0].asDict()
+
+
 def test_equal_allow_and_block_rules_block():
     trie = url_filter.HostPathTrie([("block", "a.com", "/x"), ("allow", "a.com", "/x"), ("allow", "a.com", "/x/y/")])
     assert trie.match("a.com", "/xyz") == ("a.com/x", "block")
@@ -109,6 +116,30 @@ def test_embeddings_against_brute_force(spark, chunk):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_recall_with_several_projections(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((20_000, 32))
+    v[10_000:] = v[:10_000] / np.linalg.norm(v[:10_000], axis=1, keepdims=True) + rng.standard_normal((10_000, 32)) * rng.uniform(0.02, 0.085, (10_000, 1))
+    assert embedding_dedup.plan_for(len(v), 0.9).projections > 1
+    v = v.astype(np.float32).astype(np.float64)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    degree = np.concatenate([(unit[a : a + 2000] @ unit.T >= 0.9).sum(1) - 1 for a in range(0, len(v), 2000)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
+    assert degree.sum() > 5000 and all(got[i] <= d for i, d in enumerate(degree))
+    assert sum(got.values()) >= 0.95 * degree.sum()
+
+
+def test_tables_follow_the_number_of_vectors():
+    small, large = embedding_dedup.plan_for(50_000, 0.9), embedding_dedup.plan_for(100_000_000, 0.9)
+    assert (small.projections, large.projections) == (6, 14) and large.tables > 100
+
+
+def test_rows_that_repeat_an_id_count_for_themselves(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
 def test_null_component_of_a_vector_links_with_nothing(spark):
     df = spark.createDataFrame([(1, [1.0, None]), (2, [1.0, 1.0]), (3, [2.0, 2.0])], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == [(1, 0, 1, True), (2, 1, 2, True), (3, 1, 2, False)]
@@ -569,6 +600,15 @@ def test_record_ids_carry_pages(page):
     assert warc.page_of(warc.record_id(None, hashlib.sha1(b"x").digest())) is None
 
 
+def test_record_ids_are_of_page_and_payload(spark):
+    df = spark.createDataFrame([(5, "u", "a"), (5, "u", "b"), (None, "u", "c"), (None, "u", "c"), (6, "u", "x" * 1000), (7, "v", "x" * 1000)], "page_id long, url string, html string")
+    fields = [f for r in warc.write_archives(df).collect() for f, _ in warc.read_warc(r["warc"])]
+    ids = [f["warc-record-id"] for f in fields]
+    assert len(set(ids)) == len(ids) == 6
+    (refers,) = [f["warc-refers-to"] for f in fields if "warc-refers-to" in f]
+    assert refers in ids and warc.page_of(refers) == 7
+
+
 def test_warc_pages(spark):
     big, edge = "ü" * 600, "a" * 999
     rows = [(1, "http://a b/\n", big), (2, None, big), (5, "u", big), (3, "u", edge), (4, "u", edge), (6, "u", None), (7, "u", ""), (None, "u", big), (5, "u", big), (8, "u", "a" * 1000)]
