@@ -59,7 +59,24 @@ def test_edit_first(spark):
 
 def test_markdown_to_html(spark):
     text = "# T `c`\n\n- **a**\n- *b*\n1. n\n```py\n<x>\n```\n[l](u) & p"
-    want = '<h1>T <code>c</code></h1><ul><li><strong>a</strong></li><li><em>b</em></li><ol><li>n</li></ol><pre><code class="lang-py">&lt;x&gt;</code></pre><p><a href="u" target="_blank" rel="noopener">l</a> &amp; p</p>'
+    want = '<h1>T <code>c</code></h1><ul><li><strong>a</strong></li><li><em>b</em></li><ol><li>n</li></ul></ol><pre><code class="lang-py">&lt;x&gt;</code></pre><p><a href="u" target="_blank" rel="noopener">l</a> &amp; p</p>'
+    assert one(spark, tx.render_markdown(F.col("t")), t=text) == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("", ""),
+        (" \u3000\t", ""),
+        ("1. a\n- b\n2. c\n\n- d", "<ol><li>a</li><ul><li>b</li><li>c</li></ul></ol><ul><li>d</li></ul>"),
+        ("- a\n- b", "<ul><li>a</li><li>b</li></ul>"),
+        ("```\n- a", '<pre><code class="lang-">- a</code></pre>'),
+        ("```x\n```", '<pre><code class="lang-x"></code></pre>'),
+        ("# a\r\n#b", "<p># a\r</p><p>#b</p>"),
+        ("#\u00a0a", "<h1>a</h1>"),
+    ],
+)
+def test_markdown_lists_fences_and_line_ends(spark, text, want):
     assert one(spark, tx.render_markdown(F.col("t")), t=text) == want
 
 

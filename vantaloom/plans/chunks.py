@@ -155,11 +155,45 @@ def build_prompt(spark: S, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", _sha(prompt))
 
 
-@query("select doc_id, sha1('<p>' || array_to_string(list_transform(list_filter(string_split(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10)), lambda x: trim(x) <> ''), lambda x: x), '</p><p>') || '</p>') digest from documents where regexp_full_match(coalesce(text, ''), '[A-Za-zÀ-ÿ., \\n]+') and regexp_matches(coalesce(text, ''), '[A-Za-z]')")
+_INLINE = [(" in ", "\n- in **it** "), (" to ", "\n* *to* "), (" and ", "\n12. `and` & "), (" is ", " [is](u?a=1&b=2) "), (" de ", "\n+ <de> ")]
+
+
+def _escape_sql(text: str) -> str:
+    return f"replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _inline_sql(text: str) -> str:
+    out = _escape_sql(text)
+    for pattern, into in (("`([^`]+)`", r"<code>\1</code>"), (r"\*\*([^*]+)\*\*", r"<strong>\1</strong>"), (r"\*([^*]+)\*", r"<em>\1</em>"), (r"\[([^\]]+)\]\(([^)]+)\)", r'<a href="\2" target="_blank" rel="noopener">\1</a>')):
+        out = f"regexp_replace({out}, '{pattern}', '{into}', 'g')"
+    return out
+
+
+def _marked_sql() -> str:
+    out = "text"
+    for a, b in _INLINE:
+        out = f"replace({out}, '{a}', '" + b.replace("\n", f"' || {_LF} || '") + "')"
+    return out
+
+
+@query(f"""with {_MD}, hl as (select doc_id, string_split({_marked_sql()}, {_LF}) ls from md), hlines as (select doc_id, i, ls[i] line, regexp_matches(ls[i], '{tx.MD_FENCE}') fence from hl, unnest(range(1, len(ls) + 1)) t(i)),
+    hcount as (select *, coalesce(sum(fence::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) n from hlines),
+    hkind as (select *, case when fence and n % 2 = 1 then 'close' when fence then 'open' when n % 2 = 1 then 'code' when regexp_matches(line, '{tx.MD_BLANK}') then 'blank' when regexp_matches(line, '{tx.MD_HEADING}') then 'h'
+        when regexp_matches(line, '{tx.MD_BULLET}') then 'ul' when regexp_matches(line, '{tx.MD_NUMBER}') then 'ol' else 'p' end kind from hcount),
+    hblock as (select *, sum((kind not in ('ul', 'ol'))::int) over (partition by doc_id order by i) block from hkind),
+    hcode as (select doc_id, n, string_agg(line, {_LF} order by i) code from hkind where kind = 'code' group by doc_id, n),
+    hseen as (select *, row_number() over (partition by doc_id, block, kind order by i) nth, lead(block) over (partition by doc_id order by i) is distinct from block ends, bool_or(kind = 'ul') over (partition by doc_id, block) uls, bool_or(kind = 'ol') over (partition by doc_id, block) ols from hblock),
+    hrows as (select s.doc_id, i, case kind when 'open' then '<pre><code class="lang-' || regexp_extract(line, '{tx.MD_FENCE}', 1) || '">' || coalesce({_escape_sql('code')}, '') || '</code></pre>'
+        when 'h' then '<h' || length(regexp_extract(line, '{tx.MD_HEADING}', 1)) || '>' || {_inline_sql(f"regexp_extract(line, '{tx.MD_HEADING}', 2)")} || '</h' || length(regexp_extract(line, '{tx.MD_HEADING}', 1)) || '>'
+        when 'ul' then case when nth = 1 then '<ul>' else '' end || '<li>' || {_inline_sql(f"regexp_extract(line, '{tx.MD_BULLET}', 1)")} || '</li>' when 'ol' then case when nth = 1 then '<ol>' else '' end || '<li>' || {_inline_sql(f"regexp_extract(line, '{tx.MD_NUMBER}', 1)")} || '</li>'
+        when 'p' then '<p>' || {_inline_sql('line')} || '</p>' else '' end || case when ends and uls then '</ul>' else '' end || case when ends and ols then '</ol>' else '' end html from hseen s left join hcode c on c.doc_id = s.doc_id and c.n = s.n + 1)
+    select doc_id, sha1(string_agg(html, '' order by i)) digest from hrows group by doc_id""")
 def render_markdown(spark: S, d: str) -> DataFrame:
-    """Plain prose becomes paragraphs; other markup is covered by unit tests."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.regexp_like("text", F.lit("^[A-Za-zÀ-ÿ., \n]+$")) & F.regexp_like("text", F.lit("[A-Za-z]")))
-    return docs.select("doc_id", _sha(tx.render_markdown(F.col("text"))))
+    """Documents as Markdown with headings, fences, lists of three marks, and inline code, bold, italic and links."""
+    text = F.col("text")
+    for a, b in _INLINE:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return _markdown(spark, d).select("doc_id", _sha(tx.render_markdown(text)))
 
 
 def python_sources(spark: S, d: str) -> DataFrame:
@@ -171,11 +205,24 @@ def python_sources(spark: S, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.concat(F.lit("src/"), "source", F.lit("/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), broken.alias("text"))
 
 
-@query("""select 'src/' || source || '/m' || doc_id || '.py' as path, k.ord::int ord, k.kind, replace(k.qualname, 'Box', 'Box' || doc_id) qualname, k.a::int start_line, k.b::int end_line, k.ord = 0 is_overview from documents,
+_PATH = "'src/' || source || '/m' || doc_id || '.py'"
+_SYMBOLS = {
+    "module": "':1 | module overview]' || LF || 'Module of ' || source || '.'",
+    "constant": "':5-5 | constant LIMIT]' || LF || 'LIMIT = ' || n_chars",
+    "class": f"':8-16 | class Box' || doc_id || ']' || LF || '@register' || LF || 'A box.' || LF || '{code.FIELDS_MARK}' || LF || '    size: int = ' || n_chars || LF || '{code.METHODS_MARK}' || LF || '    def area(self):'",
+    "method": "':14-16 | method Box' || doc_id || '.area]' || LF || '@property' || LF || 'def area(self):' || LF || '        return sqrt(self.size) + LIMIT'",
+    "function": "':19-22 | function make]' || LF || 'def make(value, *, limit=LIMIT):' || LF || '    if value < limit:' || LF || '        return dict(value=value, limit=' || n_chars || ')' || LF || '    return {''value'': ceil(value)}'",
+}
+_SOURCE = '''\'"""Module of ' || source || '."""' || LF || 'import os' || LF || 'from math import sqrt, ceil' || LF || LF || 'LIMIT = ' || n_chars || LF || LF || LF || '@register' || LF || 'class Box' || doc_id || ':' || LF || '    """A box."""' || LF || LF || '    size: int = ' || n_chars || LF || LF || '    @property' || LF || '    def area(self):' || LF || '        return sqrt(self.size) + LIMIT' || LF || LF || LF ||
+    'def make(value, *, limit=LIMIT):' || LF || '    if value < limit:' || LF || '        return dict(value=value, limit=' || n_chars || ')' || LF || '    return {''value'': ceil(value)}' || LF || 'def broken(:' || LF'''
+_TEXTS = "case k.kind " + " ".join(f"when '{k}' then {t}" for k, t in _SYMBOLS.items()) + " end"
+
+
+@query(f"""select {_PATH} as path, k.ord::int ord, k.kind, replace(k.qualname, 'Box', 'Box' || doc_id) qualname, k.a::int start_line, k.b::int end_line, k.ord = 0 is_overview, sha1('[source ' || {_PATH} || {_TEXTS}) digest from documents,
     (values (0, 'module', '', 1, 1), (1, 'constant', 'LIMIT', 5, 5), (2, 'class', 'Box', 8, 16), (3, 'method', 'Box.area', 14, 16), (4, 'function', 'make', 19, 22)) k(ord, kind, qualname, a, b) where doc_id % 11 <> 0
-    union all select 'src/' || source || '/m' || doc_id || '.py', 0, 'whole-file', '', 1, 23, false from documents where doc_id % 11 = 0""")
+    union all select {_PATH}, 0, 'whole-file', '', 1, 23, false, sha1('[source ' || {_PATH} || ':1 | whole-file (parse failed)]' || LF || {_SOURCE}) from documents where doc_id % 11 = 0""".replace("LF ", f"{_LF} ").replace("LF)", f"{_LF})"))
 def chunk_python(spark: S, d: str) -> DataFrame:
-    return code.python_chunks(python_sources(spark, d)).drop("text")
+    return code.python_chunks(python_sources(spark, d)).withColumn("digest", _sha(F.col("text"))).drop("text")
 
 
 @query("select 'src/' || source || '/m' || doc_id || '.py' as path, 'method' kind, 'Box' || doc_id || '.area' qualname, 14 start_line from documents where doc_id % 11 <> 0")

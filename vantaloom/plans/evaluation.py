@@ -266,11 +266,15 @@ def correctness(spark: S, d: str) -> DataFrame:
     return judging.correctness_summary(judging.correctness(rows.withColumn("stated", F.transform("facts", lambda x: F.length(x) > 80))), "source")
 
 
-@query("""with v as (select doc_id, case when doc_id % 4 = 0 then 'no json' else '{"verdicts": [{"claim": "a", "supported": true}, {"claim": "b", "supported": false}]}' end raw from documents) select doc_id, case when doc_id % 4 = 0 then 0 else 2 end n_verdicts from v""")
+@query("""with v as (select doc_id, case when doc_id % 4 = 0 then [] else string_split(coalesce(text, ''), chr(10)) end claims from documents)
+    select doc_id, len(claims)::int n_verdicts, len(list_filter(claims, lambda x: length(x) % 2 = 0))::int n_supported, sha1(array_to_string(claims, chr(10))) digest from v""")
 def judge_json(spark: S, d: str) -> DataFrame:
-    good = '{"verdicts": [{"claim": "a", "supported": true}, {"claim": "b", "supported": false}]}'
-    raw = F.when(F.col("doc_id") % 4 == 0, F.lit("no json")).otherwise(F.lit(good))
-    return table(spark, d, "documents").select("doc_id", F.size(judging.parse_verdicts(raw)).alias("n_verdicts"))
+    """A judge that answers in JSON with a verdict a line, and for every fourth document with the bare text."""
+    text = F.coalesce("text", F.lit(""))
+    verdicts = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("claim"), (F.length(x) % 2 == 0).alias("supported")))
+    raw = F.when(F.col("doc_id") % 4 == 0, text).otherwise(F.to_json(F.struct(verdicts.alias("verdicts"))))
+    parsed = table(spark, d, "documents").select("doc_id", judging.parse_verdicts(raw).alias("v"))
+    return parsed.select("doc_id", F.size("v").alias("n_verdicts"), F.size(F.filter("v", lambda x: x["supported"])).alias("n_supported"), F.sha1(F.array_join("v.claim", "\n").cast("binary")).alias("digest"))
 
 
 @query("""select count(*) n_tasks, count(*) filter (quality = 1) parsed, sum(doc_id % 4)::bigint facts_hit, sum(doc_id % 4 + 1)::bigint facts_all, round(sum(doc_id % 4) / sum(doc_id % 4 + 1), 6) fact_ratio, count(*) filter (doc_id % 2 = 0) n_runnable,

@@ -159,13 +159,12 @@ def rrf_k_sweep(spark: S, d: str) -> DataFrame:
     return fusion.k_sweep(data.ranked(spark, d)).select("k", "query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "fused")
 
 
-@query("""with l as (select doc_id group_id, string_split(coalesce(text, ''), ' ')[1:12] items from documents union all select doc_id, list_reverse(string_split(coalesce(text, ''), ' ')[1:8]) from documents),
-    p as (select group_id, items[i] item, i from l, unnest(range(1, len(items) + 1)) t(i)) select group_id, item, round(sum(1.0::double / (60 + i)), 10) score from p group by all""")
+@query("""with l as (select doc_id group_id, string_split(coalesce(text, ''), ' ') items from documents union all select doc_id, list_reverse(string_split(coalesce(text, ''), ' ')) from documents),
+    p as (select group_id, unnest(items) item, unnest(range(1, len(items) + 1)) i from l) select group_id, item, round(sum(1.0::double / (60 + i)), 10) score from p group by all""")
 def rrf_lists(spark: S, d: str) -> DataFrame:
-    """Two rankings of each document's first words, fused."""
+    """Two rankings of each document's words, as they stand and backwards, fused."""
     words = F.split(F.coalesce("text", F.lit("")), " ", -1)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("group_id"), words.alias("w"))
-    lists = docs.select("group_id", F.slice("w", 1, 12).alias("items")).unionByName(docs.select("group_id", F.reverse(F.slice("w", 1, 8)).alias("items")))
+    lists = table(spark, d, "documents").select(F.col("doc_id").alias("group_id"), F.explode(F.array(words, F.reverse(words))).alias("items"))
     return fusion.rrf_lists(lists)
 
 
