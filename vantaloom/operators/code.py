@@ -7,7 +7,6 @@ shuffled, and a source never meets another one.
 from __future__ import annotations
 
 import ast
-import json
 import os
 import subprocess
 import sys
@@ -236,14 +235,15 @@ def check_facts(code: str | None, facts: list[dict]) -> list[tuple[str, bool]]:
     return [(f["desc"], asked is not None and all(asked.ask(c) for c in f["checks"])) for f in facts]
 
 
-def fact_table(answers: DataFrame, facts: dict[str, list[dict]], key: str = "task_id", code: str = "code") -> DataFrame:
-    """(key, parses, desc, ok) for each fact of the task of a row."""
+def fact_table(answers: DataFrame, facts: dict[str, list[dict]] | list[dict], key: str = "task_id", code: str = "code") -> DataFrame:
+    """(task_id, parses, fact, ok) for each fact of the task of a row; a list of facts is asked of every row."""
+
     def rows(name: str, text: str | None) -> Iterator[tuple]:
         try:
             parses = bool(ast.parse(text or "") is not None)
         except (SyntaxError, ValueError):
             parses = False
-        for desc, ok in check_facts(text, facts.get(name, [])):
+        for desc, ok in check_facts(text, facts if isinstance(facts, list) else facts.get(name, [])):
             yield name, parses, desc, ok
 
     return _map(answers, [key, code], "task_id string, parses boolean, fact string, ok boolean", rows)
@@ -279,8 +279,3 @@ def generation_summary(results: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.try_divide(F.count_if(F.expr("runnable and run_ok")).cast("double"), F.count_if("runnable")), F.lit(0.0)), 6).alias("pass_at_1"),
         F.count_if(F.expr("runnable and timed_out")).alias("timeouts"), F.round(F.try_divide(F.count_if(F.expr(f"{failed} and fixed")).cast("double"), F.count_if(F.expr(failed))), 6).alias("fix_rate"),
     )
-
-
-def to_json(value) -> str:
-    """A fact list as JSON, for tables."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True)

@@ -237,17 +237,12 @@ FACTS = [
     {"desc": "registered box with a size", "checks": [{"kind": "func", "name": "make", "args": ["value", "limit"]}, {"kind": "field", "class": "Box", "names": ["size"]}]},
     {"desc": "compares value with limit", "checks": [{"kind": "compare", "left": "value", "right": "limit"}, {"kind": "pow2_buggy", "not": True}]},
     {"desc": "assigns LIMIT", "checks": [{"kind": "assign", "target": "LIMIT"}]},
+    {"desc": "limit is 416", "checks": [{"kind": "kwarg", "name": "limit", "value": 416}]},
 ]
 
 
-@query("""select 'src/' || source || '/m' || doc_id || '.py' task_id, doc_id % 11 <> 0 parses, f.fact, doc_id % 11 <> 0 and f.ok as ok from documents, (values ('imports sqrt and ceil', true), ('calls ceil, not floor', true),
-    ('limit is a keyword', true), ('registered box with a size', false), ('compares value with limit', true), ('assigns LIMIT', true)) f(fact, ok)""")
+@query("""select 'src/' || source || '/m' || doc_id || '.py' task_id, doc_id % 11 <> 0 parses, f.fact, doc_id % 11 <> 0 and coalesce(f.ok, n_chars = 416) as ok from documents, (values ('imports sqrt and ceil', true), ('calls ceil, not floor', true),
+    ('limit is a keyword', true), ('registered box with a size', false), ('compares value with limit', true), ('assigns LIMIT', true), ('limit is 416', null)) f(fact, ok)""")
 def code_facts(spark: S, d: str) -> DataFrame:
     """Facts about every generated source; the classes are named Box and a number, so the fourth never holds."""
-
-    def rows(path: str, text: str):
-        parses = not text.endswith("def broken(:\n")
-        for desc, ok in code.check_facts(text, FACTS):
-            yield path, parses, desc, ok
-
-    return code._map(python_sources(spark, d), ["path", "text"], "task_id string, parses boolean, fact string, ok boolean", rows)
+    return code.fact_table(python_sources(spark, d), FACTS, "path", "text")

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from vantaloom.plans import chunks, evaluation, retrieval, serving  # noqa: F401
+    from vantaloom.plans import chunks, evaluation, files, retrieval, serving  # noqa: F401
 
 
 load()

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 QUESTIONS = "id string, q string, gold array<string>"
 ANSWERS = "q string, facts array<string>"
@@ -18,7 +17,7 @@ TASKS = f"id string, path string, task string, runnable boolean, seed map<string
 
 
 def read_set(spark: SparkSession, path: str, schema: str = QUESTIONS, prefix: str = "s") -> DataFrame:
-    """JSON lines of a schema; questions without an id get ``prefix`` and their two-digit place by text."""
+    """JSON lines of a schema; questions without an id get ``prefix`` and their place by text, of two digits at least."""
     rows = spark.read.schema(schema).json(path)
     if "id" not in rows.columns or "gold" not in rows.columns:
         return rows
@@ -26,14 +25,10 @@ def read_set(spark: SparkSession, path: str, schema: str = QUESTIONS, prefix: st
     if not nameless.take(1):
         return rows
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("q"))  # a question set has tens to thousands of rows
-    named = nameless.select(F.concat(F.lit(prefix), F.lpad(place.cast("string"), 2, "0")).alias("id"), "q", "gold")
+    named = nameless.select(F.concat(F.lit(prefix), F.format_string("%02d", place)).alias("id"), "q", "gold")
     return rows.where("id is not null").unionByName(named)
 
 
 def gold_rows(questions: DataFrame) -> DataFrame:
     """(query_id, gold): one row for each gold string."""
     return questions.select(F.col("id").alias("query_id"), F.explode("gold").alias("gold"))
-
-
-def schema_of(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)

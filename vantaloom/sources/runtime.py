@@ -44,7 +44,8 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _local_root[app]
 
 
-def _clear() -> None:
+def release() -> None:
+    """Delete what ``stage`` and ``scratch`` have written so far; for a driver that lives on after the results that need it are written."""
     for spark, path in _staged:
         try:
             jvm = spark.sparkContext._jvm
@@ -55,15 +56,21 @@ def _clear() -> None:
     _staged.clear()
 
 
-atexit.register(_clear)
+atexit.register(release)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that is deleted like a staged table."""
+    path = f"{shared_root(spark)}/vantaloom-{label}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
 
 
 def stage(df: DataFrame, label: str, compression: str = "zstd", level: int = 3, page: int = 1 << 20) -> DataFrame:
     """Write ``df`` to the shared folder once and return the table read back; ``level`` is zstd's, ``page`` the bytes that it compresses together."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/vantaloom-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", page).parquet(path)
-    _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
