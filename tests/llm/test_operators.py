@@ -509,6 +509,14 @@ def test_ledger_of_a_first_scan_has_the_clean_blobs(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
 
 
+def test_ledger_of_rules_in_another_order(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id long, text string")
+    _, ledger = secrets.scan_documents(df, rules=(secrets.RULES[3], secrets.RULES[0], secrets.RULES[2]))
+    later, fresh = secrets.scan_documents(df, ledger=ledger)
+    assert {r["rule_version"] for r in fresh.select("rule_version").distinct().collect()} == {secrets.RULES[n].key for n in (1, 4, 5, 6)}
+    assert sorted(map(tuple, later.collect())) == sorted(map(tuple, secrets.scan_documents(df)[0].collect()))
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, f"🎉 keep {SECRETS[0]} keep", 5), (2, "clean", 5), (3, None, 5)], "doc_id long, text string, blob int")
     got = {r["doc_id"]: r["text"] for r in secrets.redact(df, secrets.findings(secrets.scan(df))).collect()}

@@ -109,9 +109,12 @@ def scan(versions: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Blobs with at least one span: all spans of the rules' present versions, by start, then rule."""
-    own = F.lit(",".join(r.key for r in rules))
+    places = F.array(*[F.lit(r.key) for r in rules])
+    # A ledger may come from a scan with other rules or another order of them: a rule's number is its place now.
+    own = ledger.withColumn("__rule", (F.array_position(places, F.col("rule_version")) - 1).cast("int")).where((F.size("spans") > 0) & (F.col("__rule") >= 0))
+    own = own.withColumn("spans", F.transform("spans", lambda s: F.struct(s["start"], s["end"], F.col("__rule").alias("rule"))))
     spans = F.array_sort(F.flatten(F.collect_list("spans")), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rule"] - b["rule"]))
-    return ledger.where((F.size("spans") > 0) & F.array_contains(F.split(own, ","), F.col("rule_version"))).groupBy("blob").agg(spans.alias("spans"))
+    return own.groupBy("blob").agg(spans.alias("spans"))
 
 
 def with_findings(versions: DataFrame, found: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
