@@ -31,23 +31,24 @@ def faithfulness(rows: DataFrame, claims: str = "claims", supported: str = "supp
     yes = F.size(F.filter(supported, lambda v: F.coalesce(v, F.lit(False))))
     ratio = F.when(F.size(claims) == 0, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(yes.cast("double"), verdicts), F.lit(0.0)))
     none = F.size(claims) == 0
-    return rows.select("*", n.cast("long").alias("n_claims"), F.when(none, 0).otherwise(verdicts).cast("long").alias("n_verdicts"), F.when(none, 0).otherwise(verdicts - yes).cast("long").alias("n_unsupported"), F.round(ratio, 6).alias("faithfulness"), (~none & (n != verdicts)).alias("mismatch"))
+    return rows.select("*", n.cast("long").alias("n_claims"), F.when(none, 0).otherwise(verdicts).cast("long").alias("n_verdicts"), F.when(none, 0).otherwise(verdicts - yes).cast("long").alias("n_unsupported"), F.round(ratio, 6).alias("faithfulness"), ratio.alias("ratio"), (~none & (n != verdicts)).alias("mismatch"))
 
 
 def faithfulness_summary(scored: DataFrame, *keys: str) -> DataFrame:
-    """The headline is the number of unsupported claims; the mean ratio comes with it."""
-    return scored.groupBy(*keys).agg(F.count("*").alias("n_answers"), F.sum("n_unsupported").alias("n_unsupported"), F.round(F.avg("faithfulness"), 6).alias("mean_faithfulness"), F.count_if("mismatch").alias("n_mismatch"))
+    """The headline is the number of unsupported claims; the mean ratio comes with it. Means are of ratios before rounding, so the order of rows can't tip them."""
+    return scored.groupBy(*keys).agg(F.count("*").alias("n_answers"), F.sum("n_unsupported").alias("n_unsupported"), F.round(F.avg("ratio"), 6).alias("mean_faithfulness"), F.count_if("mismatch").alias("n_mismatch"))
 
 
 def correctness(rows: DataFrame, facts: str = "facts", stated: str = "stated") -> DataFrame:
     """Per answer: stated facts over the number of facts, not of verdicts."""
     n, hit = F.size(facts), F.size(F.filter(stated, lambda v: F.coalesce(v, F.lit(False))))
-    return rows.select("*", n.cast("long").alias("n_facts"), hit.cast("long").alias("n_stated"), F.round(F.coalesce(F.try_divide(hit.cast("double"), n), F.lit(0.0)), 6).alias("accuracy"), (n != F.size(stated)).alias("mismatch"))
+    share = F.coalesce(F.try_divide(hit.cast("double"), n), F.lit(0.0))
+    return rows.select("*", n.cast("long").alias("n_facts"), hit.cast("long").alias("n_stated"), F.round(share, 6).alias("accuracy"), share.alias("ratio"), (n != F.size(stated)).alias("mismatch"))
 
 
 def correctness_summary(scored: DataFrame, *keys: str) -> DataFrame:
     """Macro mean over answers, and micro counts of facts."""
-    return scored.groupBy(*keys).agg(F.count("*").alias("n_answers"), F.round(F.avg("accuracy"), 6).alias("mean_accuracy"), F.sum("n_stated").alias("n_stated"), F.sum("n_facts").alias("n_facts"), F.count_if("mismatch").alias("n_mismatch"))
+    return scored.groupBy(*keys).agg(F.count("*").alias("n_answers"), F.round(F.avg("ratio"), 6).alias("mean_accuracy"), F.sum("n_stated").alias("n_stated"), F.sum("n_facts").alias("n_facts"), F.count_if("mismatch").alias("n_mismatch"))
 
 
 def parse_verdicts(raw: Column) -> Column:

@@ -248,22 +248,30 @@ def strategy_pairing(spark: S, d: str) -> DataFrame:
     return paired.strategy_pairing(first_ranks(spark, d).select("strategy", "query_id", "rank"), "s1_rrf_20")
 
 
-@query("""select conv_id, count(*) n_answers, sum(case when n = 0 then 0 else v - yes end)::bigint n_unsupported, round(avg(round(case when n = 0 then 1.0 else yes / v end, 6)), 6) mean_faithfulness, 0::bigint n_mismatch
-    from (select conv_id, turn, len(cs) n, len(cs) v, len(list_filter(cs, lambda x: length(x) % 2 = 0)) yes from (select conv_id, turn, list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')) cs from conversations)) group by conv_id""")
+@query("""with c as (select conv_id, turn, list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')) u,
+        list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') l from conversations),
+    o as (select conv_id, turn, len(u) n, greatest(len(u) - (turn % 3 = 2)::int, 0) v, list_filter(list_transform(l, lambda x, i: case when list_position(l, x) = i then x end), lambda x: x is not null) cs from c),
+    a as (select conv_id, n, v, len(list_filter(cs[1:v], lambda x: length(x) % 2 = 0)) yes from o)
+    select conv_id, count(*) n_answers, sum(case when n = 0 then 0 else v - yes end)::bigint n_unsupported, round(avg(case when n = 0 then 1.0::double when v = 0 then 0.0::double else yes / v end), 6) mean_faithfulness, sum((n <> v)::int)::bigint n_mismatch
+    from a group by conv_id""")
 def faithfulness(spark: S, d: str) -> DataFrame:
-    """Sentences of a conversation's turns as claims; those of even length count as supported."""
+    """Sentences of a conversation's turns as claims; those of even length count as supported; the verdict of some turns' last claim is missing."""
     claims = F.split(F.coalesce("text", F.lit("")), r"\.", -1)
     rows = table(spark, d, "conversations").select("conv_id", "turn", judging.clean_claims(claims).alias("claims"))
-    scored = judging.faithfulness(rows.withColumn("supported", F.transform("claims", lambda c: F.length(c) % 2 == 0)))
+    judged = F.greatest(F.size("claims") - (F.col("turn") % 3 == 2).cast("int"), F.lit(0))
+    scored = judging.faithfulness(rows.withColumn("supported", F.transform(F.slice("claims", F.lit(1), judged), lambda c: F.length(c) % 2 == 0)))
     return judging.faithfulness_summary(scored, "conv_id")
 
 
-@query("""with r as (select source, len(string_split(coalesce(text, ''), chr(10))) n, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(x) > 80)) hit from documents)
-    select source, count(*) n_answers, round(avg(round(hit / n, 6)), 6) mean_accuracy, sum(hit)::bigint n_stated, sum(n)::bigint n_facts, 0::bigint n_mismatch from r group by source""")
+@query("""with l as (select doc_id, source, string_split(coalesce(text, ''), chr(10)) ls from documents),
+    r as (select doc_id, source, len(ls) n, len(list_filter(ls[1:len(ls) - (doc_id % 3 = 2)::int], lambda x: length(x) > 80)) hit from l)
+    select source, count(*) n_answers, round(avg(hit / n), 6) mean_accuracy, sum(hit)::bigint n_stated, sum(n)::bigint n_facts, sum((doc_id % 3 = 2)::int)::bigint n_mismatch from r group by source""")
 def correctness(spark: S, d: str) -> DataFrame:
-    """Lines of a document as facts; long ones count as stated."""
-    rows = table(spark, d, "documents").select("source", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("facts"))
-    return judging.correctness_summary(judging.correctness(rows.withColumn("stated", F.transform("facts", lambda x: F.length(x) > 80))), "source")
+    """Lines of a document as facts; long ones count as stated; some documents' last fact has no verdict."""
+    rows = table(spark, d, "documents").select("doc_id", "source", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("facts"))
+    judged = F.size("facts") - (F.col("doc_id") % 3 == 2).cast("int")
+    scored = judging.correctness(rows.withColumn("stated", F.transform(F.slice("facts", F.lit(1), judged), lambda x: F.length(x) > 80)))
+    return judging.correctness_summary(scored, "source")
 
 
 @query("""with v as (select doc_id, case when doc_id % 4 = 0 then [] else string_split(coalesce(text, ''), chr(10)) end claims from documents)
