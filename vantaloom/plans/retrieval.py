@@ -9,7 +9,7 @@ from vantaloom.functions import text as tx
 from vantaloom.operators import context, dense, fusion, lexical, metrics, ranking
 from vantaloom.plans import data
 from vantaloom.plans.registry import query
-from vantaloom.sources.runtime import table
+from vantaloom.sources.runtime import small_side, table
 
 S = SparkSession
 
@@ -252,7 +252,7 @@ def rerank_bm25_recall(spark: S, d: str) -> DataFrame:
 
 @query(f"with {_CANDIDATES} select g.query_id, g.chunk_id, coalesce((20 - r.rank + 1)::double, '-infinity'::double) row_score from grid g left join reranked r on r.query_id = g.query_id and r.chunk_id = g.chunk_id")
 def rerank_row(spark: S, d: str) -> DataFrame:
-    grid = data.chunks(spark, d).select("chunk_id").crossJoin(F.broadcast(data.questions(spark, d).select("query_id")))
+    grid = data.chunks(spark, d).select("chunk_id").crossJoin(small_side(data.questions(spark, d).select("query_id")))
     return fusion.rerank_row(grid, fusion.rerank(recalled(spark, d), top=20)).select("query_id", "chunk_id", "row_score")
 
 
