@@ -52,11 +52,24 @@ def test_stage_keeps_schema_and_small_side_falls_back(spark):
     assert "broadcast" not in runtime.small_side(df, 1)._jdf.queryExecution().logical().toString().lower()
 
 
+def test_release_deletes_what_was_staged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "shared_root", lambda s: f"file://{tmp_path}")
+    monkeypatch.setattr(runtime, "_staged", [])
+    runtime.stage(spark.range(3), "t")
+    spark.range(3).write.parquet(runtime.scratch(spark, "u"))
+    assert len(list(tmp_path.glob("vantaloom-*"))) == 2
+    runtime.release()
+    assert not list(tmp_path.glob("vantaloom-*"))
+
+
 def test_evaluation_sets(spark, tmp_path):
     (tmp_path / "q.json").write_text('{"id": "a", "q": "x?", "gold": ["g", "h"]}\n{"q": "z?", "gold": []}\n{"q": "y?", "gold": ["k"]}\n')
     got = evalsets.read_set(spark, str(tmp_path / "q.json"))
     assert {r["id"]: r["q"] for r in got.collect()} == {"a": "x?", "s01": "y?", "s02": "z?"}
     assert sorted(map(tuple, evalsets.gold_rows(got).collect())) == [("a", "g"), ("a", "h"), ("s01", "k")]
+    many = "".join(f'{{"q": "{i:03d}", "gold": ["g"]}}\n' for i in range(120))
+    (tmp_path / "m.json").write_text(many)
+    assert len({r["id"] for r in evalsets.read_set(spark, str(tmp_path / "m.json")).collect()}) == 120
     (tmp_path / "t.json").write_text('{"id": "t", "facts": [{"desc": "d", "checks": [{"kind": "kwarg", "name": "n", "value": 16, "not": true}]}], "seed": {"a.py": "x"}}\n')
     task = evalsets.read_set(spark, str(tmp_path / "t.json"), evalsets.TASKS).first()
     assert task["facts"][0]["checks"][0]["value"] == "16" and task["facts"][0]["checks"][0]["not"] and task["seed"] == {"a.py": "x"}
