@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vantaloom.llm import bpe, embedding_dedup, ngram_join, packing, secrets, telephony, token_archive, toxicity, url_filter, warc
-from vantaloom.sources.runtime import table
+from vantaloom.llm import alignment, bpe, embedding_dedup, hard_negatives, ngram_join, packing, quality, secrets, telephony, token_archive, toxicity, url_filter, warc
+from vantaloom.sources.runtime import stage, table
 
 # The rules of the url query.
 URL_RULES = [
@@ -70,9 +70,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = stage(quality.measure(table(spark, sf_dir, "documents"), "text", ["doc_id", "lang"]), "measures")
+    certified = stage(quality.certify(measured, table(spark, sf_dir, "labels")), "cutoffs")
+    return quality.judge(measured, certified).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.of_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_embedding_dedup, op3_ngram_jaccard, op4_packing, op5_token_archive, op6_bpe, op7_telephony, op8_secrets, op9_toxicity, op10_warc)
+    for f in (op1_url_filter, op2_embedding_dedup, op3_ngram_jaccard, op4_packing, op5_token_archive, op6_bpe, op7_telephony, op8_secrets, op9_toxicity, op10_warc, op11_quality_rules, op12_token_alignment, op13_hard_negatives)
 }
 
 
@@ -139,4 +153,4 @@ JACCARD_SQL = """
     first as (select x, min(y) m from reach group by x)
     select doc_id, len(s)::bigint n_shingles, least(doc_id, coalesce(m, doc_id)) component_id from sets left join first on x = doc_id"""
 
-SQL: dict[str, str] = {"op3_ngram_jaccard": JACCARD_SQL, "op1_url_filter": _url_sql(), "op2_embedding_dedup": COSINE_SQL, "op8_secrets": _secret_sql(), "op10_warc": WARC_SQL}
+SQL: dict[str, str] = {"op3_ngram_jaccard": JACCARD_SQL, "op1_url_filter": _url_sql(), "op2_embedding_dedup": COSINE_SQL, "op8_secrets": _secret_sql(), "op10_warc": WARC_SQL, "op11_quality_rules": quality.oracle(), "op13_hard_negatives": hard_negatives.ORACLE}
