@@ -523,6 +523,44 @@ def test_redaction(spark):
     assert got[1].startswith("🎉 keep [SECRET]") and "24be" not in got[1] and got[1].endswith(" x keep") and got[2] == "clean" and got[3] is None
 
 
+@pytest.mark.parametrize(
+    ("kind", "old", "new", "least", "text"),
+    [("access", 1, r"A[KS]IA[A-Z0-9]+", 18, "ASIAABCDEFGHIJKLMNOP"), ("hex", 2, r"[0-9A-Fa-f]+", 16, "0123456789ABCDEF0123"), ("assign", 0, r"(pwd)=([a-z]+)", 4, "pwd=abcdefg"), ("slack", 6, r"xoxz-[0-9]+", 5, "xoxz-12345678"), ("pem", 3, r"BEGIN CERT[A-Z]*", 5, "BEGIN CERTIFICATE")],
+)
+def test_new_versions_of_rules_have_their_own_hints(spark, kind, old, new, least, text):
+    df = spark.createDataFrame([(1, f"see {text} here"), (2, "nothing")], "doc_id long, text string")
+    _, ledger = secrets.scan_documents(df)
+    newer = tuple(secrets.Rule(kind, new, least, 0, 2) if n == old else r for n, r in enumerate(secrets.RULES))
+    digest, fresh = secrets.scan_documents(df, rules=newer, ledger=ledger)
+    assert {r["rule_version"] for r in fresh.select("rule_version").distinct().collect()} == {f"{kind}@2"}
+    assert dict(digest.select("doc_id", "spans").collect()) == {1: f"{kind}:4:{4 + len(text)}", 2: ""}
+
+
+def test_a_ledger_appended_twice(spark):
+    df = spark.createDataFrame([(1, "password=abcdefghijkl and 0123456789abcdef")], "doc_id long, text string")
+    want, ledger = secrets.scan_documents(df)
+    again, fresh = secrets.scan_documents(df, ledger=ledger.unionByName(ledger))
+    assert fresh.count() == 0 and again.collect() == want.collect()
+
+
+def test_redact_keeps_columns_named_as_its_own(spark):
+    df = spark.createDataFrame([("password=abcdefghijkl", 1, "b", "f", "x")], "text string, __spans int, __blob string, __found string, `a.b` string")
+    got = secrets.redact(df, secrets.findings(secrets.scan(df)))
+    assert got.columns == df.columns and tuple(got.first()) == ("[SECRET]", 1, "b", "f", "x")
+
+
+def test_very_many_matches_in_one_text(spark):
+    import time
+
+    text = "token=abcdefghijklmn " * 40_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    secrets.scan_documents(df.limit(0))[0].collect()
+    began = time.monotonic()
+    spans = secrets.findings(secrets.scan(df)).first()["spans"]
+    assert time.monotonic() - began < 30  # a fold over all matches took some 33 s; loaded machines need room
+    assert [(s["start"], s["end"]) for s in spans] == [(21 * i, 21 * i + 20) for i in range(40_000)]
+
+
 # --- 9
 
 

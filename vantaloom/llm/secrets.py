@@ -4,8 +4,8 @@ Every version of a text is addressed by its SHA-256. A ledger row says that a ru
 in one version, has scanned one blob, and holds the spans it found; a scan takes only
 the pairs of blob and rule version that the ledger lacks, each blob once however
 many paths or versions hold it, and joins findings back to all of them. A ledger row is
-kept for clean blobs as well, and seen pairs are left out by their hashes, before any text moves. The blobs'
-texts are combined before the shuffle, so a text with many copies moves once a task;
+kept for clean blobs as well, and seen pairs are left out by their hashes, before any text moves. Only texts
+with a rule's hint in them move, and are combined before the shuffle, so a text with many copies moves once a task;
 the join back is an equi-join on the blob, which Spark splits where a blob is frequent.
 
 A rule's matches are leftmost and do not overlap; spans count code points, the end
@@ -13,7 +13,7 @@ is exclusive. ``split`` by the pattern gives the gaps between the matches that
 ``regexp_extract_all`` gives, so running lengths give the places, without Python.
 
 Cases: a null text is the empty blob, without findings. Texts of any length are
-scanned whole. Rows that repeat get the same findings. Spans of different rules may
+scanned whole, in time linear in their length and their number of matches. A ledger may hold rows twice. Rows that repeat get the same findings. Spans of different rules may
 overlap and all stay. An empty table gives an empty result. Columns named ``blob`` or
 ``spans`` are never read as ours: ``with_findings`` leaves them out unless they are asked
 for, and ``redact`` keeps every column as it was.
@@ -22,6 +22,8 @@ for, and ``redact`` keeps every column as it was.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,52 +61,82 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 15),
 )
 RULES = BASE + MORE
-# What a text must contain for a rule's pattern to be tried; ``hex`` has its runs cut to those long enough, as shorter ones are dropped.
-HINT = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "hex": r"[0-9a-f]{16}", "access": r"AKIA", "pem": r"PRIVATE KEY-----", "jwt": r"eyJ", "github": r"gh[pousr]_", "slack": r"xox[abprs]-"}
+# What a text must contain for a pattern to match, by pattern: a rule whose pattern is not here, as a new version's may be, is tried as it is.
+HINTS = {
+    BASE[0].pattern: r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]",
+    BASE[1].pattern: r"AKIA",
+    MORE[0].pattern: r"PRIVATE KEY-----",
+    MORE[1].pattern: r"eyJ",
+    MORE[2].pattern: r"gh[pousr]_",
+    MORE[3].pattern: r"xox[abprs]-",
+}
+CHUNK = 32  # matches whose spans are made by one fold
+_PIECES = "array<struct<gap:int,size:int,kept:int>>"
 
 
-def _spans(text: Column, rule: Rule, number: int) -> Column:
-    """Spans of one rule, in order of their start."""
-    pattern = F.lit("[0-9a-f]{16,}" if rule.kind == "hex" and rule.least == 16 else rule.pattern)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda g: F.length(g))
-    pieces = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(matches, F.length).alias("size"), kept.alias("kept"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+def _pattern(rule: Rule) -> str:
+    """The pattern that is run: of runs of hexadecimal digits only those long enough, as shorter ones are dropped."""
+    return f"[0-9a-f]{{{rule.least},}}" if rule.pattern == BASE[2].pattern else rule.pattern
+
+
+def _hint(rule: Rule) -> str:
+    return HINTS.get(rule.pattern, _pattern(rule))
+
+
+def _pieces(text: Column, rule: Rule) -> Column:
+    """The gap before each match, its length, and that of its group; a last gap has no match."""
+    pattern = F.lit(_pattern(rule))
+    sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+    kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
+    found = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), sizes.alias("size"), kept.alias("kept"))
+    return F.when(text.rlike(_hint(rule)), found).otherwise(F.array().cast(_PIECES))
+
+
+def _spans(pieces: str, rule: Rule, number: int) -> Column:
+    """Spans of one rule, in order of their start.
+
+    A fold that appends copies what it has at every step, so pieces are folded in chunks, each from where it starts.
+    ``pieces`` is a column's name: as an expression it would be made anew for every chunk.
+    """
+    column = F.col(pieces)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(column) - 1) / CHUNK).cast("int")), lambda c: F.slice(column, c * CHUNK + 1, F.lit(CHUNK)))
+    length = lambda p: p["gap"] + F.coalesce(p["size"], F.lit(0))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, p: n + length(p)))
+    none = F.array().cast("array<int>")
+    starts = F.aggregate(totals, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, t: F.struct((acc["at"] + t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["gap"]
         span = F.struct(start.alias("start"), (start + p["size"]).alias("end"), F.lit(number).alias("rule"))
-        return F.struct((start + F.coalesce(p["size"], F.lit(0))).alias("at"), F.when(p["kept"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct((acc["at"] + length(p)).alias("at"), F.when(p["kept"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(pieces, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(HINT.get(rule.kind, rule.pattern)), found).otherwise(F.array().cast(SPANS))
+    fold = lambda c, at: F.aggregate(c, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
+    return F.when(F.size(column) > 0, F.flatten(F.zip_with(chunks, starts, fold))).otherwise(F.array().cast(SPANS))
 
 
 def scan(versions: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """Ledger rows for the pairs of blob and rule version that ``ledger`` lacks.
 
-    Columns: blob, rule_version, spans. Append them to the ledger.
+    Columns: blob, rule_version, spans. Append them to the ledger. A text that none of the rules' hints is
+    in is recorded as clean by its hash, and does not move.
     """
     text = F.coalesce(versions[text_col], F.lit(""))
-    addressed = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
+    likely = reduce(or_, [text.rlike(_hint(r)) for r in rules], F.lit(False))
+    addressed = versions.select(F.sha2(text, 256).alias("blob"), F.when(likely, text).otherwise(F.lit("")).alias("text"))
     if ledger is None:
-        blobs, unseen = addressed.dropDuplicates(["blob"]), F.lit(True)
+        blobs = addressed.dropDuplicates(["blob"]).withColumn("seen", F.array().cast("array<string>"))
     else:
         # What is left to scan is found from hashes alone; where it is little, no other text is moved.
         keys = F.array(*[F.lit(r.key) for r in rules])
         seen = ledger.groupBy("blob").agg(F.collect_set("rule_version").alias("seen"))
-        left = addressed.select("blob").distinct().join(seen, "blob", "left").where(F.size(F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))) > 0)
+        left = addressed.select("blob").distinct().join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>"))).where(F.size(F.array_except(keys, "seen")) > 0)
         left = stage(left, "secrets-left")
         few = small_side(left)
         blobs = addressed.join(few, "blob").dropDuplicates(["blob"]) if few is not left else addressed.dropDuplicates(["blob"]).join(left, "blob")
-        unseen = None
-    rows = []
-    for n, rule in enumerate(rules):
-        spans = _spans(F.col("text"), rule, n)
-        if unseen is None:
-            spans = F.when(~F.coalesce(F.array_contains("seen", rule.key), F.lit(False)), spans)
-        rows.append(F.struct(F.lit(rule.key).alias("rule_version"), spans.alias("spans")))
-    return blobs.select("blob", F.explode(F.array(*rows)).alias("row")).select("blob", "row.*").where("spans is not null")
+    unseen = [~F.array_contains("seen", r.key) for r in rules]
+    pieces = blobs.select("blob", "seen", *[F.when(new, _pieces(F.col("text"), r)).alias(f"p{n}") for n, (r, new) in enumerate(zip(rules, unseen, strict=True))])
+    rows = [F.struct(F.lit(r.key).alias("rule_version"), F.when(new, _spans(f"p{n}", r, n)).alias("spans")) for n, (r, new) in enumerate(zip(rules, unseen, strict=True))]
+    return pieces.select("blob", F.explode(F.array(*rows)).alias("row")).select("blob", "row.*").where("spans is not null")
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -112,9 +144,12 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     places = F.array(*[F.lit(r.key) for r in rules])
     # A ledger may come from a scan with other rules or another order of them: a rule's number is its place now.
     own = ledger.withColumn("__rule", (F.array_position(places, F.col("rule_version")) - 1).cast("int")).where((F.size("spans") > 0) & (F.col("__rule") >= 0))
-    own = own.withColumn("spans", F.transform("spans", lambda s: F.struct(s["start"], s["end"], F.col("__rule").alias("rule"))))
-    spans = F.array_sort(F.flatten(F.collect_list("spans")), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rule"] - b["rule"]))
-    return own.groupBy("blob").agg(spans.alias("spans"))
+    own = own.withColumn("spans", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("__rule").alias("rule"), s["end"].alias("end"))))
+    found = own.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("__all"))
+    # A ledger that was appended twice, by a job that was tried again, holds spans twice: side by side, once sorted.
+    before = F.concat(F.array(F.lit(None).cast("struct<start:int,rule:int,end:int>")), "__all")
+    once = F.zip_with("__all", before, lambda s, b: F.when(s.isNotNull() & ~s.eqNullSafe(b), F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rule"].alias("rule"))))
+    return found.select("blob", F.filter(once, lambda s: s.isNotNull()).alias("spans"))
 
 
 def with_findings(versions: DataFrame, found: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
@@ -148,9 +183,10 @@ def scan_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
 def redact(docs: DataFrame, found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans become one."""
-    own = docs.withColumn("__blob", F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    # The row travels as one column, so that no name of its columns can be ours.
+    own = docs.select(F.struct("*").alias("__row"), docs[text_col].alias("__text"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("__blob"))
     own = own.join(found.select(F.col("blob").alias("__found"), F.col("spans").alias("__spans")), F.col("__blob") == F.col("__found"), "left")
-    text = F.col(text_col)
+    text = F.col("__text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -159,4 +195,6 @@ def redact(docs: DataFrame, found: DataFrame, text_col: str = "text", mark: str
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     clean = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    return own.withColumn(text_col, F.when(F.col("__spans").isNotNull(), clean).otherwise(text)).select(*docs.columns)
+    clean = F.when(F.col("__spans").isNotNull(), clean).otherwise(text)
+    whole = {c: F.col("__row").getField(c) for c in docs.columns}
+    return own.select(*[(clean if c.lower() == text_col.lower() else whole[c]).alias(c) for c in docs.columns])
