@@ -1,21 +1,18 @@
 """Serving semantics over a request log: validation, cache, single flight, rate limit, suggestions.
 
-The time-dependent ones fold each key's requests in time order. A hot key is folded in
-bounded memory: rows come sorted to a task and only the key's state is held. The fold
-itself is sequential by meaning, as each decision rests on the one before; requests of
-a key that are further apart than the state lives start anew, so a key is first cut
-into independent runs at such gaps, and runs, not keys, are dealt to tasks.
+In the time-dependent ones each decision rests on the one before. ``anchors.periods`` cuts
+a key's requests into slices of time whose effects are composed, so that slices, not
+keys, are dealt to tasks, however steady a hot key's requests come.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantaloom.sources.runtime import ship_package
+from vantaloom.operators.anchors import periods
 
 MAX_QUERY_BYTES = 2000
 CACHE_TTL, RATE_LIMIT, RATE_WINDOW, TOKEN_LIMIT, BODY_LIMIT = 600, 60, 60, 5, 64 * 1024  # fixed values: defaults in seconds, requests and bytes
@@ -60,32 +57,6 @@ def runs_by_gap(log: DataFrame, key: str, at: str, gap: float, span: float = 360
     return joined.withColumn("run", F.coalesce(last("__start", own.rowsBetween(Window.unboundedPreceding, 0)), F.col("__open"))).select(*log.columns, "run")
 
 
-def fold(log: DataFrame, keys: list[str], order: list[str], columns: list[str], step: Callable, out: str) -> DataFrame:
-    """Run ``step(state, row) -> (state, values)`` over each key's rows in order; state starts as None."""
-    ship_package(log.sparkSession)
-    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = log.select(*keys, *columns).repartition(n, *keys).sortWithinPartitions(*keys, *order)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = log.sparkSession.createDataFrame([], ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [out])).schema
-    arrow = to_arrow_schema(schema)
-    n_keys, n_in = len(keys), len(rows.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = state = None
-        for batch in batches:
-            values = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:n_keys] != key:
-                    key, state = row[:n_keys], None
-                state, found = step(state, row[n_keys:])
-                values.append(found)
-            more = [pa.array([v[i] for v in values], t) for i, t in enumerate(arrow.types[n_in:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=arrow.names)
-
-    return rows.mapInArrow(run, schema)
-
-
 def cache_step(ttl: float) -> Callable:
     """Hits do not renew; a miss writes, and the entry lives ``ttl`` seconds from that write."""
 
@@ -97,10 +68,10 @@ def cache_step(ttl: float) -> Callable:
     return step
 
 
-def cache_replay(log: DataFrame, key: str, at: str, ttl: float = CACHE_TTL) -> DataFrame:
+def cache_replay(log: DataFrame, key: str, at: str, ttl: float = CACHE_TTL, span: float | None = None) -> DataFrame:
     """Per request: whether the cache answers it, and when its entry was written."""
-    own = runs_by_gap(log.select(key, "event_id", F.col(at)), key, at, ttl)
-    return fold(own, [key, "run"], [at, "event_id"], [at, "event_id"], cache_step(ttl), "hit boolean, written_at double").drop("run")
+    p = periods(log, key, at, float(ttl), span or _span(ttl))
+    return p.select(F.col("key").alias(key), F.col("event").alias("event_id"), F.col("at").alias(at), (~F.col("first")).alias("hit"), F.col("begin").alias("written_at"))
 
 
 def rate_step(limit: int, window: float) -> Callable:
@@ -114,25 +85,19 @@ def rate_step(limit: int, window: float) -> Callable:
     return step
 
 
-def rate_replay(log: DataFrame, key: str, at: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW) -> DataFrame:
+def rate_replay(log: DataFrame, key: str, at: str, limit: int = RATE_LIMIT, window: float = RATE_WINDOW, span: float | None = None) -> DataFrame:
     """Per request: the counter's value and whether it is allowed; windows start at the first request."""
-    own = runs_by_gap(log.select(key, "event_id", F.col(at)), key, at, window)
-    return fold(own, [key, "run"], [at, "event_id"], [at, "event_id"], rate_step(limit, window), "n_in_window long, allowed boolean").drop("run")
-
+    p = periods(log, key, at, float(window), span or _span(window))
+    return p.select(F.col("key").alias(key), F.col("event").alias("event_id"), F.col("at").alias(at), F.col("count").alias("n_in_window"), (F.col("count") <= limit).alias("allowed"))
 
-def flight_step(row_duration: int = 2) -> Callable:
-    """A request joins the call in flight for its key, else it starts one that ends after its own duration."""
 
-    def step(end: float | None, row: tuple) -> tuple:
-        at, duration = row[0], row[row_duration]
-        shared = end is not None and at < end
-        return (end if shared else at + duration), (shared, end if shared else at + duration)
-
-    return step
+def single_flight(log: DataFrame, key: str, at: str, duration: str, span: float | None = None) -> DataFrame:
+    """Per request: whether it shares a call in flight, and when that call ends. A request that finds none starts one of its own duration."""
+    longest = 0.0 if span else log.agg(F.coalesce(F.max(F.nanvl(F.col(duration).cast("double"), F.lit(0.0))), F.lit(0.0))).first()[0]
+    p = periods(log, key, at, F.col(duration), span or _span(longest))
+    return p.select(F.col("key").alias(key), F.col("event").alias("event_id"), F.col("at").alias(at), (~F.col("first")).alias("shared"), F.col("end").alias("answered_at"))
 
 
-def single_flight(log: DataFrame, key: str, at: str, duration: str) -> DataFrame:
-    """Per request: whether it shares a call in flight, and when that call ends."""
-    longest = log.agg(F.coalesce(F.max(duration), F.lit(0.0))).first()[0]
-    own = runs_by_gap(log.select(key, "event_id", F.col(at), F.col(duration)), key, at, float(longest) + 1e-9)
-    return fold(own, [key, "run"], [at, "event_id"], [at, "event_id", duration], flight_step(), "shared boolean, answered_at double").drop("run")
+def _span(period: float) -> float:
+    """Slices of some periods each: their maps have about as many steps as one period has requests."""
+    return max(4.0 * period, 1.0)

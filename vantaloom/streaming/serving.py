@@ -1,8 +1,9 @@
-"""Streaming twins of cache, rate limit and single flight: keyed state with expiry in event time.
+"""Cache and rate limit that decide at once: keyed state with expiry in event time.
 
-They run the same steps as the batch replays, so a stream and a replay of its log
-agree. Events may come late within the watermark; a micro-batch's rows are folded in
-time order.
+A decision is made in the micro-batch in which its event comes, whose rows are folded in time order.
+Events that come after later ones of an earlier micro-batch are judged in the order of arrival, so
+they may be judged otherwise than by a replay of the log; ``streaming.periods`` waits for the watermark
+and decides as a replay does.
 """
 
 from __future__ import annotations
@@ -50,8 +51,3 @@ def stream_cache(events: DataFrame, key: str, ttl: float = CACHE_TTL, late: str
     kind = events.schema[key].dataType.simpleString()
     out = f"`{key}` {kind}, at double, event_id long, hit boolean, written_at double"
     return _stateful(events, key, late, ttl, cache_step(ttl), "written double", out, [key, "at", "event_id", "hit", "written_at"], lambda s: s[0], lambda s: (float(s),))
-
-
-def stream_single_flight(events: DataFrame, key: str, within: str = "10 seconds") -> DataFrame:
-    """The first event of a key within a span; the others share its call."""
-    return events.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
