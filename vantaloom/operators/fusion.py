@@ -19,6 +19,7 @@ from vantaloom.operators.ranking import rank_within, top_k
 from vantaloom.sources.runtime import ship_package
 
 RRF_K, OVERVIEW_WEIGHT, RERANK_CHARS = 60, 0.3, 768
+SWEEP = (5, 10, 20, 30, 60, 100, 200)  # fixed values: the fusion constants that the sweep compares
 
 
 def with_ranks(scores: DataFrame, *names: str) -> DataFrame:
@@ -76,7 +77,7 @@ def strategy_grid(ranked: DataFrame, chosen: list[Strategy] | None = None) -> Da
     return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= deepest).where("rank <= depth").select("strategy", "query_id", "rank", "chunk_id")
 
 
-def k_sweep(ranked: DataFrame, ks=(5, 10, 20, 30, 60, 100, 200), depth: int = 10) -> DataFrame:
+def k_sweep(ranked: DataFrame, ks=SWEEP, depth: int = 10) -> DataFrame:
     """Top chunks for each RRF constant, in one pass."""
     long = ranked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     long = long.withColumn("fused", F.round(rrf("r_cosine", "r_bm25", k=F.col("k")), 10))

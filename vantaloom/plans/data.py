@@ -7,10 +7,12 @@ strings of a question are its third, sixth and ninth word.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantaloom.operators import dense, fusion, lexical
+from vantaloom.operators import dense, fused, fusion, lexical
 from vantaloom.sources.runtime import spread, table
 
 
@@ -63,6 +65,18 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.with_ranks(scores(spark, sf_dir), "cosine", "bm25")
 
 
+def parts(spark: SparkSession, sf_dir: str, lighter: bool = False) -> list[fused.Part]:
+    """The questions and chunks for fused search; ``lighter`` weights overview chunks down."""
+    c = chunks(spark, sf_dir)
+    flags = c.select("chunk_id", F.when(F.col("is_overview"), fusion.OVERVIEW_WEIGHT).otherwise(1.0).alias("lighter")) if lighter else None
+    return fused.parts(lexical.build_index(c), questions(spark, sf_dir), vectors(spark, sf_dir), question_vectors(spark, sf_dir), flags)
+
+
+def candidates(spark: SparkSession, sf_dir: str, chosen: list[tuple[Column, int]], lighter: bool = False) -> DataFrame:
+    """Chunks that may be among the best k of a score over their ranks, with their exact ranks."""
+    return reduce(DataFrame.unionByName, [fused.candidates(p, fused.enough(p, chosen)) for p in parts(spark, sf_dir, lighter)])
+
+
 CHUNKS = "chunks as (select doc_id chunk_id, coalesce(text, '') as text, source as doc, lang = 'es' is_overview, source || '|' || lang symbol from documents)"
 QUESTIONS = "questions as (select item_id query_id, text q from benchmark)"
 TOKENS = "list_concat(regexp_extract_all(lower({0}), '[a-z0-9]+'), regexp_extract_all(lower({0}), '[一-鿿]'))"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vantaloom.operators import code, fusion, integrity, judging, metrics, paired
 from vantaloom.plans import data
 from vantaloom.plans.registry import query
-from vantaloom.plans.retrieval import GRID_SQL, _pack_sql
+from vantaloom.plans.retrieval import GRID_SQL, _pack_sql, strategies_of
 from vantaloom.sources.runtime import stage, table
 
 S = SparkSession
@@ -128,7 +128,7 @@ _FIRST = f"""{GRID_SQL}, {data.GOLD}, target as (select query_id, min(gold) gold
 def first_ranks(spark: S, d: str) -> DataFrame:
     """(strategy, depth, tier, query_id, rank): the first candidate with a question's least gold string, or depth + 1."""
     target = data.gold(spark, d).groupBy("query_id").agg(F.min("gold").alias("gold"))
-    grid = fusion.strategy_grid(data.ranked(spark, d)).join(metrics.occurrences(data.chunks(spark, d), target), ["query_id", "chunk_id"])
+    grid = strategies_of(spark, d).join(metrics.occurrences(data.chunks(spark, d), target), ["query_id", "chunk_id"])
     names = spark.createDataFrame([(s.name, s.depth) for s in fusion.strategies()], "strategy string, depth int")
     every = target.select("query_id").crossJoin(F.broadcast(names))
     hit = grid.groupBy("strategy", "query_id").agg(F.min("rank").alias("rank"))

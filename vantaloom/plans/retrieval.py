@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantaloom.functions import text as tx
-from vantaloom.operators import context, dense, fusion, lexical, metrics, ranking
+from vantaloom.operators import context, dense, fused, fusion, lexical, metrics, ranking
 from vantaloom.plans import data
 from vantaloom.plans.registry import query
-from vantaloom.sources.runtime import small_side, table
+from vantaloom.sources.runtime import small_side, stage, table
 
 S = SparkSession
 
@@ -127,7 +129,11 @@ def hash_embedding(spark: S, d: str) -> DataFrame:
 
 @query(f"with {data.FUSED} select query_id, rank, chunk_id, fused from fused where rank <= 20")
 def rrf_hybrid(spark: S, d: str) -> DataFrame:
-    return _top(fusion.fuse(data.ranked(spark, d), fusion.rrf("r_cosine", "r_bm25"), 20))
+    return _top(_fused(spark, d, fusion.rrf("r_cosine", "r_bm25"), 20))
+
+
+def _fused(spark: S, d: str, score: Column, depth: int, lighter: bool = False) -> DataFrame:
+    return fusion.fuse(data.candidates(spark, d, [(score, depth)], lighter), score, depth)
 
 
 def _top(found: DataFrame) -> DataFrame:
@@ -145,18 +151,19 @@ _MIN_RANK = "-(least(r_cosine, r_bm25) + 1e-3::double * greatest(r_cosine, r_bm2
 
 @query(_fusion_sql(_WEIGHTED, 20))
 def rrf_weighted(spark: S, d: str) -> DataFrame:
-    return _top(fusion.fuse(data.ranked(spark, d), fusion.rrf("r_cosine", "r_bm25", weights=(0.85, 0.15)), 20))
+    return _top(_fused(spark, d, fusion.rrf("r_cosine", "r_bm25", weights=(0.85, 0.15)), 20))
 
 
 @query(_fusion_sql(_MIN_RANK, 20))
 def min_rank_fusion(spark: S, d: str) -> DataFrame:
-    return _top(fusion.fuse(data.ranked(spark, d), fusion.min_rank("r_cosine", "r_bm25"), 20))
+    return _top(_fused(spark, d, fusion.min_rank("r_cosine", "r_bm25"), 20))
 
 
 @query(f"""with {data.RANKED}, f as (select k, query_id, chunk_id, round(1.0::double / (k + r_cosine + 1) + 1.0::double / (k + r_bm25 + 1), 10) fused from ranked, unnest([5, 10, 20, 30, 60, 100, 200]) t(k)),
     r as (select k, query_id, row_number() over (partition by k, query_id order by fused desc, chunk_id) as rank, chunk_id, fused from f) select * from r where rank <= 10""")
 def rrf_k_sweep(spark: S, d: str) -> DataFrame:
-    return fusion.k_sweep(data.ranked(spark, d)).select("k", "query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "fused")
+    chosen = [(fusion.rrf("r_cosine", "r_bm25", k=k), 10) for k in fusion.SWEEP]
+    return fusion.k_sweep(data.candidates(spark, d, chosen)).select("k", "query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "fused")
 
 
 @query("""with l as (select doc_id group_id, string_split(coalesce(text, ''), ' ') items from documents union all select doc_id, list_reverse(string_split(coalesce(text, ''), ' ')) from documents),
@@ -175,7 +182,11 @@ GRID_SQL = f"{data.RANKED}, long as (" + " union all ".join(f"select '{n}' strat
 
 @query(f"with {GRID_SQL} select strategy, query_id, rank, chunk_id from strategy_grid")
 def strategy_grid(spark: S, d: str) -> DataFrame:
-    return fusion.strategy_grid(data.ranked(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+    return strategies_of(spark, d).withColumn("rank", F.col("rank").cast("long"))
+
+
+def strategies_of(spark: S, d: str) -> DataFrame:
+    return fusion.strategy_grid(data.candidates(spark, d, [(s.score, s.depth) for s in fusion.strategies()]))
 
 
 def _code_scores(spark: S, d: str) -> DataFrame:
@@ -192,7 +203,7 @@ _DOWN = f"""{data.SCORES}, down as (select query_id, chunk_id, is_overview, symb
 
 @query(f"with {_DOWN}, r as (select query_id, row_number() over (partition by query_id order by fused desc, chunk_id) as rank, chunk_id, fused from fused) select * from r where rank <= 20")
 def overview_downweight(spark: S, d: str) -> DataFrame:
-    return _top(fusion.fuse(_code_scores(spark, d), fusion.rrf("r_cosine", "r_bm25"), 20))
+    return _top(_fused(spark, d, fusion.rrf("r_cosine", "r_bm25"), 20, lighter=True))
 
 
 _DEDUP = f"""{_DOWN}, one as (select *, row_number() over (partition by query_id, symbol order by fused desc, chunk_id) n from fused),
@@ -201,8 +212,25 @@ _DEDUP = f"""{_DOWN}, one as (select *, row_number() over (partition by query_id
 
 @query(f"with {_DEDUP} select query_id, rank, chunk_id, symbol, fused from recalled")
 def symbol_dedup_topn(spark: S, d: str) -> DataFrame:
-    fused = _code_scores(spark, d).withColumn("fused", F.round(fusion.rrf("r_cosine", "r_bm25"), 10))
-    return fusion.best_per_symbol(fused, 20).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "symbol", "fused")
+    return _symbols(spark, d).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "symbol", "fused")
+
+
+def _symbols(spark: S, d: str, top: int = 20) -> DataFrame:
+    """The best part of the best symbols, by candidates of a depth at which no other part can be among them."""
+    score, symbols = fusion.rrf("r_cosine", "r_bm25"), data.chunks(spark, d).select("chunk_id", "is_overview", "symbol")
+    found = []
+    for part in data.parts(spark, d, lighter=True):
+        depth = fused.enough(part, [(score, top)])
+        while True:
+            known = fused.candidates(part, depth).withColumn("fused", F.round(score, 10)).join(symbols, "chunk_id")
+            best = stage(fusion.best_per_symbol(known, top), "symbols")
+            least = F.round(fusion.rrf("d", "d"), 10)
+            done = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("fused").alias("worst")).withColumn("d", F.lit(depth))
+            if depth >= part.n_chunks or done.where((F.col("n") == top) & (F.col("worst") > least)).count() == len(part.ids):
+                break
+            depth *= 4
+        found.append(best)
+    return reduce(DataFrame.unionByName, found)
 
 
 _SCORER = "round(coalesce(len(list_filter(list_distinct({q}), lambda x: list_contains({t}, x)))::double / nullif(len(list_distinct({q})), 0), 0.0), 6)"
@@ -217,8 +245,7 @@ def code_search(spark: S, d: str) -> DataFrame:
 
 
 def code_hits(spark: S, d: str) -> DataFrame:
-    fused = _code_scores(spark, d).withColumn("fused", F.round(fusion.rrf("r_cosine", "r_bm25"), 10))
-    recalled = fusion.best_per_symbol(fused, 20).drop("rank").join(data.questions(spark, d), "query_id").join(data.chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    recalled = _symbols(spark, d).drop("rank").join(data.questions(spark, d), "query_id").join(data.chunks(spark, d).select("chunk_id", "text"), "chunk_id")
     scored = recalled.withColumn("rerank_score", fusion.overlap_score(F.col("q"), F.substring("text", 1, fusion.RERANK_CHARS)))
     final = scored.withColumn("rerank_score", F.round(fusion.downweight(F.col("rerank_score"), F.col("is_overview")), 6))
     return fusion.top_k(final, "query_id", 5, [F.desc("rerank_score"), F.asc("chunk_id")])
@@ -226,7 +253,7 @@ def code_hits(spark: S, d: str) -> DataFrame:
 
 def recalled(spark: S, d: str, depth: int = 20) -> DataFrame:
     """Question, text and file of the fused candidates."""
-    found = fusion.fuse(data.ranked(spark, d), fusion.rrf("r_cosine", "r_bm25"), depth).select("query_id", "chunk_id")
+    found = _fused(spark, d, fusion.rrf("r_cosine", "r_bm25"), depth).select("query_id", "chunk_id")
     return found.join(data.questions(spark, d), "query_id").join(data.chunks(spark, d).select("chunk_id", "text", "doc"), "chunk_id")
 
 
