@@ -45,6 +45,14 @@ def test_cache_and_results(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).first()["m"]["a"] == 1
 
 
+def test_a_corrupt_cache_is_empty(spark, tmp_path):
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"PAR1 no parquet at all PAR1")
+    assert corpus.read_cache(spark, str(tmp_path / "bad")).collect() == []
+    corpus.append_cache(spark.createDataFrame([("k", "d")], "key string, description string"), str(tmp_path / "bad"))
+    assert [tuple(r) for r in corpus.read_cache(spark, str(tmp_path / "bad")).collect()] == [("k", "d")]
+
+
 def test_stage_keeps_schema_and_small_side_falls_back(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, t string")
     assert sorted(map(tuple, runtime.stage(df, "t").collect())) == [(1, "a"), (2, None)]

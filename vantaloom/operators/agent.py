@@ -30,13 +30,13 @@ def tools(has_code: Column, allow_run: Column, allow_write: Column) -> Column:
     return F.concat(F.array(F.lit("search")), some(has_code, "search_code"), some(allow_run, "run_python", "run_file"), some(allow_write, "read_file", "write_file", "edit_file"))
 
 
-def format_run(out: Column, err: Column, failure: Column, checked: Column, check_ok: Column) -> Column:
-    """The text of a run for the model: failure, then the check's outcome, then output; cut to the tool's length."""
+def format_run(out: Column, err: Column, failure: Column, checked: Column, check_ok: Column, check_error: Column) -> Column:
+    """The text of a run for the model: failure, then the check's outcome with its error, then output; cut to the tool's length."""
     from vantaloom.functions.text import strip
 
     whole = strip(F.concat(out, F.when(F.length(err) > 0, F.concat(F.lit("\n[stderr]\n"), err)).otherwise(F.lit(""))))
     shown = F.when(F.length(whole) > 0, whole).otherwise(F.lit("(no output)"))
-    text = F.when(F.length(failure) > 0, F.concat(F.lit("[run failed "), failure, F.lit("]\n"), whole)).when(checked & check_ok, F.concat(F.lit("check passed\n"), shown)).when(checked, F.concat(F.lit("[check failed]\n"), shown)).otherwise(shown)
+    text = F.when(F.length(failure) > 0, F.concat(F.lit("[run failed "), failure, F.lit("]\n"), whole)).when(checked & check_ok, F.concat(F.lit("check passed\n"), shown)).when(checked, F.concat(F.lit("[check failed "), F.coalesce(check_error, F.lit("")), F.lit("]\n"), shown)).otherwise(shown)
     return F.substring(text, 1, TOOL_CHARS)
 
 

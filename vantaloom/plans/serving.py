@@ -26,11 +26,11 @@ def tool_list(spark: S, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(names, ",").alias("tools"))
 
 
-@query("""select event_id, case when event_id % 7 = 0 then '[run failed ' || event_type || ']' || chr(10) || props when event_id % 3 = 0 then 'check passed' || chr(10) || props when event_id % 3 = 1 then '[check failed]' || chr(10) || props else props || chr(10) || '[stderr]' || chr(10) || event_type end as output from events""")
+@query("""select event_id, case when event_id % 7 = 0 then '[run failed ' || event_type || ']' || chr(10) || props when event_id % 3 = 0 then 'check passed' || chr(10) || props when event_id % 3 = 1 then '[check failed AssertionError: ' || event_type || ']' || chr(10) || props else props || chr(10) || '[stderr]' || chr(10) || event_type end as output from events""")
 def run_output(spark: S, d: str) -> DataFrame:
     """What a model is told of a run: failure, the check's outcome, output and errors."""
     i, e = F.col("event_id"), table(spark, d, "events")
-    text = agent.format_run(F.col("props"), F.when((i % 3 == 2) & (i % 7 != 0), F.col("event_type")).otherwise(F.lit("")), F.when(i % 7 == 0, F.col("event_type")).otherwise(F.lit("")), i % 3 != 2, i % 3 == 0)
+    text = agent.format_run(F.col("props"), F.when((i % 3 == 2) & (i % 7 != 0), F.col("event_type")).otherwise(F.lit("")), F.when(i % 7 == 0, F.col("event_type")).otherwise(F.lit("")), i % 3 != 2, i % 3 == 0, F.concat(F.lit("AssertionError: "), "event_type"))
     return e.select("event_id", text.alias("output"))
 
 

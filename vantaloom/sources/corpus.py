@@ -101,10 +101,10 @@ def write_results(df: DataFrame, path: str) -> None:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    """A cache table (key, description), or None where there is none or it can't be read."""
+    """A cache table (key, description), or None where there is none; files of it that can't be read count as empty."""
     try:
-        return spark.read.schema("key string, description string").parquet(path)
-    except Exception:  # a missing or broken cache is an empty one
+        return spark.read.schema("key string, description string").option("ignoreCorruptFiles", "true").parquet(path)
+    except Exception:  # a missing cache is an empty one
         return None
 
 
