@@ -130,6 +130,40 @@ def test_recall_with_several_projections(spark):
     assert sum(got.values()) >= 0.95 * degree.sum()
 
 
+def test_codes_are_alike_wherever_they_are_made():
+    rng = np.random.default_rng(3)
+    for dim in (1, 2, 64, 700):
+        unit = embedding_dedup._unit(rng.standard_normal((257, dim)).astype(np.float32))
+        plan = embedding_dedup.Plan(5, 9, 1.5)
+        whole = embedding_dedup._codes(unit, plan, 7, 9)
+        for tables in (1, 4, 9):
+            assert (embedding_dedup._codes(unit, plan, 7, tables) == whole[:, :tables]).all()
+        for rows in ([0], [256, 3], list(range(100, 131))):
+            assert (embedding_dedup._codes(unit[rows], plan, 7, 9) == whole[rows]).all()
+
+
+def test_bounds_lose_no_pair():
+    rng = np.random.default_rng(4)
+    for dim in (1, 3, 64):
+        v = np.repeat(rng.standard_normal((20, dim)), 10, axis=0) + rng.standard_normal((200, dim)) * rng.uniform(0, 0.6, (200, 1))
+        v[:3] = np.eye(dim)[0]
+        unit = embedding_dedup._unit(v)
+        sketches = [x.tobytes() for x in embedding_dedup._sketches(unit)]
+        left, right = np.arange(150), np.arange(50, 200)
+        cosine = unit[left] @ unit[right].T
+        for threshold in (0.5, 0.9, 1 - 1e-12, float(cosine[0, 120])):
+            near = embedding_dedup._reach(sketches, left, right, threshold)
+            assert near[cosine >= threshold].all()
+            assert not near[cosine < threshold - 0.1].any()
+
+
+def test_vectors_of_several_lengths_in_one_table(spark):
+    rng = np.random.default_rng(5)
+    rows = [(d * 100 + i, (np.ones(d) + rng.standard_normal(d) * 0.001).tolist()) for d in (1, 2, 5, 64) for i in range(30)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), chunk=7).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(29, d * 100) for d in (1, 2, 5, 64)}
+
+
 def test_tables_follow_the_number_of_vectors():
     small, large = embedding_dedup.plan_for(50_000, 0.9), embedding_dedup.plan_for(100_000_000, 0.9)
     assert (small.projections, large.projections) == (6, 14) and large.tables > 100
