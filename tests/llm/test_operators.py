@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import plain_toxicity
 import pytest
 from pyspark.sql import functions as F
 
@@ -600,21 +601,14 @@ def test_very_many_matches_in_one_text(spark):
 
 def test_maximal_segments_against_brute_force():
     rng = random.Random(6)
-    for _ in range(200):
-        s = [rng.choice([-3, -2, -1, 1, 2, 3]) for _ in range(rng.randint(0, 12))]
-
-        def find(a, b):
-            """All maximal segments: take the best, then both sides."""
-            best = max(((sum(s[i:j]), -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
-            if best[0] <= 0:
-                return []
-            _, _, _, i, j = best
-            return find(a, i) + [(i, j, float(best[0]))] + find(j, b)
-
-        got = toxicity.maximal_segments(np.array(s, dtype=np.float64))
-        assert [x[2] for x in got] and sum(x[2] for x in got) >= 0 if s and max(s) > 0 else got == []
-        want = find(0, len(s))
-        assert max([x[2] for x in got], default=0) == max([x[2] for x in want], default=0)
+    for _ in range(300):
+        s = [rng.choice([-3, -2, -1, 1, 2, 3]) for _ in range(rng.randint(0, 11))]
+        want = plain_toxicity.by_definition(s)
+        assert toxicity.maximal_segments(np.array(s, dtype=np.float64)) == want
+        assert plain_toxicity.best_then_sides(s) == want
+    for n in (1000, 200_000):
+        s = rng.choices([-2.0, -0.5, 3.0], weights=[3, 12, 1], k=n)
+        assert toxicity.maximal_segments(np.array(s)) == plain_toxicity.best_then_sides(s)
 
 
 def toxic_corpus(spark, n=600):
@@ -646,6 +640,26 @@ def test_toxicity_on_held_out_documents(spark, docs, empty):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in toxicity.score(corpus, model).collect() if not r["predicted"]}
 
 
+def test_toxicity_against_plain_recomputation(spark):
+    corpus, labels = toxic_corpus(spark)
+    extra = spark.createDataFrame([(9000, None), (9001, ""), (9002, "Rotten zonkheads, " * 20_000), (9003, "x" * 100_000), (3, "an id that repeats"), (None, "vilest rotten")], corpus.schema)
+    mild = spark.createDataFrame([(7000 + i, " ".join(["thin", "vilest", "rotten"][: 1 + i % 3] + [f"word{i * j}" for j in range(50)])) for i in range(60)], corpus.schema)
+    corpus = corpus.union(extra).union(mild).union(corpus.where("doc_id < 40").selectExpr("doc_id + 5000", "text"))
+    labels = labels.union(spark.createDataFrame([(9000, 0), (9001, None), (5000, 1), (5001, 1), (8, 0), *((7000 + i, 0) for i in range(60))], labels.schema))
+    model = toxicity.train(corpus, labels)
+    plain = plain_toxicity.Plain([tuple(r) for r in corpus.collect()], [tuple(r) for r in labels.collect()])
+    assert len(plain.scores) > 10 and 1e-3 < plain.lam < 20
+    plain_toxicity.agrees(model, plain)
+    scored = toxicity.score(corpus, model).collect()
+    texts = corpus.collect()
+    assert len(scored) == len(texts)
+    key = lambda r: (r[0] is None, r[0] or 0)
+    want = sorted(((r["doc_id"], plain.probability(r["text"], model.link)) for r in texts), key=lambda r: (*key(r), r[1]))
+    got = sorted(((r["doc_id"], r["score"], r["predicted"]) for r in scored), key=lambda r: (*key(r), r[1]))
+    for (a, p), (b, q, predicted) in zip(want, got, strict=True):
+        assert a == b and abs(p - q) < 1e-7 and predicted == int(q >= 0.5)
+
+
 def test_toxicity_without_labels(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)

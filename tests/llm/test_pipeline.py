@@ -5,6 +5,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import plain_toxicity
 import pytest
 
 import __spark_entry__
@@ -35,8 +36,10 @@ def test_stages_against_brute_force(spark, stages):
     (_, whole, clean), (_, _, unique), (_, _, redacted), (_, _, pieces) = stages
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.train(whole, labels)
-    scored = {r["doc_id"]: r["predicted"] for r in toxicity.score(whole, model).collect()}
-    assert {r["doc_id"] for r in clean.collect()} == {d for d, p in scored.items() if not p}
+    rows = [tuple(r) for r in whole.select("doc_id", "text").collect()]
+    plain = plain_toxicity.Plain(rows, [tuple(r) for r in labels.select("doc_id", "toxic").collect()])
+    plain_toxicity.agrees(model, plain)
+    assert {r["doc_id"] for r in clean.collect()} == {d for d, text in rows if plain.probability(text, model.link) < 0.5}
 
     rows = sorted((r["doc_id"], shingles(r["text"])) for r in clean.collect())
     parent = {d: d for d, _ in rows}

@@ -175,19 +175,33 @@ def _lambda(positive: np.ndarray, often: np.ndarray, n_tokens: float) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Ridge-regularised Newton steps; slopes are kept at zero or above."""
+    """Ridge-regularised logistic regression with two slopes of zero or above.
+
+    The best weights are the best without a bound for the slopes that are not zero, so
+    each choice of those is fitted by Newton steps, and the best allowed fit is taken.
+    """
     a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(a.shape[1])
-    w[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        ridge = np.array([1e-6, 0.05, 0.05])
-        move = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (y - p) - ridge * w)
-        w = w + np.clip(move, -2, 2)
-        w[1:] = np.maximum(w[1:], 0)
-        if np.abs(move).max() < 1e-7:
-            break
-    return tuple(map(float, w))
+    ridge = np.array([1e-6, 0.05, 0.05])
+    loss = lambda w: np.logaddexp(0, a @ w).sum() - y @ (a @ w) + (ridge * w * w).sum() / 2
+
+    def fit(*free: int) -> np.ndarray:
+        w, at = np.zeros(a.shape[1]), np.ix_(free, free)
+        w[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
+            rise = a.T @ (y - p) - ridge * w
+            move = np.zeros(len(w))
+            move[[*free]] = np.linalg.solve(((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge))[at], rise[[*free]])
+            move *= min(1.0, 2 / max(np.abs(move).max(), 1e-300))
+            while np.abs(move).max() > 1e-9 and loss(w + move) > loss(w):
+                move /= 2
+            w = w + move
+            if np.abs(move).max() < 1e-8:
+                break
+        return w
+
+    fits = [fit(0), fit(0, 1), fit(0, 2), fit(0, 1, 2)]
+    return tuple(map(float, min((w for w in fits if (w[1:] >= 0).all()), key=loss)))
 
 
 def held_out(doc_id: Column) -> Column:
