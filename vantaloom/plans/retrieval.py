@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantaloom.functions import text as tx
-from vantaloom.operators import context, dense, fused, fusion, lexical, metrics, ranking
+from vantaloom.operators import context, dense, fused, fusion, lexical, metrics, postings, ranking
 from vantaloom.plans import data
 from vantaloom.plans.registry import query
-from vantaloom.sources.runtime import small_side, stage, table
+from vantaloom.sources.runtime import scratch, small_side, stage, table
 
 S = SparkSession
 
@@ -58,6 +58,53 @@ def bm25_topk(spark: S, d: str) -> DataFrame:
     return fusion.top_k(found, "query_id", 10, [F.desc("bm25"), F.asc("chunk_id")]).withColumn("rank", F.col("rank").cast("long"))
 
 
+_TOP10 = "r as (select query_id, chunk_id, round(bm25, 6) bm25, row_number() over (partition by query_id order by round(bm25, 6) desc, chunk_id) as rank from matches) select * from r where rank <= 10"
+
+
+@query(f"with {data.BM25}, {_TOP10}")
+def bm25_blocks(spark: S, d: str) -> DataFrame:
+    """The best matches by a persistent index, of which only blocks that can matter are opened."""
+    index = postings.Postings(spark, scratch(spark, "postings"))
+    index.apply(data.chunks(spark, d))
+    return _searched(index, data.questions(spark, d))
+
+
+def _searched(index: postings.Postings, questions: DataFrame) -> DataFrame:
+    return index.search(lexical.query_terms(questions))[0].withColumn("rank", F.col("rank").cast("long"))
+
+
+def _maintained(spark: S, d: str) -> postings.Postings:
+    """An index that first held other versions of a third of the chunks, and as many that are deleted since; the second generation gets all chunks as they are."""
+    index, now = postings.Postings(spark, scratch(spark, "postings")), data.chunks(spark, d).select("chunk_id", "text")
+    past = F.when(F.col("chunk_id") % 3 == 0, F.concat(F.lit("an older version "), F.reverse("text"))).otherwise(F.col("text"))
+    extra = now.where("chunk_id % 3 = 1").select((-1 - F.col("chunk_id")).alias("chunk_id"), "text")
+    index.apply(now.withColumn("text", past).unionByName(extra))
+    index.apply(now, deleted=extra)
+    return index
+
+
+@query(f"with {data.INDEX} select term, df, n_docs, round(avgdl, 6) avgdl from frequency, totals")
+def index_generations(spark: S, d: str) -> DataFrame:
+    """Frequencies and totals after edits and deletions are those of an index built anew."""
+    index = _maintained(spark, d)
+    totals = index.totals.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return index.frequency.crossJoin(F.broadcast(totals))  # one row
+
+
+@query(f"with {data.BM25}, {_TOP10}")
+def bm25_generations(spark: S, d: str) -> DataFrame:
+    """The best matches over two generations."""
+    return _searched(_maintained(spark, d), data.questions(spark, d))
+
+
+@query(f"with {data.BM25}, {_TOP10}")
+def bm25_merged(spark: S, d: str) -> DataFrame:
+    """The best matches after the generations were merged."""
+    index = _maintained(spark, d)
+    index.merge()
+    return _searched(index, data.questions(spark, d))
+
+
 @query(f"""with {data.INDEX}, shared as (select query_id, chunk_id, count(*) k from postings join terms using (term) group by query_id, chunk_id),
     best as (select query_id, chunk_id, row_number() over (partition by query_id order by k desc, chunk_id) n from shared),
     target as (select distinct query_id, term from best join postings using (chunk_id) where n = 1),
