@@ -30,7 +30,7 @@ from vantaloom.operators.lexical import K1, B, idf
 from vantaloom.operators.ranking import top_k
 from vantaloom.sources.runtime import small_side, stage
 
-BITS, SEED = 7, 4
+BITS, SEED = 3, 4
 _SLACK = 2e-6  # sums of the same parts in another order, and scores rounded to six digits
 
 TABLES = {
@@ -181,11 +181,12 @@ class Postings:
     def search(self, terms: DataFrame, k: int = 10, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
         """(query_id, chunk_id, bm25, rank): the best k matches of each query by score, ties by id; and its blocks with whether they were ``opened``.
 
-        ``seed`` blocks a query are scored first. A query without a known term has no rows.
+        ``seed`` blocks a query are scored first, and at least k, so that there is a k-th score to reach unless
+        deletions emptied some. A query without a known term has no rows.
         """
         weighted = self.weights(terms)
         cells = self.bounds(weighted)
-        first = stage(top_k(cells, "query_id", seed, [F.desc("bound"), F.asc("gen"), F.asc("block")]).drop("rank"), "first")
+        first = stage(top_k(cells, "query_id", max(seed, k), [F.desc("bound"), F.asc("gen"), F.asc("block")]).drop("rank"), "first")
         found = stage(self.score(weighted, first), "scored")
         last = top_k(found, "query_id", k, [F.desc("bm25"), F.asc("chunk_id")]).where(F.col("rank") == k)
         cells = cells.join(first.select("query_id", "gen", "block", F.lit(True).alias("seed")), ["query_id", "gen", "block"], "left")
