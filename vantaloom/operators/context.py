@@ -9,6 +9,8 @@ from vantaloom.functions.text import SOURCE_MARK
 
 # A fixed value: the mark after a cut passage.
 CUT_MARK = "\n…（超出预算截断）"
+# A fixed value: what a code search answers where there is no index.
+NO_CODE_INDEX = "（代码索引未加载）"
 
 
 def expand_parents(ranked: DataFrame, parent: str = "parent") -> DataFrame:
@@ -44,3 +46,11 @@ def join_context(packed: DataFrame, keys: list[str], order: str = "rank", text:
     """One context string a query, items in order with a blank line between."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text))))
     return packed.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r[text]), "\n\n").alias("context"), F.count("*").alias("n_items"))
+
+
+def or_message(queries: DataFrame, contexts: DataFrame | None, message: str = NO_CODE_INDEX) -> DataFrame:
+    """(query_id, context) for every query: the message where there is no index to search, '' where the search found nothing."""
+    asked = queries.select("query_id")
+    if contexts is None:
+        return asked.withColumn("context", F.lit(message))
+    return asked.join(contexts.select("query_id", "context"), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))

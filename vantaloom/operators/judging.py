@@ -66,7 +66,8 @@ def synthesize(chunks: DataFrame, cache: DataFrame | None, provider: Callable[[l
     """Descriptions of chunks by a provider that takes a list of texts; (chunks with ``description``, new cache rows).
 
     Only keys that the cache lacks are asked for, each once; a provider that fails or
-    answers too little leaves blanks, which are not cached.
+    answers too little leaves blanks, which are not cached. A key that the cache holds
+    twice, as after a build that ran again, counts once, with the least description.
     """
     ship_package(chunks.sparkSession)
     keyed = chunks.withColumn("key", chunk_key(F.col(text)))
@@ -85,7 +86,7 @@ def synthesize(chunks: DataFrame, cache: DataFrame | None, provider: Callable[[l
         return pd.DataFrame({"key": pdf["key"], "description": found})
 
     fresh = numbered.groupBy("batch_id").applyInPandas(ask, "key string, description string").where("description <> ''")
-    whole = fresh if cache is None else cache.select("key", "description").unionByName(fresh)
+    whole = fresh if cache is None else cache.groupBy("key").agg(F.min("description").alias("description")).unionByName(fresh)
     return keyed.join(whole, "key", "left").withColumn("description", F.coalesce("description", F.lit(""))).drop("key"), fresh
 
 

@@ -69,6 +69,10 @@ class Postings:
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{folder}/{name}")
 
+    @property
+    def exists(self) -> bool:
+        return bool(self._manifest()[1])
+
     def read(self, name: str) -> DataFrame:
         """A table of all generations, each row with its generation ``gen``."""
         _, folders = self._manifest()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantaloom.functions import text as tx
-from vantaloom.operators import chunking, code
+from vantaloom.operators import chunking, code, integrity
 from vantaloom.plans.registry import query
 from vantaloom.sources.runtime import table
 
@@ -94,6 +94,19 @@ def chunk_parity(spark: S, d: str) -> DataFrame:
     return one.groupBy("doc_id").agg(F.countDistinct("line").alias("n_lines"), F.count("*").alias("n_all")).join(off, "doc_id", "left").select("doc_id", "n_lines", (F.col("n_all") - F.coalesce("off", F.lit(0))).alias("n_all"))
 
 
+@query(f"""with a as (with recursive {_MD}, {_sections(6)}, {_packed('sections', 'doc_id')} select doc_id, sha1(chunk) digest, count(*) n from parts group by all), b as (with recursive {_PARENT} select doc_id, sha1(chunk) digest, count(*) n from parts group by all)
+    select doc_id, coalesce(sum(a.n), 0)::bigint n_markdown, coalesce(sum(b.n), 0)::bigint n_parent, sum(greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0))::bigint only_markdown, sum(greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0))::bigint only_parent from a full join b using (doc_id, digest) group by doc_id""")
+def chunker_parity(spark: S, d: str) -> DataFrame:
+    """The chunker with parents against the one without: only a heading directly above a finer one is a chunk for the latter alone."""
+    docs = _markdown(spark, d)
+    one = chunking.explode_chunks(docs, chunking.markdown_chunks(F.col("text"))).select("doc_id", _sha(F.col("chunk")))
+    two = chunking.explode_chunks(docs, chunking.parent_chunks(F.col("text"))).select("doc_id", _sha(F.col("chunk.chunk")))
+    off = integrity.parity(one, two).select("doc_id", "side", "n").withColumns({"a": F.lit(0), "b": F.lit(0)})
+    sizes = [f.select("doc_id", F.lit("all").alias("side"), F.lit(0).cast("long").alias("n"), F.lit(x).alias("a"), F.lit(1 - x).alias("b")) for f, x in ((one, 1), (two, 0))]
+    side = lambda s: F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0))
+    return off.unionByName(sizes[0]).unionByName(sizes[1]).groupBy("doc_id").agg(F.sum("a").alias("n_markdown"), F.sum("b").alias("n_parent"), side("left").alias("only_markdown"), side("right").alias("only_parent"))
+
+
 _COUNT = "len(regexp_extract_all({0}, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]'))"
 
 

@@ -105,6 +105,23 @@ def bm25_merged(spark: S, d: str) -> DataFrame:
     return _searched(index, data.questions(spark, d))
 
 
+@query(f"""with {data.BM25}, r as (select query_id, chunk_id, row_number() over (partition by query_id order by round(bm25, 6) desc, chunk_id) as rank from matches), best as (select r.query_id, string_agg(text, chr(10) || chr(10) order by rank) context from r join chunks using (chunk_id) where rank <= 3 group by r.query_id)
+    select query_id, sha1('{context.NO_CODE_INDEX}') before, sha1(coalesce(context, '')) digest from questions left join best using (query_id)""")
+def index_contexts(spark: S, d: str) -> DataFrame:
+    """Contexts of the three best chunks by an index that is first absent, then made."""
+    index, asked, own = postings.Postings(spark, scratch(spark, "postings")), data.questions(spark, d), data.chunks(spark, d).select("chunk_id", "text")
+
+    def answers() -> DataFrame:
+        if not index.exists:
+            return context.or_message(asked, None)
+        top = index.search(lexical.query_terms(asked), 3)[0].join(own, "chunk_id")
+        return context.or_message(asked, context.join_context(top, ["query_id"]))
+
+    before = answers().select("query_id", F.sha1(F.col("context").cast("binary")).alias("before"))
+    index.apply(own)
+    return before.join(answers().select("query_id", F.sha1(F.col("context").cast("binary")).alias("digest")), "query_id")
+
+
 @query(f"""with {data.INDEX}, shared as (select query_id, chunk_id, count(*) k from postings join terms using (term) group by query_id, chunk_id),
     best as (select query_id, chunk_id, row_number() over (partition by query_id order by k desc, chunk_id) n from shared),
     target as (select distinct query_id, term from best join postings using (chunk_id) where n = 1),
