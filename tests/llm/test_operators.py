@@ -715,3 +715,27 @@ def test_warc_pages(spark):
         want.append(repr((page, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if refers else "response", refers)))
     assert got == sorted(want)
     assert warc.read_archives(warc.write_archives(df.where("false"))).count() == 0
+
+
+def test_redaction_in_windows_equals_a_loop(spark):
+    """Overlapping, nested and repeated spans, more than a window holds, in texts of wide characters."""
+    import hashlib
+    import random
+
+    rng, docs, found, want = random.Random(1), [(900, None, "q"), (901, "", "q")], [], {900: None, 901: ""}
+    for i in range(60):
+        n = rng.randrange(1, 800)
+        text = "".join(rng.choice("aé漢😀 b") for _ in range(n)) + str(i)
+        spans = sorted((a, min(n, a + rng.randrange(1, 20)), 0) for a in (rng.randrange(n) for _ in range(rng.randrange(0, 150))))
+        docs.append((i, text, "z"))
+        if spans:
+            found.append((hashlib.sha256(text.encode()).hexdigest(), spans))
+        out, at = "", 0
+        for start, end, _ in spans:
+            if start >= at:
+                out += text[at:start] + "[SECRET]"
+            at = max(at, end)
+        want[i] = out + text[at:]
+    rows = spark.createDataFrame(docs, "doc_id int, text string, __c0 string")
+    clean = secrets.redact(rows, spark.createDataFrame(found, f"blob string, spans {secrets.SPANS}"))
+    assert clean.columns == rows.columns and {r[0]: r[1] for r in clean.collect()} == want

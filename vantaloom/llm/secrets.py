@@ -183,18 +183,37 @@ def scan_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
 def redact(docs: DataFrame, found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans become one."""
-    # The row travels as one column, so that no name of its columns can be ours.
-    own = docs.select(F.struct("*").alias("__row"), docs[text_col].alias("__text"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("__blob"))
+    # All columns travel under names of ours, so that none of theirs can be one of those.
+    own = docs.select(*[docs[f"`{c}`"].alias(f"__c{n}") for n, c in enumerate(docs.columns)], F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("__blob"))
     own = own.join(found.select(F.col("blob").alias("__found"), F.col("spans").alias("__spans")), F.col("__blob") == F.col("__found"), "left")
-    text = F.col("__text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.when(fresh, F.concat(text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
-
-    clean = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    clean = F.when(F.col("__spans").isNotNull(), clean).otherwise(text)
-    whole = {c: F.col("__row").getField(c) for c in docs.columns}
-    return own.select(*[(clean if c.lower() == text_col.lower() else whole[c]).alias(c) for c in docs.columns])
+    place = [c.lower() for c in docs.columns].index(text_col.lower())
+    clean = F.when(F.col("__spans").isNotNull(), _masked(F.col(f"__c{place}"), "__spans", mark)).otherwise(F.col(f"__c{place}"))
+    return own.select(*[(clean if n == place else F.col(f"__c{n}")).alias(c) for n, c in enumerate(docs.columns)])
+
+
+def _masked(text: Column, spans: str, mark: str) -> Column:
+    """A text with its sorted spans replaced.
+
+    As in ``_spans``, a fold would copy the whole text for every span; so spans go in chunks, each with the
+    window of the text from the furthest end before it to its own, and the windows are joined.
+    """
+    column = F.col(spans)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(column) - 1) / CHUNK).cast("int")), lambda c: F.slice(column, c * CHUNK + 1, F.lit(CHUNK)))
+    furthest = lambda c: F.array_max(F.transform(c, lambda s: s["end"]))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    windows = F.aggregate(
+        F.transform(chunks, furthest),
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, end: F.struct(F.greatest(acc["at"], end).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), F.greatest(acc["at"], end).alias("end")))).alias("out")),
+        lambda acc: acc["out"],
+    )
+    cut = F.transform(windows, lambda w: F.struct(w["start"].alias("start"), text.substr(w["start"] + 1, w["end"] - w["start"]).alias("text")))
+
+    def masked(chunk: Column, window: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.concat(window["text"].substr(acc["at"] - window["start"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(chunk, F.struct(window["start"].alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    return F.concat(F.array_join(F.zip_with(chunks, cut, masked), ""), text.substr(furthest(column) + 1, F.length(text)))
