@@ -241,3 +241,16 @@ def test_pivots_rule_out_blocks(spark):
     met = hard_negatives._meet(asked, packed, 4, F.lit(True)).count()
     assert 0 < met < 0.5 * asked.count() * packed.count()
     assert sorted(map(tuple, hard_negatives.mine(df, F.col("id") % 10 == 0, block=25, anchor_block=4).collect())) == mined(rows)
+
+
+def test_the_driver_gets_a_thin_sample_and_no_blocks(spark):
+    """A sorted limit sends its rows from every task, and a broadcast its whole side, through the driver."""
+    rows = hard_negatives.prepare(spark.range(6000).selectExpr("id vec_id", "id % 3 label", "array(id / 7D, id % 11D) embedding"))
+    order = F.xxhash64("id", "v")
+    near = hard_negatives._least_hashes(rows, 50)
+    assert 50 <= near.count() < 600
+    assert near.orderBy(order).limit(50).collect() == rows.orderBy(order).limit(50).collect()
+    assert hard_negatives._least_hashes(rows.where("id < 9"), 50).count() == 9
+    box = spark.createDataFrame([(2, [0.0], [1.0], 1.0, b"1", b"1")], "dim int, lo array<double>, hi array<double>, reach double, ids binary, labels binary")
+    met = hard_negatives._meet(box, box, 2, F.lit(True))
+    assert met.count() == 1 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()

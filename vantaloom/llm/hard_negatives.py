@@ -71,7 +71,7 @@ def fit(rows: DataFrame, n_pivots: int = PIVOTS, sample: int = SAMPLE) -> dict[i
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     tops = {r["dim"]: r["top"] for r in rows.groupBy(F.size("v").alias("dim")).agg(F.max(norm).alias("top"), F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(64).collect()}
     # Rows of any further lengths have no pivots, and nothing is ruled out for them.
-    drawn = rows.orderBy(F.xxhash64("id", "v")).limit(sample).select("v").collect()
+    drawn = _least_hashes(rows, sample).orderBy(F.xxhash64("id", "v")).limit(sample).select("v").collect()
     out = {}
     for dim, top in tops.items():
         own = [r[0] for r in drawn if len(r[0]) == dim]
@@ -84,6 +84,12 @@ def fit(rows: DataFrame, n_pivots: int = PIVOTS, sample: int = SAMPLE) -> dict[i
     return out
 
 
+def _least_hashes(rows: DataFrame, sample: int) -> DataFrame:
+    """About 4 * ``sample`` rows of least hashes, all where they are fewer: a sorted limit sends the driver ``sample`` rows from every task, however many tasks there are."""
+    share = 4 * sample / max(rows.count(), 1)
+    return rows if share >= 1 else rows.where(F.xxhash64("id", "v") < F.lit(int(share * 2**64) - 2**63))
+
+
 def _pivoted(rows: DataFrame, model: dict, anchors: bool) -> DataFrame:
     """Rows with their distances to the pivots, the nearest pivot and its distance; anchors have a zero for the further component."""
     ship_package(rows.sparkSession)
@@ -148,7 +154,8 @@ def _meet(anchor_blocks: DataFrame, row_blocks: DataFrame, slabs: int, condition
     # The gap between the boxes in each pivot's distance is a lower bound on every distance of the pair of blocks.
     gaps = F.zip_with(F.zip_with("a_lo", "hi", lambda x, y: x - y), F.zip_with("lo", "a_hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
     reach = F.array_max(gaps) <= F.col("a_reach")
-    pairs = a.repartition(slabs, "a_slab").join(r.repartition(slabs, "slab"), F.col("a_slab") == F.col("slab"))
+    # Merged, since either side, if it were broadcast, would pass the driver with its vectors.
+    pairs = a.repartition(slabs, "a_slab").hint("merge").join(r.repartition(slabs, "slab"), F.col("a_slab") == F.col("slab"))
     return pairs.where((F.col("a_dim") == F.col("dim")) & reach & condition)
 
 
