@@ -216,3 +216,20 @@ def test_vectors_with_gaps_have_no_score(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [None, 1.0]), (3, [1.0]), (4, None)], "chunk_id long, embedding array<float>")
     q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<float>")
     assert [(r["query_id"], r["chunk_id"]) for r in dense.score_matrix(v, q).collect()] == [(7, 1)]
+
+
+def test_best_matches_are_those_of_all_matches(spark, monkeypatch):
+    """Blocks of a few chunks and parts of a few questions give the same lists as a row for every match; equal texts tie by id."""
+    texts = [" ".join(f"w{(i * j) % 7}" for j in range(i % 5)) for i in range(120)]
+    index = lexical.build_index(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").repartition(4))
+    terms = lexical.query_terms(spark.createDataFrame([(1, "w1 w2 w2"), (2, "w3"), (3, "unknown"), (4, "w0 w6 w5 w4"), (5, "")], "query_id int, q string"))
+    every = lexical.bm25_matches(index, terms).withColumn("bm25", F.round("bm25", 6))
+    want = ranking.top_k(every, "query_id", 6, [F.desc("bm25"), F.asc("chunk_id")])
+    shared = index.postings.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("bm25"))
+    most = ranking.top_k(shared, "query_id", 6, [F.desc("bm25"), F.asc("chunk_id")])
+    for megabytes, cells in ((64, 1 << 20), (1e-4, 30)):
+        monkeypatch.setattr(lexical, "WEIGHTS_MB", megabytes)
+        monkeypatch.setattr(lexical, "CELLS", cells)
+        for found, own in ((lexical.best_matches(index, terms, 6), want), (lexical.best_matches(index, terms, 6, shared=True), most)):
+            columns = ["query_id", "chunk_id", "bm25", "rank"]
+            assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, own.select(*columns).collect()))

@@ -54,8 +54,7 @@ def bm25_idf(spark: S, d: str) -> DataFrame:
 
 @query(f"with {data.BM25}, r as (select query_id, chunk_id, round(bm25, 6) bm25, row_number() over (partition by query_id order by round(bm25, 6) desc, chunk_id) as rank from matches) select * from r where rank <= 10")
 def bm25_topk(spark: S, d: str) -> DataFrame:
-    found = lexical.bm25_matches(data.index(spark, d), lexical.query_terms(data.questions(spark, d))).withColumn("bm25", F.round("bm25", 6))
-    return fusion.top_k(found, "query_id", 10, [F.desc("bm25"), F.asc("chunk_id")]).withColumn("rank", F.col("rank").cast("long"))
+    return lexical.best_matches(data.index(spark, d), lexical.query_terms(data.questions(spark, d)), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 _TOP10 = "r as (select query_id, chunk_id, round(bm25, 6) bm25, row_number() over (partition by query_id order by round(bm25, 6) desc, chunk_id) as rank from matches) select * from r where rank <= 10"
@@ -148,9 +147,8 @@ def rare_terms(spark: S, d: str) -> DataFrame:
 
 def _nearest(spark: S, d: str, index: lexical.Index, questions: DataFrame) -> DataFrame:
     """Each question's chunk with the most of its distinct terms, ties by id."""
-    terms = lexical.query_terms(questions)
-    shared = index.postings_of(terms).join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"))
-    return fusion.top_k(shared, "query_id", 1, [F.desc("n"), F.asc("chunk_id")]).select("query_id", "chunk_id").join(data.chunks(spark, d), "chunk_id")
+    best = lexical.best_matches(index, lexical.query_terms(questions), 1, shared=True)
+    return data.chunks(spark, d).join(small_side(stage(best.select("query_id", "chunk_id"), "nearest")), "chunk_id")
 
 
 _CONTENT = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) > 2 and not list_contains([" + ", ".join(repr(w) for w in tx.STOP_WORDS) + "], x)))"
@@ -335,9 +333,8 @@ def rerank_topk(spark: S, d: str) -> DataFrame:
     r as (select query_id, row_number() over (partition by query_id order by rerank_score desc, chunk_id) as rank, chunk_id, rerank_score from c) select * from r where rank <= 5""")
 def rerank_bm25_recall(spark: S, d: str) -> DataFrame:
     """Rerank over another recall source: BM25 alone."""
-    found = lexical.bm25_matches(data.index(spark, d), lexical.query_terms(data.questions(spark, d))).withColumn("bm25", F.round("bm25", 8))
-    top = fusion.top_k(found, "query_id", 20, [F.desc("bm25"), F.asc("chunk_id")]).select("query_id", "chunk_id")
-    cand = top.join(data.questions(spark, d), "query_id").join(data.chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    top = lexical.best_matches(data.index(spark, d), lexical.query_terms(data.questions(spark, d)), 20, digits=8).select("query_id", "chunk_id")
+    cand = small_side(stage(top, "recalled")).join(data.questions(spark, d), "query_id").join(data.chunks(spark, d).select("chunk_id", "text"), "chunk_id")
     return fusion.rerank(cand).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "rerank_score")
 
 
