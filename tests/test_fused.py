@@ -69,3 +69,24 @@ def test_no_questions_and_no_chunks(spark):
     assert sorted((r["query_id"], r["chunk_id"], r["r_bm25"]) for f in found for r in f.collect()) == [(1, 1, 0), (2, 1, 0)]
     for a, b in ((chunks.where("false"), questions), (chunks, questions.where("false"))):
         assert sum(fused.candidates(p, 4).count() for p in fused.parts(lexical.build_index(a), b, v, qv)) == 0
+
+
+def test_rankings_begin_as_the_whole_and_reach_what_is_sought(spark):
+    """The ranking holds the first chunks, goes on to the first of each group, and no further question by question."""
+    texts, vectors, questions, q_vectors = small(3, 400)
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").repartition(3)
+    index = lexical.build_index(chunks)
+    v = spark.createDataFrame(list(vectors.items()), "chunk_id long, embedding array<double>")
+    qv = spark.createDataFrame(list(q_vectors.items()), "query_id int, embedding array<double>")
+    (part,) = fused.parts(index, spark.createDataFrame(questions, "query_id int, q string"), v, qv)
+    want = grid(texts, vectors, questions, q_vectors, index, spark, lambda c: False)
+    whole = {q: [c for _, c in sorted((-round(1 / (61 + r[0]) + 1 / (61 + r[1]), 10), c) for c, r in own.items())] for q, own in want.items() if q in part.ids}
+    deep = {q: own[-1 if q == 2 else 150 if q == 3 else 2] for q, own in whole.items()}
+    found = spark.createDataFrame([(q, "g", c) for q, c in deep.items()], "query_id int, gold string, chunk_id long")
+    got = {}
+    for r in fused.ranked_until(part, fusion.rrf("r_cosine", "r_bm25"), found, ["query_id", "gold"], 10).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["chunk_id"]
+    for q, own in whole.items():
+        assert [got[q][i + 1] for i in range(len(got[q]))] == own[: len(got[q])]
+        assert len(got[q]) >= 10 and deep[q] in got[q].values()
+    assert len(got[2]) == 400 and min(map(len, got.values())) < 400

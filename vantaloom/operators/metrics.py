@@ -97,6 +97,11 @@ def hit_matrix(done: DataFrame, ks=(1, 3, 5, 10)) -> DataFrame:
     return done.select("query_id", *[F.coalesce(F.col("done") <= k, F.lit(False)).alias(f"hit_{k}") for k in ks])
 
 
+def gains(found: DataFrame, unit: str = "chunk_id") -> DataFrame:
+    """(query_id, rel): how many gold strings of the query each unit that has one holds."""
+    return found.groupBy("query_id", unit).agg(F.countDistinct("gold").alias("rel")).select("query_id", "rel")
+
+
 def relevance(ranked: DataFrame, found: DataFrame) -> DataFrame:
     """(query_id, chunk_id, rank, rel): how many gold strings of the query each chunk holds; chunks without one are left out."""
     rel = found.groupBy("query_id", "chunk_id").agg(F.countDistinct("gold").alias("rel"))
@@ -178,7 +183,7 @@ def parent_report(chunk_done: DataFrame, placed: DataFrame, parents: DataFrame,
     """One row for each k: recall by chunks, by parent passages and within a budget, the ceiling, attainment and context sizes.
 
     ``chunk_done`` (query_id, done) is the completion by chunks; ``placed`` (query_id,
-    parent, rank) ranks every parent by its first chunk; ``parents`` has (parent, text).
+    parent, rank) ranks parents by their first chunk, the first ten and all before a gold string's first; ``parents`` has (parent, text).
     Attainment is parent recall as a share of the ceiling, the questions whose gold
     strings k parents can hold at all. MRR, nDCG and the sizes of the contexts of the
     largest k stand in every row.
@@ -204,7 +209,7 @@ def parent_report(chunk_done: DataFrame, placed: DataFrame, parents: DataFrame,
     n = F.col("chars")
     sizes = chars.where(F.col("k") == most).agg(F.count_if(n > budget).alias("n_truncated"), F.percentile(n, 0.5).alias("median_chars"), F.round(F.percentile(n, 0.95), 6).alias("p95_chars"), F.max(n).alias("max_chars"))
     mrr = done.agg(F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("parent_done"), F.lit(0.0))), 6).alias("mrr"))
-    for one in (mrr, mean_ndcg(rel, gold.select("query_id").distinct(), (5, 10)), sizes):
+    for one in (mrr, mean_ndcg(rel, gold.select("query_id").distinct(), (5, 10), gains(found, "parent")), sizes):
         out = out.crossJoin(F.broadcast(one))  # one row each
     return out
 

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantaloom.functions import text as tx
-from vantaloom.operators import code, fusion, integrity, judging, metrics, paired
+from vantaloom.operators import code, fused, fusion, integrity, judging, metrics, paired
 from vantaloom.plans import data
 from vantaloom.plans.registry import query
 from vantaloom.plans.retrieval import GRID_SQL, _pack_sql, strategies_of
 from vantaloom.sources import corpus
-from vantaloom.sources.runtime import scratch, stage, table
+from vantaloom.sources.runtime import scratch, small_side, stage, table
 
 S = SparkSession
 
 
-def full_ranking(spark: S, d: str) -> DataFrame:
-    """(query_id, rank, chunk_id) over all chunks, by the fused score."""
-    fused = data.ranked(spark, d).withColumn("fused", F.round(fusion.rrf("r_cosine", "r_bm25"), 10))
-    ranked = fusion.rank_within(fused, "query_id", "fused", "chunk_id", "rank", common=None)
-    return ranked.select("query_id", "rank", "chunk_id")
+def top_ranking(spark: S, d: str, depth: int = 10) -> DataFrame:
+    """(query_id, rank, chunk_id) of the best chunks by the fused score, from candidates."""
+    score = fusion.rrf("r_cosine", "r_bm25")
+    found = fusion.fuse(data.candidates(spark, d, [(score, depth)]), score, depth)
+    return small_side(stage(found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id"), "top-ranking"))
+
+
+def ranking_to_gold(spark: S, d: str, found: DataFrame, least: int = 10) -> DataFrame:
+    """(query_id, rank, chunk_id): of each question the first ``least`` chunks at least, and all up to the first one with each of its gold strings that occurs."""
+    ranked = [fused.ranked_until(part, fusion.rrf("r_cosine", "r_bm25"), found, ["query_id", "gold"], least) for part in data.parts(spark, d)]
+    return small_side(reduce(DataFrame.unionByName, ranked))
 
 
 def found_gold(spark: S, d: str) -> DataFrame:
@@ -31,13 +39,16 @@ _HITS = f"""{data.FUSED}, {data.GOLD}, hits as (select g.query_id, g.gold, min(c
     done as (select query_id, case when count(first_at) = count(*) then max(first_at) end done from hits group by query_id)"""
 
 
-def _hits(spark: S, d: str) -> DataFrame:
-    return metrics.gold_hits(full_ranking(spark, d), data.gold(spark, d), found_gold(spark, d))
+def _hits(spark: S, d: str, depth: int | None = 10) -> DataFrame:
+    """First ranks of the gold strings, null beyond ``depth``; without a depth wherever they are."""
+    found = found_gold(spark, d) if depth else stage(found_gold(spark, d), "gold-found")
+    ranking = top_ranking(spark, d, depth) if depth else ranking_to_gold(spark, d, found)
+    return metrics.gold_hits(ranking, data.gold(spark, d), found)
 
 
 @query(f"""with {_HITS} select count(*) n_queries, {', '.join(f"round(avg(case when done <= {k} then 1.0::double else 0.0::double end), 6) recall_{k}" for k in (1, 3, 5, 10))}, round(avg(coalesce(1.0::double / done, 0.0::double)), 6) mrr from done""")
 def recall_and_mrr(spark: S, d: str) -> DataFrame:
-    return metrics.recall_and_mrr(metrics.completion(_hits(spark, d)))
+    return metrics.recall_and_mrr(metrics.completion(_hits(spark, d, None)))
 
 
 @query(f"with {_HITS} select query_id, {', '.join(f'coalesce(done <= {k}, false) hit_{k}' for k in (1, 3, 5, 10))} from done")
@@ -56,9 +67,9 @@ def miss_report(spark: S, d: str) -> DataFrame:
     sums as (select query_id, sum(case when rank <= 10 then rel / log2(rank + 1) else 0 end) dcg, sum(case when ideal <= 10 then rel / log2(ideal + 1) else 0 end) idcg from best group by query_id)
     select query_id, round(case when idcg > 0 then dcg / idcg else 0.0 end, 6) ndcg from sums""")
 def ndcg(spark: S, d: str) -> DataFrame:
-    ranking = full_ranking(spark, d)
-    rel = metrics.relevance(ranking, found_gold(spark, d))
-    return metrics.ndcg(rel, rel.select("query_id", "rel"), data.questions(spark, d).join(data.gold(spark, d), "query_id", "left_semi"))
+    found = found_gold(spark, d)
+    rel = metrics.relevance(top_ranking(spark, d), found)
+    return metrics.ndcg(rel, metrics.gains(found), data.questions(spark, d).join(data.gold(spark, d), "query_id", "left_semi"))
 
 
 _CEILING = f"""{data.CHUNKS}, {data.QUESTIONS}, {data.GOLD}, g as (select query_id, gold, row_number() over (partition by query_id order by gold) - 1 i from gold),
@@ -97,12 +108,21 @@ _PARENTS = f"""{_HITS}, {data.PASSAGES}, ptexts as (select distinct parent, pare
     from rates, pndcg, (select count(*) filter (chars > 8000) n_truncated, median(chars)::double median_chars, round(quantile_cont(chars, 0.95), 6) p95_chars, max(chars)::bigint max_chars from sizes where k = 10) z""")
 def parent_report(spark: S, d: str) -> DataFrame:
     """Passages of four chunks as parents, for every k: recall, budget, ceiling and attainment, MRR, nDCG and context sizes."""
-    ranking, gold = full_ranking(spark, d), data.gold(spark, d)
+    gold = data.gold(spark, d)
+    found = stage(found_gold(spark, d), "gold-found")
     passages = stage(data.parents(spark, d), "passages")
-    first = ranking.join(passages.select("chunk_id", "parent"), "chunk_id").groupBy("query_id", "parent").agg((-F.min("rank")).alias("up"), F.min("chunk_id").alias("tie"))
+    texts = stage(passages.select("parent", "text").distinct(), "parents")
+    enough, least = texts.limit(10).count(), 160
+    while True:  # four chunks are a passage, but equal passages are one, so it is seen whether the first ten are there
+        ranking = ranking_to_gold(spark, d, found, least)
+        first = passages.select("chunk_id", "parent").join(ranking, "chunk_id").groupBy("query_id", "parent").agg((-F.min("rank")).alias("up"), F.min("chunk_id").alias("tie"))
+        first = stage(first, "first-chunks")
+        if first.groupBy("query_id").count().where(F.col("count") < enough).isEmpty():
+            break
+        least *= 8
     placed = fusion.rank_within(first, "query_id", "up", "tie", "rank", common=None).select("query_id", "parent", "rank")
-    done = metrics.completion(metrics.gold_hits(ranking, gold, found_gold(spark, d)))
-    return metrics.parent_report(done, placed, passages.select("parent", "text").distinct(), gold)
+    done = metrics.completion(metrics.gold_hits(ranking, gold, found))
+    return metrics.parent_report(done, placed, texts, gold)
 
 
 _WHOLE = "(^|[^A-Za-z0-9_])' || gold || '([^A-Za-z0-9_]|$)"
@@ -119,7 +139,7 @@ def code_recall(spark: S, d: str) -> DataFrame:
     """The metrics of code search: gold strings count as whole identifiers, among the first ten chunks."""
     gold = data.gold(spark, d)
     whole = stage(metrics.occurrences(data.chunks(spark, d), gold, whole=True), "whole-found")
-    return metrics.code_report(full_ranking(spark, d), gold, whole)
+    return metrics.code_report(top_ranking(spark, d), gold, whole)
 
 
 _FIRST = f"""{GRID_SQL}, {data.GOLD}, target as (select query_id, min(gold) gold from gold group by query_id), tiers as (select distinct strategy, depth, query_id, gold, case when query_id % 2 = 0 then 'A' else 'B' end tier from long join target using (query_id)),
