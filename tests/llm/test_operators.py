@@ -739,3 +739,28 @@ def test_redaction_in_windows_equals_a_loop(spark):
     rows = spark.createDataFrame(docs, "doc_id int, text string, __c0 string")
     clean = secrets.redact(rows, spark.createDataFrame(found, f"blob string, spans {secrets.SPANS}"))
     assert clean.columns == rows.columns and {r[0]: r[1] for r in clean.collect()} == want
+
+
+def test_ngram_columns_of_one_set_do_not_move(spark, monkeypatch):
+    """Copies in many partitions stand for one set, so only columns that different sets share are counted with their sets."""
+    import pyarrow as pa
+
+    def packed(keys):
+        return np.sort(np.array(keys, dtype="<u4")).tobytes()
+
+    rows = spark.createDataFrame([(0, packed([5, 7, 7])), (1, packed([5])), (0, packed([5, 9])), (1023, packed([1])), (1023, packed([1, 1, 2]))], "bucket int, keys binary").repartition(5)
+    assert sorted(r[0] for r in ngram_join._shared_keys(rows).collect()) == [5, 7, (1023 << 32) + 1]
+
+    monkeypatch.setattr(ngram_join, "KEYS", 50)
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = [(i, f"{common} " + " ".join(f"w{i % 4}x{j}" for j in range(5 * (i % 4)))) for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    sent = spark.sparkContext.broadcast
+    reps = sent(ngram_join._filter_of(spark.createDataFrame([(i,) for i in range(4)], "id long")))
+    sketch = sent(np.zeros(1 << 10, np.uint32).tobytes())
+    alone = ngram_join._prefixes(docs.where("doc_id % 4 = 3"), sketch, 80, reps)
+    assert ngram_join._shared_keys(alone).count() == 0
+    sets = {i: set(next(iter(shingles.shingle_sets(pa.array([t]))))) for i, t in texts[:4]}
+    want = {i: min(j for j in range(4) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in range(4)}
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
+    assert want[1] == want[0] and want[3] == 3 and got == {i: want[i % 4] if want[i % 4] != 1 else 0 for i in range(80)}

@@ -7,7 +7,8 @@ ceil(t (x + y) / (1 + t)), hence x >= t y, and a shared column among the first
 x - ceil(t x) + 1 of either row: only that prefix of each row enters the first product.
 
 1. One pass over the texts: each row's fingerprint and size, and the count sketch.
-2. Columns of the prefixes that several rows share (a count that combines first).
+2. Columns of the prefixes that several rows share: first by short keys, sorted and packed, which
+   tell most columns apart, then by a count of the rest. Rows whose id stands for no set stay out.
 3. Columns shared by at most ``light`` rows: their pairs, with the overlap so far and
    the last shared places, summed by pair; pairs whose bound
    overlap + least of what is left stays below the need are dropped.
@@ -55,6 +56,7 @@ from vantaloom.sources.runtime import arrow_batches, ship_package, stage
 SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_ROWS = 20, 22, 256
 FILTER_BITS, MOST_FILTER_BITS = 20, 26
 LIGHT, CHUNK, COLUMNS = 24, 384, 8192
+KEY_BITS, BUCKET_BITS, KEYS = 42, 10, 1 << 20  # of a shingle in the first count, of these its bucket, and how many a task sorts at a time
 
 
 def need(x, y, percent: int):
@@ -156,16 +158,32 @@ def _sketch(first: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _prefixes(texts: DataFrame, sketch, percent: int, only=None) -> DataFrame:
-    """(shingle, set name, size, place) of each row's prefix; each set once a task. ``only``: a filter of shingles."""
+def _prefixes(texts: DataFrame, sketch, percent: int, reps, only=None) -> DataFrame:
+    """(shingle, set name, size, place) of each row's prefix; each set once a task.
+
+    ``reps``: a filter of the ids that stand for their set; ``only``: one of shingles' first ``KEY_BITS`` bits. Without
+    it the rows are (bucket, keys): these bits alone, sorted, a key that several sets have at least twice.
+    """
+    drop, low = np.uint64(64 - KEY_BITS), np.uint64(KEY_BITS - BUCKET_BITS)
+
+    def packed(keys: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(keys).view(np.uint64) >> drop) if keys else np.zeros(0, np.uint64)
+        twice = np.concatenate([every[:2], every[2:][every[2:] != every[:-2]]])  # no key more than twice
+        bucket = (twice >> low).astype(np.int32)
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        parts = np.split((twice & np.uint64((1 << int(low)) - 1)).astype("<u4"), at[1:]) if len(at) else []
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["bucket", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(sketch.value, np.uint32)
         shift = np.uint64(64 - (len(counts).bit_length() - 1))
         wanted = _Filter(np.frombuffer(only.value, np.uint64)) if only is not None else None
+        standing = _Filter(np.frombuffer(reps.value, np.uint64))
         seen: set[int] = set()
+        loose, n_loose = [], 0
         with np.errstate(over="ignore"):
             for batch in batches:
+                batch = _standing(batch, standing)
                 keys, names, sizes, places = [], [], [], []
 
                 def flush() -> pa.RecordBatch:
@@ -186,9 +204,15 @@ def _prefixes(texts: DataFrame, sketch, percent: int, only=None) -> DataFrame:
                     first = np.lexsort((own, rank))[:k]
                     place = np.arange(k, dtype=np.int32)
                     key = own[first]
-                    if wanted is not None:
-                        keep = wanted.has(key)
-                        key, place = key[keep], place[keep]
+                    if wanted is None:
+                        loose.append(key)
+                        n_loose += len(key)
+                        if n_loose >= KEYS:
+                            yield packed(loose)
+                            loose, n_loose = [], 0
+                        continue
+                    keep = wanted.has(key >> drop)
+                    key, place = key[keep], place[keep]
                     if not len(key):
                         continue
                     keys.append(_signed(key))
@@ -199,18 +223,53 @@ def _prefixes(texts: DataFrame, sketch, percent: int, only=None) -> DataFrame:
                     if held > 200_000:
                         yield flush()
                         keys, names, sizes, places, held = [], [], [], [], 0
-                yield flush()
+                if wanted is not None:
+                    yield flush()
+            if wanted is None:
+                yield packed(loose)
+
+    return texts.mapInArrow(run, "shingle long, name long, n int, place int" if only is not None else "bucket int, keys binary")
+
+
+def _standing(batch: pa.RecordBatch, reps: _Filter) -> pa.RecordBatch:
+    """The rows of a batch whose id may stand for a set, and those without an id."""
+    ids = batch.column(0)
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(~known | reps.has(ids.fill_null(0).to_numpy())))
+
+
+def _shared_keys(packed: DataFrame) -> DataFrame:
+    """(key): the shingles' first bits that are there twice or more, of (bucket, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def several() -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
+            keys = np.unique(keys[1:][keys[1:] == keys[:-1]]).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys + ((at or 0) << (KEY_BITS - BUCKET_BITS)), pa.int64())], names=["key"])
+
+        for batch in batches:
+            for bucket, keys in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != at:
+                    yield several()
+                    held, at = [], bucket
+                held.append(np.frombuffer(keys.as_py(), "<u4"))
+        yield several()
 
-    return texts.mapInArrow(run, "shingle long, name long, n int, place int")
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long")
 
 
-def _sets(texts: DataFrame, wanted) -> DataFrame:
+def _sets(texts: DataFrame, wanted, reps) -> DataFrame:
     """(name, set as bytes) of the sets a filter asks for, each once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, seen = _Filter(np.frombuffer(wanted.value, np.uint64)), set()
+        standing = _Filter(np.frombuffer(reps.value, np.uint64))
         with np.errstate(over="ignore"):
             for batch in batches:
+                batch = _standing(batch, standing)
                 own = [(fingerprint(s), s) for s in shingle_sets(batch.column(1)) if len(s)]
                 hit = asked.has(np.array([n for n, _ in own], dtype=np.int64)) if own else []
                 names, sets = [], []
@@ -337,19 +396,22 @@ def _links(docs: DataFrame, text_col: str, id_col: str, percent: int) -> tuple[D
     classes = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("rep"))
     sketch = context.broadcast(_sketch(first, bits).tobytes())
 
-    counted = _prefixes(texts, sketch, percent).groupBy("shingle").agg(F.count("*").alias("rows"), F.min("name").alias("low"), F.max("name").alias("high"))
-    shared = stage(counted.where("low <> high"), "ngram-columns")
-    columns = context.broadcast(_filter_of(shared.select("shingle")))
-    members = stage(_prefixes(texts, sketch, percent, columns).join(shared, "shingle").select("shingle", "name", "n", "place", "rows", "low"), "ngram-members")
+    reps = context.broadcast(_filter_of(classes.where("rep is not null").select("rep")))
+    # What several sets share is told from short keys first; few shingles are left to move with their sets.
+    columns = context.broadcast(_filter_of(stage(_shared_keys(_prefixes(texts, sketch, percent, reps)), "ngram-keys")))
+    found = stage(_prefixes(texts, sketch, percent, reps, columns), "ngram-prefixes")
+    counted = found.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("name").alias("low"), F.max("name").alias("high"))
+    members = stage(found.join(counted.where("low <> high").select(again("shingle"), "rows", "low"), "shingle").select("shingle", "name", "n", "place", "rows", "low"), "ngram-members")
 
     light = _light_pairs(members.where(F.col("rows") <= LIGHT), percent)
     heavy = members.where(F.col("rows") > LIGHT)
     pairs = stage(light.union(_leader_pairs(heavy, percent)).distinct(), "ngram-pairs")
 
     def sets_of(names: DataFrame) -> DataFrame:
-        return stage(_sets(texts, context.broadcast(_filter_of(names))).dropDuplicates(["name"]), "ngram-sets", "none")
+        return _sets(texts, context.broadcast(_filter_of(names)), reps).dropDuplicates(["name"])
 
-    near = _verify(pairs, sets_of(pairs.select("a").union(pairs.select("b"))), percent)
+    # Sets are dealt by name once, and joined as they lie.
+    near = stage(_verify(pairs, sets_of(pairs.select("a").union(pairs.select("b"))), percent), "ngram-near")
     tied = stage(connected_components(near), "ngram-tied")
     left = stage(_untied(heavy, tied), "ngram-untied")
     if not left.limit(1).count():
