@@ -133,3 +133,24 @@ def test_tokenizer_stays_that_of_the_index(spark, tmp_path):
     index = Postings(spark, str(tmp_path / "index"), tokenizer=tx.tokens_cased)
     index.apply(frame(spark, {1: "Spark spark"}))
     assert {r["term"] for r in index.frequency.collect()} == {"Spark", "spark"}
+
+
+def test_a_search_moves_no_row_for_a_query_and_a_block(spark, tmp_path):
+    """What is dealt is a row for a block and a term, however many queries ask for the term."""
+    index = Postings(spark, str(tmp_path / "index"))
+    texts = {i: "row key" if i % 3 else "row" for i in range(400)}
+    index.apply(frame(spark, texts))
+    index.apply(frame(spark, {i: "key" for i in range(0, 400, 5)}), spark.createDataFrame([(7,)], "chunk_id long"))
+    texts = {i: "key" if i % 5 == 0 else t for i, t in texts.items() if i != 7}
+    questions = {q: "row key row" if q % 2 else "row" for q in range(300)}
+    got, _ = ask(spark, index, questions, k=3)
+    assert got == plain(texts, questions, 3)
+    plan = index.search(lexical.query_terms(spark.createDataFrame(list(questions.items()), "query_id int, q string")), 3)[0]._jdf.queryExecution().toString()
+    assert "bound#" not in plan
+
+
+def test_blocks_lie_whole_in_one_file(spark, tmp_path):
+    index = Postings(spark, str(tmp_path / "index"), bits=2)
+    index.apply(frame(spark, {i: "row key task" for i in range(64)}))
+    files = index.read("blocks").withColumn("file", F.input_file_name()).groupBy("block").agg(F.countDistinct("file").alias("n"), F.count("*").alias("terms"))
+    assert [tuple(r) for r in files.select("n", "terms").distinct().collect()] == [(1, 3)]

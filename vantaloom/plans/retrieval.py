@@ -113,7 +113,7 @@ def index_contexts(spark: S, d: str) -> DataFrame:
     def answers() -> DataFrame:
         if not index.exists:
             return context.or_message(asked, None)
-        top = index.search(lexical.query_terms(asked), 3)[0].join(own, "chunk_id")
+        top = small_side(stage(index.search(lexical.query_terms(asked), 3)[0], "nearest")).join(own, "chunk_id")  # texts stay where they are
         return context.or_message(asked, context.join_context(top, ["query_id"]))
 
     before = answers().select("query_id", F.sha1(F.col("context").cast("binary")).alias("before"))
