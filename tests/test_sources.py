@@ -81,3 +81,30 @@ def test_evaluation_sets(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"id": "t", "facts": [{"desc": "d", "checks": [{"kind": "kwarg", "name": "n", "value": 16, "not": true}]}], "seed": {"a.py": "x"}}\n')
     task = evalsets.read_set(spark, str(tmp_path / "t.json"), evalsets.TASKS).first()
     assert task["facts"][0]["checks"][0]["value"] == "16" and task["facts"][0]["checks"][0]["not"] and task["seed"] == {"a.py": "x"}
+
+
+def test_tasks_list_what_spark_hides(spark, folder, monkeypatch):
+    monkeypatch.setattr(corpus, "_globbed", lambda *_: pytest.fail("the driver listed the folders"))
+    (folder / "b" / "deep" / "_q").mkdir(parents=True)
+    (folder / "b" / "deep" / "_q" / "_h i.py").write_text("12")
+    files, inner = corpus.underscored(spark, [str(folder)])
+    at = f"file:{folder}"
+    assert files == [(f"{at}/b/__init__.py", 0), (f"{at}/b/deep/_q/_h i.py", 2)] and inner == [f"{at}/_p", f"{at}/b/deep/_q"]
+    monkeypatch.undo()
+    assert corpus._globbed(spark, [str(folder)], 32) == (files, inner)
+
+
+def test_a_document_is_a_file_and_not_a_folder(spark, tmp_path, rows):
+    from vantaloom.plans import files
+
+    own = [(i, f"text {i}\n", "a b" if i % 2 else None) for i in range(60)] + [(7, "again", "c"), (None, None, "c")]
+    spark.createDataFrame(own, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    path = files._tree(spark, str(tmp_path)).removeprefix("file://")
+    import pathlib
+
+    made = list(pathlib.Path(path).rglob("*"))
+    assert sum(p.is_file() for p in made) == len(own) and sum(p.is_dir() for p in made) == 6
+    import hashlib
+
+    digest = lambda t: hashlib.sha1(((t or "") + "\n").encode()).hexdigest()
+    assert rows(files.source_documents(spark, str(tmp_path))) == sorted(((i, digest(t)) for i, t, _ in own), key=repr)

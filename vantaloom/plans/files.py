@@ -11,22 +11,27 @@ from pyspark.sql import functions as F
 from vantaloom.plans import data
 from vantaloom.plans.registry import query
 from vantaloom.sources import corpus, evalsets
-from vantaloom.sources.runtime import scratch, table
+from vantaloom.sources.runtime import scratch, spread, table
 
 S = SparkSession
 
 
 def _tree(spark: S, d: str) -> str:
+    """Files of the documents in a folder of their source, some thousands in each folder inside it."""
     path = scratch(spark, "tree")
-    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    docs.write.partitionBy("source", "doc_id").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").text(path)
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # As Spark's own partition folders: characters that a path can't hold are written in hexadecimal.
+    source = F.regexp_replace(F.url_encode("source"), r"\+", " ")
+    folder = F.concat(F.lit("source="), source, F.lit("/part="), F.coalesce(F.shiftright("doc_id", 12), F.lit(0)))
+    name = F.concat(F.lit("doc_id="), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("."), F.monotonically_increasing_id(), F.lit(".txt"))
+    corpus.write_documents(spread(docs.select(folder.alias("folder"), name.alias("name"), F.concat("text", F.lit("\n")).alias("text"))), path)
     return path
 
 
 @query("select doc_id, sha1(coalesce(text, '') || chr(10)) digest from documents")
 def source_documents(spark: S, d: str) -> DataFrame:
     found = corpus.load_documents(spark, [_tree(spark, d)])
-    return found.select(F.regexp_extract("path", "doc_id=([0-9-]+)/[^/]*$", 1).cast("long").alias("doc_id"), F.sha1(F.col("text").cast("binary")).alias("digest"))
+    return found.select(F.regexp_extract("path", "doc_id=([0-9-]+)[.][^/]*$", 1).try_cast("long").alias("doc_id"), F.sha1(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("select 'source=' || coalesce(source, 'none') folder, count(*) n_files, sum(strlen(coalesce(text, '')) + 1)::bigint n_bytes from documents group by all")

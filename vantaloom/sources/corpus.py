@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vantaloom.sources.runtime import ship_package, stage
+
 
 def _suffix(path):
     return F.regexp_extract(path, r"(\.[^./]+)$", 1)
@@ -14,16 +23,65 @@ HIDDEN_MB = 256
 
 
 def underscored(spark: SparkSession, folders: list[str], deepest: int = 32) -> tuple[list[tuple[str, int]], list[str]]:
-    """Files (with sizes) and folders whose names begin with ``_``, which Spark's listing hides; byte-code folders are left out."""
+    """Files (with sizes) and folders whose names begin with ``_``, which Spark's listing hides; byte-code folders are left out.
+
+    Tasks list the folders, level by level, and only hidden names come to the driver; a store that
+    pyarrow doesn't know is listed by the driver.
+    """
+    try:
+        for folder in folders:
+            fs.FileSystem.from_uri(quote(_uri(folder), safe=":/"))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return _globbed(spark, folders, deepest)
+    ship_package(spark)
+    found = stage(_listed(spark.createDataFrame([(_uri(f),) for f in folders], "folder string")), "level")
+    levels = [found]
+    for _ in range(deepest):
+        inner = found.where("size < 0").select("path")
+        n = inner.count()
+        if not n:
+            break
+        tasks = max(1, min(n // 16, 8 * spark.sparkContext.defaultParallelism))
+        found = stage(_listed(inner.withColumnRenamed("path", "folder").repartition(tasks)), "level")
+        levels.append(found)
+    hidden = reduce(DataFrame.unionByName, levels).where("hidden").distinct().select("path", "size").collect()
+    return sorted((r["path"], r["size"]) for r in hidden if r["size"] >= 0), sorted(r["path"] for r in hidden if r["size"] < 0)
+
+
+def _uri(folder: str) -> str:
+    return folder.rstrip("/") if ":/" in folder else "file://" + os.path.abspath(folder)
+
+
+def _listed(folders: DataFrame) -> DataFrame:
+    """(path, size, hidden): the folders inside each ``folder``, of size -1, and its files whose names begin with ``_``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                scheme = uri[: uri.index(":")]
+                store, path = fs.FileSystem.from_uri(quote(uri, safe=":/"))
+                rows = []
+                for entry in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+                    name, is_folder = entry.base_name, entry.type == fs.FileType.Directory
+                    if "__pycache__" in name or not (is_folder or name.startswith("_")):
+                        continue
+                    own = f"{scheme}:{entry.path}" if scheme == "file" else f"{uri}/{name}"
+                    rows.append((own, -1 if is_folder else entry.size, name.startswith("_")))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in ((0, pa.string()), (1, pa.int64()), (2, pa.bool_()))], names=["path", "size", "hidden"])
+
+    return folders.mapInArrow(run, "path string, size long, hidden boolean")
+
+
+def _globbed(spark: SparkSession, folders: list[str], deepest: int) -> tuple[list[tuple[str, int]], list[str]]:
     jvm, files, inner = spark.sparkContext._jvm, {}, []
     for folder in folders:
         base = folder.rstrip("/")
-        fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         for depth in range(deepest):
             level = base + "/*" * depth
-            if depth and not fs.globStatus(jvm.org.apache.hadoop.fs.Path(level)):
+            if depth and not store.globStatus(jvm.org.apache.hadoop.fs.Path(level)):
                 break
-            for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(level + "/_*")) or []:
+            for status in store.globStatus(jvm.org.apache.hadoop.fs.Path(level + "/_*")) or []:
                 path = status.getPath().toString()
                 if "__pycache__" in path:
                     continue
@@ -38,6 +96,8 @@ def _files(spark: SparkSession, folders: list[str], contents: bool = True) -> Da
     """(path, length, content) of all files. Those that Spark hides (``__init__.py``) are few and small, and come through the driver."""
     hidden, inner = underscored(spark, folders)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([*folders, *inner])
+    if len(folders) + len(inner) > 1:  # they may lie in one another
+        raw = raw.dropDuplicates(["path"])
     if not hidden:
         return raw.select("path", "length", "content") if contents else raw.select("path", "length")
     if not contents:
@@ -53,6 +113,26 @@ def _files(spark: SparkSession, folders: list[str], contents: bool = True) -> Da
     return raw.select("path", "length", "content").unionByName(spark.createDataFrame(rows, "path string, length long, content binary"))
 
 
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Each row (folder, name, text) as a file of its own, written by the tasks; a task that runs again writes the same files."""
+    ship_package(docs.sparkSession)
+    root = _uri(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(quote(root, safe=":/"))
+        made = set()
+        for batch in batches:
+            for folder, name, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if folder not in made:
+                    store.create_dir(f"{base}/{folder}", recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{base}/{folder}/{name}", compression=None) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    docs.select("folder", "name", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def load_documents(spark: SparkSession, folders: list[str], extensions: tuple[str, ...] = (".md", ".py", ".txt"), skip: tuple[str, ...] = ("input.txt",)) -> DataFrame:
     """(path, text) of text files under the folders; files that are no UTF-8 are left out.
 
@@ -62,7 +142,7 @@ def load_documents(spark: SparkSession, folders: list[str], extensions: tuple[st
     name = F.substring_index("path", "/", -1)
     kept = raw.where(_suffix(F.col("path")).isin(list(extensions)) & ~F.contains("path", F.lit("__pycache__")) & ~name.isin(list(skip)))
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return kept.select("path", text.alias("text")).where("text is not null").dropDuplicates(["path"]).sort("path")
+    return stage(kept.select("path", text.alias("text")).where("text is not null"), "documents").sort("path")  # a sort reads its rows twice
 
 
 def load_python(spark: SparkSession, folders: list[str], root: str, max_files: int | None = None) -> DataFrame:
@@ -76,7 +156,7 @@ def load_python(spark: SparkSession, folders: list[str], root: str, max_files: i
 
 def folder_statistics(spark: SparkSession, root: str, top: int = 20) -> tuple[DataFrame, DataFrame]:
     """Files and bytes by folder, and the largest files of the root; contents are not read."""
-    meta = _files(spark, [root], False).dropDuplicates(["path"])
+    meta = _files(spark, [root], False)
     rel = F.regexp_replace("path", r"^file:(//)?", "")
     own = meta.withColumn("rel", F.substring(rel, F.lit(len(root.rstrip("/")) + 2), F.length(rel)))
     folder = F.when(F.contains("rel", F.lit("/")), F.substring_index("rel", "/", 1)).otherwise(F.lit("."))
