@@ -233,3 +233,12 @@ def test_best_matches_are_those_of_all_matches(spark, monkeypatch):
         for found, own in ((lexical.best_matches(index, terms, 6), want), (lexical.best_matches(index, terms, 6, shared=True), most)):
             columns = ["query_id", "chunk_id", "bm25", "rank"]
             assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, own.select(*columns).collect()))
+
+
+def test_rankings_of_a_group_are_fused_where_they_lie(spark, rows):
+    own = [(1, [["a", "b", "a"], ["b", None]]), (2, [["a"]]), (2, [["b", "a"], []]), (None, [["c"]]), (None, [["c"]]), (3, []), (4, None), (5, [None, ["a", ""]])]
+    groups = spark.createDataFrame(own, "group_id long, rankings array<array<string>>")
+    got = fusion.rrf_rankings(groups)
+    assert rows(got) == rows(fusion.rrf_lists(groups.select("group_id", F.explode("rankings").alias("items"))))
+    one = fusion.rrf_rankings(groups.where("group_id = 1"))
+    assert "MapInArrow" in one._jdf.queryExecution().executedPlan().toString() and len(one.collect()) == 3

@@ -6,19 +6,22 @@ query, ties by chunk id, and come from ``rank_within``, which needs no task a qu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vantaloom.functions.text import symbol_key, tokens
 from vantaloom.operators.ranking import rank_within, top_k
-from vantaloom.sources.runtime import ship_package
+from vantaloom.sources.runtime import ship_package, small_side, stage
 
 RRF_K, OVERVIEW_WEIGHT, RERANK_CHARS = 60, 0.3, 768
+_ROWS = 512  # groups whose rankings a task's Python fuses at a time
 SWEEP = (5, 10, 20, 30, 60, 100, 200)  # fixed values: the fusion constants that the sweep compares
 
 
@@ -91,6 +94,34 @@ def rrf_lists(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     return placed.groupBy("group_id", "item").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("pos") + 1)), 10).alias("score"))
 
 
+def rrf_rankings(groups: DataFrame, k: int = RRF_K) -> DataFrame:
+    """As ``rrf_lists``, from (group_id, rankings), an array of rankings a row. Only ids are shuffled, and the rankings of groups that have several rows."""
+    ship_package(groups.sparkSession)
+    several = small_side(stage(groups.groupBy(F.col("group_id").alias("g")).agg(F.count("*").alias("n")).where("n > 1").select("g"), "several"))
+    same = F.col("group_id").eqNullSafe(F.col("g"))
+
+    def fuse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                lists = batch.column(1)
+                of = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                own = lists.flatten()
+                n = pc.fill_null(pc.list_value_length(own), 0).to_numpy().astype(np.int64)
+                items = own.flatten().dictionary_encode(null_encoding="encode")
+                place = np.arange(len(items)) - np.repeat(np.cumsum(n) - n, n)
+                keys = np.repeat(of, n) * max(len(items.dictionary), 1) + items.indices.to_numpy()
+                keys, at = np.unique(keys, return_inverse=True)
+                row, item = np.divmod(keys, max(len(items.dictionary), 1))
+                score = np.bincount(at, 1.0 / (k + place + 1), len(keys))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), items.dictionary.take(pa.array(item)), pa.array(score)], names=["group_id", "item", "score"])
+
+    id_type, item_type = groups.schema["group_id"].dataType.simpleString(), groups.schema["rankings"].dataType.elementType.elementType.simpleString()
+    alone = groups.join(several, same, "left_anti").select("group_id", "rankings").mapInArrow(fuse_rows, f"group_id {id_type}, item {item_type}, score double")
+    rest = groups.join(several, same, "left_semi").select("group_id", F.explode("rankings").alias("items"))
+    return alone.withColumn("score", F.round("score", 10)).unionByName(rrf_lists(rest, k))
+
+
 def downweight(score: Column, is_overview: Column, weight: float = OVERVIEW_WEIGHT) -> Column:
     """Scores of overview chunks times a weight (which lifts negative scores, as it is meant to)."""
     return F.when(is_overview, score * F.lit(weight)).otherwise(score)

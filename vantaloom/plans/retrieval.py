@@ -233,8 +233,7 @@ def rrf_k_sweep(spark: S, d: str) -> DataFrame:
 def rrf_lists(spark: S, d: str) -> DataFrame:
     """Two rankings of each document's words, as they stand and backwards, fused."""
     words = F.split(F.coalesce("text", F.lit("")), " ", -1)
-    lists = table(spark, d, "documents").select(F.col("doc_id").alias("group_id"), F.explode(F.array(words, F.reverse(words))).alias("items"))
-    return fusion.rrf_lists(lists)
+    return fusion.rrf_rankings(table(spark, d, "documents").select(F.col("doc_id").alias("group_id"), F.array(words, F.reverse(words)).alias("rankings")))
 
 
 _STRATEGIES = {"s1_rrf_20": (data.RRF, 20), "s2_vector_20": ("-r_cosine::double", 20), "s3_weighted_20": (f"round({_WEIGHTED}, 10)", 20), "s4_rrf_40": (data.RRF, 40), "s5_min_rank_20": (f"round({_MIN_RANK}, 10)", 20), "s6_vector_40": ("-r_cosine::double", 40)}
