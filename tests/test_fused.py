@@ -90,3 +90,12 @@ def test_rankings_begin_as_the_whole_and_reach_what_is_sought(spark):
         assert [got[q][i + 1] for i in range(len(got[q]))] == own[: len(got[q])]
         assert len(got[q]) >= 10 and deep[q] in got[q].values()
     assert len(got[2]) == 400 and min(map(len, got.values())) < 400
+
+
+def test_stage_diagnosis_makes_no_grid(spark, monkeypatch):
+    def grid(*_, **__):
+        raise AssertionError("a row for every question and chunk")
+
+    monkeypatch.setattr(lexical, "with_all_chunks", grid)
+    got = __import__("__spark_entry__").queries()["stage_diagnosis"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 40 and all((r["recalled"]) == ((r["rank_fused"] or 99) <= 20) for r in got)

@@ -250,13 +250,6 @@ def strategies_of(spark: S, d: str) -> DataFrame:
     return fusion.strategy_grid(data.candidates(spark, d, [(s.score, s.depth) for s in fusion.strategies()]))
 
 
-def _code_scores(spark: S, d: str) -> DataFrame:
-    """Both scores with overview chunks weighted down, then ranked."""
-    own = data.scores(spark, d).join(data.chunks(spark, d).select("chunk_id", "is_overview", "symbol"), "chunk_id")
-    down = own.withColumns({n: F.round(fusion.downweight(F.col(n), F.col("is_overview")), 8) for n in ("bm25", "cosine")})
-    return fusion.with_ranks(down, "cosine", "bm25")
-
-
 _DOWN = f"""{data.SCORES}, down as (select query_id, chunk_id, is_overview, symbol, text, round(case when is_overview then bm25 * 0.3::double else bm25 end, 8) bm25, round(case when is_overview then cosine * 0.3::double else cosine end, 8) cosine from scores),
     ranked as (select *, row_number() over (partition by query_id order by cosine desc, chunk_id) - 1 r_cosine, row_number() over (partition by query_id order by bm25 desc, chunk_id) - 1 r_bm25 from down),
     fused as (select *, {data.RRF} fused from ranked)"""
@@ -276,11 +269,11 @@ def symbol_dedup_topn(spark: S, d: str) -> DataFrame:
     return _symbols(spark, d).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "symbol", "fused")
 
 
-def _symbols(spark: S, d: str, top: int = 20) -> DataFrame:
+def _symbols(spark: S, d: str, top: int = 20, parts: list[fused.Part] | None = None) -> DataFrame:
     """The best part of the best symbols, by candidates of a depth at which no other part can be among them."""
     score, symbols = fusion.rrf("r_cosine", "r_bm25"), data.chunks(spark, d).select("chunk_id", "is_overview", "symbol")
     found = []
-    for part in data.parts(spark, d, lighter=True):
+    for part in parts or data.parts(spark, d, lighter=True):
         depth = fused.enough(part, [(score, top)])
         while True:
             known = fused.candidates(part, depth).withColumn("fused", F.round(score, 10)).join(symbols, "chunk_id")
@@ -351,12 +344,13 @@ def rerank_row(spark: S, d: str) -> DataFrame:
 def stage_diagnosis(spark: S, d: str) -> DataFrame:
     """Where the first chunk with a question's least gold string stands after each stage."""
     target = data.gold(spark, d).groupBy("query_id").agg(F.min("gold").alias("gold"))
-    scored = _code_scores(spark, d).withColumn("fused", F.round(fusion.rrf("r_cosine", "r_bm25"), 10))
-    found = metrics.occurrences(data.chunks(spark, d), target).withColumn("hit", F.lit(True))
-    ranks = fusion.rank_within(scored, "query_id", "fused", "chunk_id", "r_fused", common=None).join(found, ["query_id", "chunk_id"], "left")
-    first = ranks.groupBy("query_id").agg(*[F.min(F.when(F.col("hit"), F.col(c) + k)).alias(n) for c, k, n in (("r_cosine", 1, "rank_vector"), ("r_bm25", 1, "rank_bm25"), ("r_fused", 0, "rank_fused"))])
-    ded = fusion.best_per_symbol(scored, 20).join(found, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").cast("long").alias("rank_dedup"))
-    first = first.join(target.select("query_id"), "query_id", "left_semi")
+    found = stage(metrics.occurrences(data.chunks(spark, d), target).select("query_id", "chunk_id"), "found")
+    parts = data.parts(spark, d, lighter=True)
+    first = target.select("query_id").where(F.lit(parts[0].n_chunks > 0))
+    for score, name in ((-F.col("r_cosine").cast("double"), "rank_vector"), (-F.col("r_bm25").cast("double"), "rank_bm25"), (fusion.rrf("r_cosine", "r_bm25"), "rank_fused")):
+        ranks = reduce(DataFrame.unionByName, [fused.ranked_until(part, score, found, ["query_id"], 20) for part in parts])
+        first = first.join(found.join(small_side(ranks), ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias(name)), "query_id", "left")
+    ded = found.join(small_side(_symbols(spark, d, parts=parts)), ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").cast("long").alias("rank_dedup"))
     return first.join(ded, "query_id", "left").withColumn("recalled", F.coalesce(F.col("rank_fused") <= 20, F.lit(False)))
 
 
