@@ -69,12 +69,12 @@ def parts(spark: SparkSession, sf_dir: str, lighter: bool = False) -> list[fused
     """The questions and chunks for fused search; ``lighter`` weights overview chunks down."""
     c = chunks(spark, sf_dir)
     flags = c.select("chunk_id", F.when(F.col("is_overview"), fusion.OVERVIEW_WEIGHT).otherwise(1.0).alias("lighter")) if lighter else None
-    return fused.parts(lexical.build_index(c), questions(spark, sf_dir), vectors(spark, sf_dir), question_vectors(spark, sf_dir), flags)
+    return fused.parts(lexical.index_of(c), questions(spark, sf_dir), vectors(spark, sf_dir), question_vectors(spark, sf_dir), flags)
 
 
 def candidates(spark: SparkSession, sf_dir: str, chosen: list[tuple[Column, int]], lighter: bool = False) -> DataFrame:
     """Chunks that may be among the best k of a score over their ranks, with their exact ranks."""
-    return reduce(DataFrame.unionByName, [fused.candidates(p, fused.enough(p, chosen)) for p in parts(spark, sf_dir, lighter)])
+    return reduce(DataFrame.unionByName, [fused.reaching(p, chosen) for p in parts(spark, sf_dir, lighter)])
 
 
 CHUNKS = "chunks as (select doc_id chunk_id, coalesce(text, '') as text, source as doc, lang = 'es' is_overview, source || '|' || lang symbol from documents)"

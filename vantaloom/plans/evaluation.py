@@ -147,11 +147,14 @@ _FIRST = f"""{GRID_SQL}, {data.GOLD}, target as (select query_id, min(gold) gold
     first as (select t.strategy, depth, tier, t.query_id, coalesce(rank, depth + 1) as rank from tiers t left join hit h on h.strategy = t.strategy and h.query_id = t.query_id)"""
 
 
-def first_ranks(spark: S, d: str) -> DataFrame:
-    """(strategy, depth, tier, query_id, rank): the first candidate with a question's least gold string, or depth + 1."""
+def first_ranks(spark: S, d: str, only: tuple[str, ...] = ()) -> DataFrame:
+    """(strategy, depth, tier, query_id, rank): the first candidate with a question's least gold string, or depth + 1; of all strategies, or some by name."""
+    chosen = [s for s in fusion.strategies() if not only or s.name in only]
     target = data.gold(spark, d).groupBy("query_id").agg(F.min("gold").alias("gold"))
-    grid = strategies_of(spark, d).join(metrics.occurrences(data.chunks(spark, d), target), ["query_id", "chunk_id"])
-    names = spark.createDataFrame([(s.name, s.depth) for s in fusion.strategies()], "strategy string, depth int")
+    listed = stage(strategies_of(spark, d, chosen), "strategies")
+    texts = data.chunks(spark, d).select("chunk_id", "text").join(small_side(listed.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    grid = listed.join(metrics.occurrences(texts, target), ["query_id", "chunk_id"])  # texts that no strategy lists are not searched
+    names = spark.createDataFrame([(s.name, s.depth) for s in chosen], "strategy string, depth int")
     every = target.select("query_id").crossJoin(F.broadcast(names))
     hit = grid.groupBy("strategy", "query_id").agg(F.min("rank").alias("rank"))
     found = every.join(hit, ["strategy", "query_id"], "left")
@@ -216,7 +219,7 @@ def arm_key_equality(spark: S, d: str) -> DataFrame:
 
 def arm_pairs(spark: S, d: str) -> DataFrame:
     """Each question's first rank under fusion (natural arm) and vectors alone (abstract arm), at depth 20."""
-    first = stage(first_ranks(spark, d).where(F.col("strategy").isin("s1_rrf_20", "s2_vector_20")), "arms")
+    first = stage(first_ranks(spark, d, ("s1_rrf_20", "s2_vector_20")), "arms")
     arm = lambda s, n: first.where(F.col("strategy") == s).select(F.col("query_id").alias("id"), F.col("tier").alias("grp"), F.col("rank").alias(n))
     return arm("s1_rrf_20", "natural_rank").join(arm("s2_vector_20", "abstract_rank"), ["id", "grp"])
 

@@ -246,8 +246,9 @@ def strategy_grid(spark: S, d: str) -> DataFrame:
     return strategies_of(spark, d).withColumn("rank", F.col("rank").cast("long"))
 
 
-def strategies_of(spark: S, d: str) -> DataFrame:
-    return fusion.strategy_grid(data.candidates(spark, d, [(s.score, s.depth) for s in fusion.strategies()]))
+def strategies_of(spark: S, d: str, chosen: list[fusion.Strategy] | None = None) -> DataFrame:
+    own = chosen or fusion.strategies()
+    return fusion.strategy_grid(data.candidates(spark, d, [(s.score, s.depth) for s in own]), own)
 
 
 _DOWN = f"""{data.SCORES}, down as (select query_id, chunk_id, is_overview, symbol, text, round(case when is_overview then bm25 * 0.3::double else bm25 end, 8) bm25, round(case when is_overview then cosine * 0.3::double else cosine end, 8) cosine from scores),
