@@ -764,3 +764,36 @@ def test_ngram_columns_of_one_set_do_not_move(spark, monkeypatch):
     want = {i: min(j for j in range(4) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in range(4)}
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
     assert want[1] == want[0] and want[3] == 3 and got == {i: want[i % 4] if want[i % 4] != 1 else 0 for i in range(80)}
+
+
+def test_rows_that_share_passages_alone_move_no_sets(spark, monkeypatch):
+    """Passages tie columns together; signatures send its rows home before their sets are dealt over cells or pairs."""
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    passages = [word(30) for _ in range(60)]
+    own = [(i, " ".join(passages[k] for k in rng.permutation(60)[:10])) for i in range(80)]
+    copies = [(80 + i, f"{text} more") for i, (_, text) in enumerate(own[:5])]
+    kept, stage = {}, ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", lambda df, label, *a: kept.setdefault(label, stage(df, label, *a)))
+    monkeypatch.setattr(ngram_join, "LIGHT", 3)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(own + copies, "doc_id long, text string")).collect()}
+    assert got == {i: i - 80 if i >= 80 else i for i in range(85)}
+    assert kept["ngram-untied"].count() > 60 and kept["ngram-pairs"].count() <= 5 and kept["ngram-cells"].select("name").distinct().count() <= 10
+
+
+def test_signatures_never_rule_out_a_pair_that_reaches_its_need():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        x = rng.integers(0, 2**63, rng.integers(1, 700), dtype=np.uint64)
+        y = np.unique(np.concatenate([rng.permutation(x)[: rng.integers(0, len(x) + 1)], rng.integers(0, 2**63, rng.integers(0, 300), dtype=np.uint64)]))
+        x, overlap = np.unique(x), len(np.intersect1d(x, y))
+        if not len(y):
+            continue
+        signs = ngram_join._folded([ngram_join.signature(x), ngram_join.signature(y)])
+        sizes = np.array([[len(x)], [len(y)]])
+        for percent in (50, 80, 100):
+            may = ngram_join._possible(signs[:1], signs[1:], sizes[0], sizes[1], percent)[0, 0]
+            assert may or 100 * overlap < percent * (len(x) + len(y) - overlap)
+    far = [np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(50)]
+    signs, sizes = ngram_join._folded([ngram_join.signature(s) for s in far]), np.array([len(s) for s in far])
+    assert (ngram_join._possible(signs, signs, sizes, sizes, 80) == np.eye(50, dtype=bool)).all()

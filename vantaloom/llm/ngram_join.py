@@ -18,11 +18,16 @@ x - ceil(t x) + 1 of either row: only that prefix of each row enters the first p
    reach the need. Rows that are linked by now need no more comparing with each other.
 5. Columns of 4 whose rows are not all tied together yet: the rows that such columns
    connect, by classes of sizes that can reach the need at all, are dealt over cells of
-   chunks, each cell one blocked product over all its columns, whatever the group's size.
+   chunks, whatever the group's size; first by their signatures, which tell the rows that may
+   have a partner in a cell they are not tied to. Of these, each cell is one blocked product
+   over all its columns.
 6. Links leave as pairs between sets; components of sets by star rounds, named by their least id.
 
 A group of near copies thus costs a comparison a row; the product over cells remains for
-rows that share frequent shingles without being near copies.
+rows that share frequent shingles and whose signatures are not far enough apart. A signature
+has about a bit a shingle, the parities of the set's shingles by their last bits, and tells
+most pairs that don't reach their need; it never rules out one that does. So sets, 64
+times as large, move for few rows beside those that are linked.
 
 The orders and filters only save work: any order of columns gives the same links. The
 texts are read again in steps 2, 3, 4 and 5 rather than their sets stored, since hashing
@@ -56,6 +61,7 @@ from vantaloom.sources.runtime import arrow_batches, ship_package, stage
 SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_ROWS = 20, 22, 256
 FILTER_BITS, MOST_FILTER_BITS = 20, 26
 LIGHT, CHUNK, COLUMNS = 24, 384, 8192
+LEAST_SIGN, SIGN_CHUNK, SIGN_BYTES, SIGN_BLOCK = 256, 4096, 4096, 64  # bits of the shortest signature; rows of a chunk whose signatures have up to so many bytes; rows compared at a time
 KEY_BITS, BUCKET_BITS, KEYS = 42, 10, 1 << 20  # of a shingle in the first count, of these its bucket, and how many a task sorts at a time
 
 
@@ -78,6 +84,54 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def sign_bits(n: int) -> int:
+    """Bits of the signature of a set of ``n`` shingles: a power of two from n on."""
+    return max(LEAST_SIGN, 1 << (max(n, 1) - 1).bit_length())
+
+
+def signature(own: np.ndarray) -> bytes:
+    """For each value of the shingles' last bits, whether an odd number of them has it.
+
+    Two signatures of one length differ in no more bits than their sets in shingles. A
+    signature folded in halves, by exclusive or, is that of half the length.
+    """
+    bits = sign_bits(len(own))
+    return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(signs: list[bytes]) -> np.ndarray:
+    """A row of words for each signature, all folded to the shortest one's length."""
+    least = min(map(len, signs))
+    out = np.empty((len(signs), least // 8), dtype=np.uint64)
+    for i, sign in enumerate(signs):
+        words = np.frombuffer(sign, np.uint64)
+        while len(words) > out.shape[1]:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+        out[i] = words
+    return out
+
+
+def most_apart(x, y, percent: int):
+    """Shingles that sizes x and y may hold without the other set's holding them, where the pair reaches its need; -1 where none does."""
+    least = need(x, y, percent)
+    return np.where(least <= np.minimum(x, y), x + y - 2 * least, -1)
+
+
+def _possible(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows ``left`` with sizes x may reach their need with rows ``right`` with sizes y; by blocks of rows."""
+    out = np.empty((len(left), len(right)), dtype=bool)
+    columns = np.ascontiguousarray(right.T)
+    for a in range(0, len(left), SIGN_BLOCK):
+        most = most_apart(x[a : a + SIGN_BLOCK, None], y[None, :], percent)
+        apart = np.zeros(most.shape, dtype=np.int32)
+        for k in range(len(columns)):
+            apart += np.bitwise_count(left[a : a + SIGN_BLOCK, k, None] ^ columns[k][None, :])
+            if k % 16 == 15 and not (apart <= most).any():
+                break
+        out[a : a + SIGN_BLOCK] = apart <= most
+    return out
+
+
 class _Filter:
     """Membership of 64-bit keys in a bit table; members are never missed."""
 
@@ -159,7 +213,7 @@ def _sketch(first: DataFrame, bits: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, sketch, percent: int, reps, only=None) -> DataFrame:
-    """(shingle, set name, size, place) of each row's prefix; each set once a task.
+    """(shingle, set name, size, place) of each row's prefix, and of a row with any a further one with its signature alone; each set once a task.
 
     ``reps``: a filter of the ids that stand for their set; ``only``: one of shingles' first ``KEY_BITS`` bits. Without
     it the rows are (bucket, keys): these bits alone, sorted, a key that several sets have at least twice.
@@ -184,12 +238,15 @@ def _prefixes(texts: DataFrame, sketch, percent: int, reps, only=None) -> DataFr
         with np.errstate(over="ignore"):
             for batch in batches:
                 batch = _standing(batch, standing)
-                keys, names, sizes, places = [], [], [], []
+                keys, names, sizes, places, signs = [], [], [], [], []
 
                 def flush() -> pa.RecordBatch:
                     at = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-                    columns = [at(keys, np.int64), np.repeat(np.array(names, dtype=np.int64), [len(k) for k in keys]), np.repeat(np.array(sizes, dtype=np.int32), [len(k) for k in keys]), at(places, np.int32)]
-                    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "name", "n", "place"])
+                    own = [np.array(names, dtype=np.int64), np.array(sizes, dtype=np.int32)]
+                    each = [np.concatenate([np.repeat(c, [len(k) for k in keys]), c]) for c in own]
+                    n, nothing = sum(map(len, keys)), len(names)
+                    first, last = (pa.concat_arrays([pa.array(c), pa.nulls(nothing, t)]) for c, t in ((at(keys, np.int64), pa.int64()), (at(places, np.int32), pa.int32())))
+                    return pa.RecordBatch.from_arrays([first, pa.array(each[0]), pa.array(each[1]), last, pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(signs, pa.binary())])], names=["shingle", "name", "n", "place", "sign"])
 
                 held = 0
                 for own in shingle_sets(batch.column(1)):
@@ -219,16 +276,17 @@ def _prefixes(texts: DataFrame, sketch, percent: int, reps, only=None) -> DataFr
                     names.append(name)
                     sizes.append(len(own))
                     places.append(place)
+                    signs.append(signature(own))
                     held += len(key)
                     if held > 200_000:
                         yield flush()
-                        keys, names, sizes, places, held = [], [], [], [], 0
+                        keys, names, sizes, places, signs, held = [], [], [], [], [], 0
                 if wanted is not None:
                     yield flush()
             if wanted is None:
                 yield packed(loose)
 
-    return texts.mapInArrow(run, "shingle long, name long, n int, place int" if only is not None else "bucket int, keys binary")
+    return texts.mapInArrow(run, "shingle long, name long, n int, place int, sign binary" if only is not None else "bucket int, keys binary")
 
 
 def _standing(batch: pa.RecordBatch, reps: _Filter) -> pa.RecordBatch:
@@ -362,6 +420,47 @@ def _grouped(rows: DataFrame, n_key: int, work: Callable, schema: str, names: li
     return rows.mapInArrow(run, schema)
 
 
+def _may_reach(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures don't rule out that they reach their need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = most_apart(*(batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb")), percent)
+            apart = [int(np.bitwise_count(np.bitwise_xor(*_folded([a.as_py(), b.as_py()]))).sum()) for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(np.array(apart, dtype=np.int64) <= most, pa.bool_()))
+
+    # As in _verify, a leader's join comes last.
+    with_b = pairs.join(signs.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb")), "b")
+    return with_b.join(signs.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa")), "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _cell_partners(key: tuple, rows: list[tuple], percent: int) -> Iterator[tuple]:
+    """The rows of a cell of signatures that may have a link, in cells of at most ``CHUNK`` rows a side.
+
+    Rows (side, name, n, tied, sign); those of one ``tied`` need no comparing. The new cells'
+    numbers follow from the old ones, so that equal ones still stand for a chunk with itself.
+    """
+    names, sizes, tied = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
+    same, signs = key[2] == key[3], _folded([r[4] for r in rows])
+    cut = sum(not r[0] for r in rows)
+    left, right = (np.arange(len(rows)),) * 2 if same else (np.arange(cut), np.arange(cut, len(rows)))
+    may = _possible(signs[left], signs[right], sizes[left], sizes[right], percent)
+    for a in range(0, len(left), SIGN_BLOCK):
+        may[a : a + SIGN_BLOCK] &= tied[left[a : a + SIGN_BLOCK], None] != tied[right][None, :]
+    in_left, in_right = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    cells = SIGN_CHUNK
+    for i, a in enumerate(range(0, len(in_left), CHUNK)):
+        for j, b in enumerate(range(0, len(in_right), CHUNK)):
+            if same and j < i:
+                continue
+            own_left, own_right = in_left[a : a + CHUNK], in_right[b : b + CHUNK]
+            block = may[np.ix_(own_left, own_right)]
+            at = (*key[:2], key[2] * cells + i, key[3] * cells + j)
+            yield from ((*at, 0, int(names[left[r]])) for r in own_left[block.any(1)])
+            if not (same and i == j):
+                yield from ((*at, 1, int(names[right[r]])) for r in own_right[block.any(0)])
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that reach their need over all columns; overlaps add up by blocks of columns."""
     edges = np.array([1 << 62, 2 << 62, 3 << 62], dtype=np.uint64)
@@ -400,12 +499,13 @@ def _links(docs: DataFrame, text_col: str, id_col: str, percent: int) -> tuple[D
     # What several sets share is told from short keys first; few shingles are left to move with their sets.
     columns = context.broadcast(_filter_of(stage(_shared_keys(_prefixes(texts, sketch, percent, reps)), "ngram-keys")))
     found = stage(_prefixes(texts, sketch, percent, reps, columns), "ngram-prefixes")
-    counted = found.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("name").alias("low"), F.max("name").alias("high"))
+    counted = found.where("shingle is not null").groupBy("shingle").agg(F.count("*").alias("rows"), F.min("name").alias("low"), F.max("name").alias("high"))
+    signs = found.where("sign is not null").select("name", "n", "sign").dropDuplicates(["name"])
     members = stage(found.join(counted.where("low <> high").select(again("shingle"), "rows", "low"), "shingle").select("shingle", "name", "n", "place", "rows", "low"), "ngram-members")
 
     light = _light_pairs(members.where(F.col("rows") <= LIGHT), percent)
     heavy = members.where(F.col("rows") > LIGHT)
-    pairs = stage(light.union(_leader_pairs(heavy, percent)).distinct(), "ngram-pairs")
+    pairs = stage(_may_reach(light.union(_leader_pairs(heavy, percent)).distinct(), signs, percent), "ngram-pairs")
 
     def sets_of(names: DataFrame) -> DataFrame:
         return _sets(texts, context.broadcast(_filter_of(names)), reps).dropDuplicates(["name"])
@@ -420,14 +520,21 @@ def _links(docs: DataFrame, text_col: str, id_col: str, percent: int) -> tuple[D
     # A row is in the class of its size and the next one; sizes that reach the need share a class.
     own = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 * 100 / percent)).cast("int")
     placed = connected_components(left.select("low", "name")).join(left.select(F.col("name").alias("node"), "n").distinct(), "node")
-    placed = placed.select("node", "component", F.explode(F.array(own, own + 1)).alias("class"))
-    groups = placed.groupBy("component", "class").agg(F.count("*").alias("size")).where("size > 1").select(again("component"), again("class"), "size")
+    placed = placed.select("node", "component", "n", F.explode(F.array(own, own + 1)).alias("class"))
+    groups = placed.groupBy("component", "class").agg(F.count("*").alias("size"), F.max("n").alias("most")).where("size > 1").select(again("component"), again("class"), "size", "most")
     keys = ["component", "class", "cell_i", "cell_j"]
-    cells = to_cells(placed.join(groups, ["component", "class"]), ["component", "class"], "node", F.col("size"), CHUNK).select(*keys, "side", F.col("node").alias("name"))
-    cells = stage(cells, "ngram-cells")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.join(sets_of(cells.select("name")), "name").select(*keys, "side", "name", "grams").repartition(parts, *keys).sortWithinPartitions(*keys, "side", "name")
-    in_cells = _grouped(dealt, 4, lambda key, held: _cell_links(held, percent, key[2] == key[3]), "a long, b long", ["a", "b"])
+
+    def dealt(cells: DataFrame, *columns: str) -> DataFrame:
+        return cells.select(*keys, "side", "name", *columns).repartition(parts, *keys).sortWithinPartitions(*keys, "side", "name")
+
+    # Signatures go over large cells first; sets follow for those rows that they leave a partner.
+    weight = F.greatest(F.lit(1.0), F.col("most") / F.lit(8.0 * SIGN_BYTES))
+    signed = to_cells(placed.join(groups, ["component", "class"]), ["component", "class"], "node", F.col("size") * weight, SIGN_CHUNK).select(*keys, "side", F.col("node").alias("name"))
+    signed = signed.join(signs, "name").join(tied.select(F.col("node").alias("name"), F.col("component").alias("tied")), "name", "left").withColumn("tied", F.coalesce("tied", "name"))
+    cells = stage(_grouped(dealt(signed, "n", "tied", "sign"), 4, lambda key, held: _cell_partners(key, held, percent), "component long, class long, cell_i long, cell_j long, side long, name long", [*keys, "side", "name"]), "ngram-cells")
+    with_sets = dealt(cells.join(sets_of(cells.select("name").distinct()), "name"), "grams")
+    in_cells = _grouped(with_sets, 4, lambda key, held: _cell_links(held, percent, key[2] == key[3]), "a long, b long", ["a", "b"])
     return rows, classes, stage(tied.union(in_cells), "ngram-links")
 
 
