@@ -108,3 +108,20 @@ def test_a_document_is_a_file_and_not_a_folder(spark, tmp_path, rows):
 
     digest = lambda t: hashlib.sha1(((t or "") + "\n").encode()).hexdigest()
     assert rows(files.source_documents(spark, str(tmp_path))) == sorted(((i, digest(t)) for i, t, _ in own), key=repr)
+
+
+def test_tasks_list_and_read_files(spark, folder, monkeypatch, rows):
+    """As Spark's binary files and what it hides, but no file passes the driver's index."""
+    more = {"v.md": "", "_a=b.md": "1", "k=1/_m.md": "2", "_k=2/n o%20.md": "3", ".git/x.md": "no", ".git/_y.md": "4", ".git/_d/z.md": "5", "x__pycache__/q.md": "6", "x__pycache__/_r.md": "no", "_metadata1/s.md": "7", "t.md._COPYING_": "no", "é/ü.md": "8"}
+    for name, text in more.items():
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+    roots = [str(folder), f"{folder}/b/"]
+    found = [[(r[0], r[1], bytes(r[2])) for r in rows(make(spark, roots).distinct())] for make in (corpus._files, corpus._through_spark)]
+    assert found[0] == found[1] and len(found[0]) == len({p for p, *_ in found[0]}) == 17
+    monkeypatch.setattr(corpus, "HIDDEN_MB", 0)
+    monkeypatch.setattr(corpus, "TASK_FILES", 3)
+    for df in (corpus._files(spark, roots), corpus._files(spark, roots, False)):
+        assert "binaryfile" not in df._jdf.queryExecution().toString().lower() and df.count() == 17
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        corpus._files(spark, [f"{folder}/none"])

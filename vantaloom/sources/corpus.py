@@ -9,7 +9,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vantaloom.sources.runtime import ship_package, stage
@@ -20,6 +20,7 @@ def _suffix(path):
 
 
 HIDDEN_MB = 256
+TASK_MB, TASK_FILES, BATCH_MB = 64, 10_000, 8  # what a task reads, and hands on at a time
 
 
 def underscored(spark: SparkSession, folders: list[str], deepest: int = 32) -> tuple[list[tuple[str, int]], list[str]]:
@@ -28,10 +29,7 @@ def underscored(spark: SparkSession, folders: list[str], deepest: int = 32) -> t
     Tasks list the folders, level by level, and only hidden names come to the driver; a store that
     pyarrow doesn't know is listed by the driver.
     """
-    try:
-        for folder in folders:
-            fs.FileSystem.from_uri(quote(_uri(folder), safe=":/"))
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+    if not _known([_uri(f) for f in folders]):
         return _globbed(spark, folders, deepest)
     ship_package(spark)
     found = stage(_listed(spark.createDataFrame([(_uri(f),) for f in folders], "folder string")), "level")
@@ -52,6 +50,97 @@ def _uri(folder: str) -> str:
     return folder.rstrip("/") if ":/" in folder else "file://" + os.path.abspath(folder)
 
 
+def _known(uris: list[str]) -> bool:
+    """Whether pyarrow has the stores."""
+    try:
+        for uri in uris:
+            fs.FileSystem.from_uri(quote(uri, safe=":/"))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def _roots(spark: SparkSession, folders: list[str]) -> list[str] | None:
+    """The folders' URIs; None where one is no folder or a pattern, or its store isn't known, which is left to Spark."""
+    jvm, out = spark.sparkContext._jvm, []
+    for folder in folders:
+        if set("{}[]*?\\") & set(folder):
+            return None
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not store.exists(at) or not store.getFileStatus(at).isDirectory():
+            return None
+        own = store.makeQualified(at).toString()
+        out.append("file://" + own[5:] if own.startswith("file:/") and not own.startswith("file://") else own)
+    return out if _known(out) else None
+
+
+_LEVEL = "root int, at string, path string, size long, seen boolean, walked boolean"
+
+
+def _walked(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(root, at, path, size) of the files in the folders, listed by tasks level by level: those that Spark would list, and
+    those below names that begin with ``_``, byte-code folders left out (as ``underscored`` has them)."""
+    ship_package(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores = [fs.FileSystem.from_uri(quote(uri, safe=":/"))[0] for uri in roots]
+        for batch in batches:
+            for root, at, path, _, seen, walked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = []
+                for entry in stores[root].get_file_info(fs.FileSelector(at, allow_not_found=True)):
+                    name, own = entry.base_name, f"{path.rstrip('/')}/{entry.base_name}"
+                    under = walked and name.startswith("_") and "__pycache__" not in name
+                    hides = name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+                    if entry.type == fs.FileType.Directory:
+                        shows = seen and (not hides or name.startswith(("_metadata", "_common_metadata")))
+                        further = walked and "__pycache__" not in name
+                        if shows or under or further:
+                            rows.append((root, entry.path, own, -1, shows or under, further))
+                    elif entry.type == fs.FileType.File and (under or (seen and not hides and entry.size > 0)):  # Spark skips empty files
+                        rows.append((root, entry.path, own, entry.size, True, False))
+                for a in range(0, len(rows), TASK_FILES):
+                    columns = zip(*rows[a : a + TASK_FILES], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], names=["root", "at", "path", "size", "seen", "walked"])
+
+    begin = [fs.FileSystem.from_uri(quote(uri, safe=":/"))[1] for uri in roots]
+    inner = spark.createDataFrame([(i, at, f"file:{at}" if roots[i].startswith("file:") else roots[i], -1, True, True) for i, at in enumerate(begin)], _LEVEL)
+    n, levels = len(roots), []
+    while n:
+        tasks = max(1, min(n // 16, 8 * spark.sparkContext.defaultParallelism))
+        levels.append(stage(inner.repartition(tasks).mapInArrow(run, _LEVEL), "level"))
+        inner = levels[-1].where("size < 0")
+        n = inner.count()
+    found = reduce(DataFrame.unionByName, levels).where("size >= 0").select("root", "at", "path", "size")
+    return found.dropDuplicates(["path"]) if len(roots) > 1 else found  # they may lie in one another
+
+
+def _read(spark: SparkSession, roots: list[str], files: DataFrame) -> DataFrame:
+    """(path, length, content) of walked files in order of path, read by tasks that have some ten thousand files or tens of MB each."""
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism), -(-n // TASK_FILES), -(-size // (TASK_MB << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores = [fs.FileSystem.from_uri(quote(uri, safe=":/"))[0] for uri in roots]
+        rows, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["path", "length", "content"])
+
+        for batch in batches:
+            for root, at, path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with stores[root].open_input_stream(at, compression=None) as stream:
+                    rows.append((path, length, stream.read()))
+                held += length
+                if held > BATCH_MB << 20:
+                    yield flush()
+                    rows, held = [], 0
+        yield flush()
+
+    # Paths are sorted before the files are read, so no content is shuffled.
+    return files.repartitionByRange(int(tasks), "path").sortWithinPartitions("path").mapInArrow(run, "path string, length long, content binary")
+
+
 def _listed(folders: DataFrame) -> DataFrame:
     """(path, size, hidden): the folders inside each ``folder``, of size -1, and its files whose names begin with ``_``."""
 
@@ -92,8 +181,19 @@ def _globbed(spark: SparkSession, folders: list[str], deepest: int) -> tuple[lis
     return sorted(files.items()), inner
 
 
-def _files(spark: SparkSession, folders: list[str], contents: bool = True) -> DataFrame:
-    """(path, length, content) of all files. Those that Spark hides (``__init__.py``) are few and small, and come through the driver."""
+def _files(spark: SparkSession, folders: list[str], contents: bool = True, wanted: Column | None = None) -> DataFrame:
+    """(path, length, content) of all files, or of those whose path is ``wanted``; with contents in order of path. Tasks list and read them, so the driver holds none."""
+    wanted = F.lit(True) if wanted is None else wanted
+    roots = _roots(spark, folders)
+    if roots is None:
+        found = _through_spark(spark, folders, contents).where(wanted)
+        return stage(found, "files").sort("path") if contents else found  # a sort reads its rows twice
+    found = _walked(spark, roots).where(wanted)
+    return _read(spark, roots, found) if contents else found.select("path", F.col("size").alias("length"))
+
+
+def _through_spark(spark: SparkSession, folders: list[str], contents: bool = True) -> DataFrame:
+    """The same by Spark's own listing, which the driver holds. Those that Spark hides (``__init__.py``) are few and small, and come through the driver."""
     hidden, inner = underscored(spark, folders)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([*folders, *inner])
     if len(folders) + len(inner) > 1:  # they may lie in one another
@@ -138,11 +238,10 @@ def load_documents(spark: SparkSession, folders: list[str], extensions: tuple[st
 
     Order is by path, so that ids given later do not depend on the listing.
     """
-    raw = _files(spark, folders)
     name = F.substring_index("path", "/", -1)
-    kept = raw.where(_suffix(F.col("path")).isin(list(extensions)) & ~F.contains("path", F.lit("__pycache__")) & ~name.isin(list(skip)))
+    kept = _files(spark, folders, wanted=_suffix(F.col("path")).isin(list(extensions)) & ~F.contains("path", F.lit("__pycache__")) & ~name.isin(list(skip)))
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return stage(kept.select("path", text.alias("text")).where("text is not null"), "documents").sort("path")  # a sort reads its rows twice
+    return kept.select("path", text.alias("text")).where("text is not null")
 
 
 def load_python(spark: SparkSession, folders: list[str], root: str, max_files: int | None = None) -> DataFrame:
